@@ -8,15 +8,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontam, sharding
+from . import bpe, common, decontam, html_density, matroska, sharding, warc
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = common.scratch(spark, "warc")
+    warc.write(common.table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(common.table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = html_density.extract_pages(common.table(spark, sf_dir, "pages"))
+    return got.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.digests(common.table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontam.scan(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256)
@@ -29,10 +44,17 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op8_decontamination, op9_sharding)}
+    return {f.__name__: f for f in (op1_warc, op2_bpe, op3_html_text, op7_matroska, op8_decontamination, op9_sharding)}
 
 
 ORACLE: dict[str, str] = {
+    "op1_warc": """
+with p as (select page_id, coalesce(html, '') h from pages),
+d as (select page_id, cast(octet_length(encode(h)) as bigint) payload_bytes, sha1(h) payload_digest from p),
+m as (select payload_digest, max(page_id) first from d where payload_bytes >= 1000 group by all having count(*) > 1)
+select page_id, payload_bytes, payload_digest, case when first is null or page_id = first then 'response' else 'revisit' end record_type,
+  case when page_id <> first then first end refers_to
+from d left join m using (payload_digest)""",
     "op8_decontamination": r"""
 with words as (
   select 'd' kind, cast(doc_id as varchar) id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents
