@@ -232,7 +232,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", spe
 
     if out in docs.columns:
         docs = docs.drop(out)
-    return docs.mapInArrow(run, docs.schema.add(out, "array<int>"))
+    return docs.mapInArrow(run, common.plus(docs, out, "array<int>"))
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -247,7 +247,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
 
     if out in tokens.columns:
         tokens = tokens.drop(out)
-    return tokens.mapInArrow(run, tokens.schema.add(out, "string"))
+    return tokens.mapInArrow(run, common.plus(tokens, out, "string"))
 
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", specials: bool = True) -> DataFrame:

@@ -12,6 +12,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch. Texts are whole, so that a batch has to be small in rows.
 BATCH_ROWS = 1000
@@ -63,6 +64,11 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def plus(df: DataFrame, name: str, kind: str) -> StructType:
+    """The table's schema and one more column (StructType.add would change the table's own)."""
+    return StructType([*df.schema.fields]).add(name, kind)
+
+
 def training_row(doc_id) -> F.Column:
     """Whether labels of a document may be learnt from: crc32 of its id's digits, modulo 5, is not 0."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 != 0

@@ -272,4 +272,4 @@ def extract_pages(pages: DataFrame, html: str = "html", out: str = "text") -> Da
             texts = [extract(x) for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*rest, out])
 
-    return picked.mapInArrow(run, pages.select(*rest).schema.add(out, "string"))
+    return picked.mapInArrow(run, common.plus(pages.select(*rest), out, "string"))

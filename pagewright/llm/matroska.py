@@ -316,7 +316,7 @@ def mux_texts(docs: DataFrame, text: str = "text", out: str = "media") -> DataFr
                 files = [mux_text(t)[0] for t in column.slice(i, 100).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.slice(i, 100).columns, pa.array(files, pa.binary())], [*b.schema.names, out])
 
-    return docs.mapInArrow(run, docs.schema.add(out, "binary"))
+    return docs.mapInArrow(run, common.plus(docs, out, "binary"))
 
 
 PACKETS = "track int, packet int, timestamp_ms double, offset long, size int, keyframe boolean, cluster_offset long"

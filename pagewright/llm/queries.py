@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontam, html_density, matroska, sharding, warc
+from . import bpe, common, decontam, html_density, matroska, quality, sharding, toxicity, warc
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -28,6 +28,17 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def _judged(docs: DataFrame, threshold: float) -> DataFrame:
+    """The columns of op5 and op10 from a table with a score."""
+    return docs.select("doc_id", F.coalesce(~common.training_row("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
+    return _judged(quality.score(docs.select("doc_id", "text"), model), quality.THRESHOLD)
+
+
 def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(common.table(spark, sf_dir, "documents"))
 
@@ -43,8 +54,14 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    net = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
+    return _judged(toxicity.score(docs.select("doc_id", "text"), net), toxicity.THRESHOLD)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_bpe, op3_html_text, op7_matroska, op8_decontamination, op9_sharding)}
+    return {f.__name__: f for f in (op1_warc, op2_bpe, op3_html_text, op5_quality, op7_matroska, op8_decontamination, op9_sharding, op10_toxicity)}
 
 
 ORACLE: dict[str, str] = {
