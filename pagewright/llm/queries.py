@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontam, html_density, matroska, quality, sharding, toxicity, warc
+from . import bpe, common, decontam, html_density, matroska, neardup, quality, sharding, toxicity, warc
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -28,6 +28,10 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components(common.table(spark, sf_dir, "documents"), 4)
+
+
 def _judged(docs: DataFrame, threshold: float) -> DataFrame:
     """The columns of op5 and op10 from a table with a score."""
     return docs.select("doc_id", F.coalesce(~common.training_row("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -61,7 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_bpe, op3_html_text, op5_quality, op7_matroska, op8_decontamination, op9_sharding, op10_toxicity)}
+    return {f.__name__: f for f in (op1_warc, op2_bpe, op3_html_text, op4_minhash, op5_quality, op7_matroska, op8_decontamination, op9_sharding, op10_toxicity)}
 
 
 ORACLE: dict[str, str] = {
@@ -72,6 +76,17 @@ m as (select payload_digest, max(page_id) first from d where payload_bytes >= 10
 select page_id, payload_bytes, payload_digest, case when first is null or page_id = first then 'response' else 'revisit' end record_type,
   case when page_id <> first then first end refers_to
 from d left join m using (payload_digest)""",
+    "op4_minhash": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 3], ' ') g from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) i from w where len(w) > 0)),
+n as (select doc_id, count(*) n from s group by doc_id),
+f as (select g, count(*) c from s group by g having count(*) > 1),
+p as (select a.doc_id x, b.doc_id y, count(*) i from s a join f using (g) join s b using (g) where a.doc_id < b.doc_id group by all),
+l as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * i >= 80 * (nx.n + ny.n - i)),
+e as (select x, y from l union all select y, x from l),
+r as (select doc_id x, doc_id y from documents union select r.x, e.y from r join e on e.x = r.y)
+select doc_id, coalesce(any_value(n), 0) n_shingles, least(doc_id, min(r.y)) component_id, doc_id = min(r.y) kept
+from documents left join n using (doc_id) join r on r.x = doc_id group by doc_id""",
     "op8_decontamination": r"""
 with words as (
   select 'd' kind, cast(doc_id as varchar) id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents
