@@ -250,21 +250,27 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
     return tokens.mapInArrow(run, common.plus(tokens, out, "string"))
 
 
-def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", specials: bool = True) -> DataFrame:
-    """Encode and decode in one pass: key, n_tokens, ids_sha256, decoded_sha256 per row. No shuffle."""
+def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", specials: bool = True, with_ids: bool = False) -> DataFrame:
+    """Encode and decode in one pass: key, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids per row. No shuffle."""
     spec = _spec(docs, path)
 
     def run(batches):
         v = _vocabulary(spec.value, specials)
         sha = hashlib.sha256
         for b in batches:
-            n, ids, back = [], [], []
+            n, ids, back, lists = [], [], [], []
             for t in b.column(1).to_pylist():
                 got = v.chunks(t)
                 n.append(sum([c[0] for c in got]))
                 ids.append(sha(" ".join([c[1] for c in got]).encode()).hexdigest())
                 back.append(sha(" ".join([c[2] for c in got]).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+                if with_ids:
+                    lists.append(np.array(" ".join([c[1] for c in got]).split(), np.int32))
+            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
+            if with_ids:
+                ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists) if lists else [], pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, [key, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

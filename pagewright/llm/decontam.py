@@ -12,6 +12,7 @@ items count once for each item_id; an empty benchmark hits nothing; other column
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -157,10 +158,28 @@ def contaminated(share: int = 20) -> F.Column:
     return (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", share: int = 20, **options) -> DataFrame:
-    """Documents that are not contaminated, with all their columns."""
-    bad = scan(docs, benchmark, key, text, **options).filter(contaminated(share)).select(F.col(key).alias("bad_key")).distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("bad_key")), "left_anti")
+def remove_documents(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", share: int = 20, item: str = "item_id", item_text: str = "text", n: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """Documents that are not contaminated, with all their columns.
+
+    With a benchmark of one part this is a filter in one pass; a larger one needs the united spans, and a join by key."""
+    sc = common.ship(docs.sparkSession).sparkContext
+    parts = list(itertools.islice(_slices(benchmark, item, item_text, slice_bytes), 2))
+    if len(parts) > 1:
+        bad = scan(docs, benchmark, key, text, item, item_text, n, slice_bytes).filter(contaminated(share)).select(F.col(key).alias("bad_key")).distinct()
+        return docs.join(bad, F.col(key).eqNullSafe(F.col("bad_key")), "left_anti")
+    windows = sc.broadcast(Windows(parts[0] if parts else [], n))
+
+    def run(batches):
+        w = windows.value
+        for b in batches:
+            keep = []
+            for t in b.column(b.schema.get_field_index(text)).to_pylist():
+                words = words_of(t)
+                hit = int(w.hits(words)[0].sum())
+                keep.append(not (hit > 0 and share * hit >= len(words)))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def cut_text(text: str | None, runs: list[list[int]]) -> str:

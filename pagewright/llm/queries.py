@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontam, html_density, matroska, neardup, quality, sharding, toxicity, warc
+from . import bpe, common, decontam, html_density, matroska, neardup, quality, sharding, suffix_dedup, toxicity, warc
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -43,6 +43,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score(docs.select("doc_id", "text"), model), quality.THRESHOLD)
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_dedup.scan(common.table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(common.table(spark, sf_dir, "documents"))
 
@@ -65,7 +70,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_bpe, op3_html_text, op4_minhash, op5_quality, op7_matroska, op8_decontamination, op9_sharding, op10_toxicity)}
+    return {f.__name__: f for f in (op1_warc, op2_bpe, op3_html_text, op4_minhash, op5_quality, op6_suffix_array, op7_matroska, op8_decontamination, op9_sharding, op10_toxicity)}
 
 
 ORACLE: dict[str, str] = {
