@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +26,13 @@ def local_session(cores: str = "*", memory: str = "8g", partitions: int = 8) ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` below the folder `sf_dir`."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that the cluster shares, `spark.checkpoint.dir`; a local one only where that is unset."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="pagewright-shared-"))
+        base = sc.getCheckpointDir()
+    return f"{base.rstrip('/')}/pagewright/{name}-{uuid.uuid4().hex}"
