@@ -7,9 +7,10 @@ that meet, the similarity is estimated jointly from which registers are larger,
 sizes, by likelihood; those that could be similar enough are verified on their full sets.
 
 Equal sets are one node, so that copies never meet each other. In a bucket no pairs are made: first every node is held
-against the bucket's smallest node only, and verified links are joined to components. What is left are buckets with
-members of several components; there, and only there, members of different components are compared by their registers,
-in blocks. Similar pairs of at least `SIMILAR` percent miss every band with a probability of (1 - 0.8**4)**32 < 1e-7;
+against the bucket's smallest node only, and plausible pairs are joined to clusters. What is left are buckets with
+members of several clusters; there, and only there, members of different clusters are compared by their registers, in
+blocks, and give pairs that span what is plausible. Then each cluster gets the full sets of its members, once, and links
+are verified inside it: a set is held against those that nothing has reached yet. Similar pairs of at least `SIMILAR` percent miss every band with a probability of (1 - 0.8**4)**32 < 1e-7;
 the estimate is cut at `ESTIMATE`, over four of its standard deviations below.
 
 Defined results: null, empty and wordless texts have an empty set, link with nothing and stay; a text of fewer words than
@@ -30,8 +31,8 @@ from . import common
 REGISTERS, ROWS = 128, 4
 BASE, RATE = 1.005, 20.0
 SIMILAR, ESTIMATE = 80, 0.64
-#: Members of a block when a bucket is compared within.
-BLOCK = 1024
+#: Members of a block, and bytes of their sets, when a bucket or a cluster is compared within.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 _R = np.random.default_rng(20240229)
 _A = (_R.integers(0, 1 << 32, REGISTERS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = (_R.integers(0, 1 << 32, REGISTERS, dtype=np.uint64) & ~np.uint64(1)).astype(np.uint32)
@@ -124,7 +125,7 @@ def buckets(nodes: DataFrame) -> DataFrame:
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of pairs (x, y) those whose sketches let them be similar enough, with the share of equal registers."""
+    """Of pairs (x, y) those whose sketches let them be similar enough."""
     a = nodes.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx"))
     b = nodes.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy"))
     both = pairs.join(a, "x").join(b, "y").filter(f"100 * least(nx, ny) >= {SIMILAR} * greatest(nx, ny)").select("x", "y", "nx", "ny", "sx", "sy")
@@ -135,10 +136,9 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 x, y = _matrix(b.column(4)), _matrix(b.column(5))
                 larger, smaller = (x > y).sum(axis=1), (x < y).sum(axis=1)
                 ok = np.flatnonzero(at_least(b.column(2).to_numpy(), b.column(3).to_numpy(), larger, smaller, ESTIMATE))
-                equal = REGISTERS - larger - smaller
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), b.column(1).take(pa.array(ok)), pa.array(equal[ok], pa.int32())], ["x", "y", "equal"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), b.column(1).take(pa.array(ok))], ["x", "y"])
 
-    return both.mapInArrow(run, "x binary, y binary, equal int")
+    return both.mapInArrow(run, "x binary, y binary")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int, key: str, text: str) -> DataFrame:
@@ -159,25 +159,65 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int, key: str, text: str) -
     return found.mapInArrow(run, "node binary, set binary").groupBy("node").agg(F.first("set").alias("set"))
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (x, y) that are similar enough on their full sets."""
-    a, b = (sets.select(F.col("node").alias(c), F.col("set").alias(f"s{c}")) for c in "xy")
-    both = pairs.select("x", "y").join(a, "x").join(b, "y").select("x", "y", "sx", "sy")
+def linked(sizes: np.ndarray, flat: np.ndarray) -> list[tuple[int, int]]:
+    """Links that hold together what is linked among some sets, given as numbers of their elements one after another.
+
+    A set is held against those that no set has reached yet: copies of one text are reached from the first of them, and
+    are not held against each other. The result spans the components of all links."""
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    mark = np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
+    out: list[tuple[int, int]] = []
+    elements, begins, counts = flat, first[:-1], sizes  # of the open sets; rebuilt when half of them are gone
+    held = np.arange(len(sizes))
+    alive = np.ones(len(sizes), bool)
+    queue: list[int] = []
+    for seed in range(len(sizes)):
+        if not alive[seed]:
+            continue
+        alive[seed] = False
+        queue.append(seed)
+        while queue:
+            i = queue.pop()
+            if not alive.any():
+                return out
+            if 2 * np.count_nonzero(alive[held]) < len(held):
+                held = held[alive[held]]
+                counts = sizes[held]
+                begins = np.concatenate([[0], np.cumsum(counts)[:-1]])
+                elements = np.concatenate([flat[first[j] : first[j + 1]] for j in held])
+            mine = flat[first[i] : first[i + 1]]
+            mark[mine] = True
+            shared = np.add.reduceat(mark[elements], begins, dtype=np.int64)
+            mark[mine] = False
+            new = held[alive[held] & (100 * shared >= SIMILAR * (counts + sizes[i] - shared))]
+            alive[new] = False
+            out += [(i, j) for j in new.tolist()]
+            queue += new.tolist()
+    return out
+
+
+def verified(sets: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Links (x, y) that span what is linked on full sets within each cluster (node, root).
+
+    A cluster is dealt into blocks bounded in sets and bytes, and every two blocks meet in one group; a cluster of one
+    block, as nearly all are, sends each set once."""
+    whole = sets.join(clusters, "node").withColumn("bytes", F.octet_length("set"))
+    size = whole.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("bytes").alias("b")).filter("c > 1")
+    size = size.select("root", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("b") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = whole.join(size, "root").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    # With one block it meets itself; with more, each meets every other, which also compares it within.
+    dealt = dealt.withColumn("other", F.explode(F.expr("if(blocks = 1, array(0), filter(sequence(0, blocks - 1), x -> x != own))")))
+    dealt = dealt.select("root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "set")
+    schema = pa.schema([("x", pa.binary()), ("y", pa.binary())])
 
-    def run(batches):
-        for b in batches:
-            ok = []
-            for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= SIMILAR * (len(both) - shared):
-                    ok.append(i)
-            at = pa.array(ok, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["x", "y"])
+    def run(table):
+        sets_ = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        node = table.column("node").to_pylist()
+        flat = np.unique(np.concatenate(sets_), return_inverse=True)[1]
+        got = linked(np.array([len(x) for x in sets_]), flat)
+        return pa.Table.from_arrays([pa.array([node[i] for i, _ in got], pa.binary()), pa.array([node[j] for _, j in got], pa.binary())], schema=schema)
 
-    return both.mapInArrow(run, "x binary, y binary")
+    return dealt.groupBy("root", "p", "q").applyInArrow(run, "x binary, y binary")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -204,43 +244,39 @@ def connected(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _crossing(members: DataFrame, nodes: DataFrame, component: DataFrame) -> DataFrame:
-    """Pairs of members of a bucket that are in different components and may be similar enough.
+def _crossing(members: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Pairs (x, y) that span the plausible pairs between members of a bucket that are in different clusters.
 
-    Only buckets with several components are looked at. A large bucket is dealt into blocks; every two blocks meet in
-    one group, so that no group is larger than two blocks. A pair comes out in the first band that it shares."""
-    c = members.join(component, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    Only buckets with several clusters are looked at. A large bucket is dealt into blocks; every two blocks meet in one
+    group, so that no group is larger than two blocks, and a group gives fewer pairs than it has members."""
+    c = members.join(clusters, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = c.groupBy("band", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo != hi").select("band", "value", "size")
     left = c.join(mixed, ["band", "value"]).join(nodes.select("node", "n", "sketch"), "node")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     left = left.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     left = left.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
-    schema = pa.schema([("x", pa.binary()), ("y", pa.binary()), ("equal", pa.int32())])
+    schema = pa.schema([("x", pa.binary()), ("y", pa.binary())])
 
     def run(table):
-        band, p, q = (table.column(c)[0].as_py() for c in ("band", "p", "q"))
-        s = _matrix(table.column("sketch"))
-        n = table.column("n").to_numpy()
-        node = table.column("node").to_pylist()
-        _, root = np.unique(np.array([x.hex() for x in table.column("root").to_pylist()]), return_inverse=True)
+        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+        s, n, node = _matrix(table.column("sketch")), table.column("n").to_numpy(), table.column("node").to_pylist()
+        number: dict[bytes, int] = {}
+        root = np.array([number.setdefault(x, len(number)) for x in table.column("root").to_pylist()])
         own = table.column("own").to_numpy()
-        out = [[], [], []]
-        earlier = np.ascontiguousarray(s[:, : band * ROWS]).view(np.int64) if band else None
+        out: list[tuple[bytes, bytes]] = []
         mine, theirs = np.flatnonzero(own == p), np.flatnonzero(own == q)
         for k, i in enumerate(mine):
             j = theirs[k + 1 :] if p == q else theirs
             j = j[(root[j] != root[i]) & (100 * np.minimum(n[j], n[i]) >= SIMILAR * np.maximum(n[j], n[i]))]
-            if earlier is not None and len(j):
-                j = j[~(earlier[j] == earlier[i]).any(axis=1)]
             if len(j):
                 larger, smaller = (s[i] > s[j]).sum(axis=1), (s[i] < s[j]).sum(axis=1)
-                j, equal = (z[at_least(np.full(len(j), n[i]), n[j], larger, smaller, ESTIMATE)] for z in (j, REGISTERS - larger - smaller))
-                out[0] += [node[i]] * len(j)
-                out[1] += [node[x] for x in j]
-                out[2] += equal.tolist()
-        return pa.Table.from_arrays([pa.array(o, f.type) for o, f in zip(out, schema)], schema=schema)
+                for x in j[at_least(np.full(len(j), n[i]), n[j], larger, smaller, ESTIMATE)]:
+                    if root[x] != root[i]:
+                        out.append((node[i], node[x]))
+                        root[root == root[x]] = root[i]
+        return pa.Table.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], schema=schema)
 
-    return left.select("band", "value", "p", "q", "own", "node", "root", "n", "sketch").groupBy("band", "value", "p", "q").applyInArrow(run, "x binary, y binary, equal int")
+    return left.select("band", "value", "p", "q", "own", "node", "root", "n", "sketch").groupBy("band", "value", "p", "q").applyInArrow(run, "x binary, y binary")
 
 
 def components(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -258,22 +294,15 @@ def components(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text")
     hubs = met.groupBy("band", "value").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("band", "value", "hub")
     members = store(met.join(hubs, ["band", "value"]), "members")
 
-    # A node's links to the smallest members of its buckets: the likeliest one first.
+    # Clusters of nodes that may be linked, by their sketches: first each node with the smallest members of its buckets,
+    # then what else could join two clusters. Their full sets are read once.
     stars = members.filter("node != hub").select(F.col("node").alias("x"), F.col("hub").alias("y")).distinct()
     likely = store(plausible(stars, nodes), "likely")
-    first = likely.groupBy("x").agg(F.max(F.struct("equal", "y")).alias("m")).select("x", F.col("m.y").alias("y"))
-
-    def links(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = store(pairs, f"{name}-pairs")
-        wanted = store(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(nodes.select("node", "id"), "node"), f"{name}-wanted")
-        sets = store(full_sets(docs, wanted, k, key, text), f"{name}-sets")
-        return store(verify(pairs, sets), f"{name}-links")
-
-    found = links(first, "first")
-    component = store(connected(found), "first-components")
-    # All other pairs that could join two components.
-    found = found.unionByName(links(_crossing(members, nodes, component).select("x", "y").distinct(), "rest"))
-    component = store(connected(found), "components")
+    clusters = store(connected(likely), "stars")
+    clusters = store(connected(clusters.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(_crossing(members, nodes, clusters))), "clusters")
+    wanted = store(clusters.join(nodes.select("node", "id"), "node"), "wanted")
+    links = store(verified(full_sets(docs, wanted, k, key, text), clusters), "links")
+    component = store(connected(links), "components")
     named = component.join(nodes.select("node", "id"), "node")
     smallest = named.groupBy("root").agg(F.min("id").alias("smallest"))
     by_node = nodes.select("node", "id").join(component, "node", "left").join(smallest, "root", "left").select("node", F.coalesce("smallest", "id").alias("component_id"))
