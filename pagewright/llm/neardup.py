@@ -154,7 +154,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int, key: str, text: str) -
                     sets.append(h)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], ["node", "set"])
 
-    w = wanted.select(F.col("id").alias("wanted_id"), "node")
+    # Wanted ids grow with the data: the plan is a sort-merge join at every size, never a broadcast.
+    w = wanted.select(F.col("id").alias("wanted_id"), "node").hint("merge")
     found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(w, F.col("k").eqNullSafe(F.col("wanted_id"))).select("t", "node")
     return found.mapInArrow(run, "node binary, set binary").groupBy("node").agg(F.first("set").alias("set"))
 
@@ -317,4 +318,4 @@ def deduplicate(docs: DataFrame, k: int = 5, key: str = "doc_id", text: str = "t
     Rows are dropped by id: where an id stands for several rows, all stay if one does."""
     stays = F.col("kept") | (F.col("n_shingles") == 0) | F.col("component_id").isNull()
     drop = components(docs, k, key, text).groupBy(F.col(key).alias("drop_key")).agg(F.max(stays).alias("stays")).filter("not stays")
-    return docs.join(drop.select("drop_key"), F.col(key).eqNullSafe(F.col("drop_key")), "left_anti")
+    return docs.join(drop.select("drop_key").hint("merge"), F.col(key).eqNullSafe(F.col("drop_key")), "left_anti")
