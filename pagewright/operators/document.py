@@ -127,7 +127,7 @@ def merge_lines(lines: DataFrame, order: list[str] | None = None, flush_at_image
     g = g.withColumn("text", T.block_surround(text, F.col("block_type"))).withColumn("table_data", F.when(F.col("block_type") == "Table", F.array_join(F.transform("items", lambda x: x["table_data"]), "\n")))
     # a block comes out where the next one begins
     out = F.coalesce(F.lead("begin").over(W.partitionBy(*DOC).orderBy("island")), F.lit(2**31 - 1))
-    g = g.withColumn("at", out).select(*DOC, "at", F.lit(0).alias("rank"), "block_type", "text", F.lit(None).cast("string").alias("image_name"), "table_data")
+    g = g.withColumn("at", F.col("begin") if flush_at_images else out).select(*DOC, "at", F.lit(0).alias("rank"), "block_type", "text", F.lit(None).cast("string").alias("image_name"), "table_data")
     every = g.unionByName(pictures)
     return every.withColumn("index", F.row_number().over(W.partitionBy(*DOC).orderBy("at", "rank")) - 1).drop("at", "rank")
 

@@ -24,7 +24,7 @@ A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 P = "{http://schemas.openxmlformats.org/package/2006/relationships}"
-_URL = re.compile(r"http://[^\s+]+//|https://[^\s+]+")
+_URL = re.compile(r'http://[^\s+"]+//|https://[^\s+"]+')
 
 
 def _relations(z: zipfile.ZipFile, name: str) -> dict[str, tuple[str, bool]]:
