@@ -29,7 +29,7 @@ from . import common
 
 #: Distinct chunks of text that a worker remembers in each of two generations: when the new one is full it becomes the
 #: old one, and what is still in use moves back. No result depends on it.
-MEMORY = 300_000
+MEMORY = 200_000
 _UNIT = re.compile("[\x1c-\x1f]")
 _CHUNK = regex.compile(r"[^\p{White_Space}]+")
 _END = "</w>"
@@ -180,7 +180,7 @@ class Vocabulary:
             got = (len(ids), " ".join(map(str, ids)), self.decode(ids))
         if len(self.known) >= MEMORY:
             self.known, self.older = {}, self.known
-            if len(self.pairs) >= 4 * MEMORY:
+            if len(self.pairs) >= 2 * MEMORY:
                 self.pairs.clear()
         self.known[raw] = got
         return got
@@ -203,6 +203,7 @@ class Vocabulary:
 
 
 _LOADED: dict[tuple[int, bool], Vocabulary] = {}
+common.CACHES["bpe"] = _LOADED.clear
 
 
 def _vocabulary(spec: bytes, specials: bool) -> Vocabulary:

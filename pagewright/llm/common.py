@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zipfile
 import zlib
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,17 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: What workers remember, by operator: called to forget it. Python workers live on from stage to stage.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def only(name: str) -> None:
+    """Forget what other operators left in this worker's memory."""
+    for k, forget in CACHES.items():
+        if k != name:
+            forget()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,7 +78,7 @@ def keep(df: DataFrame) -> DataFrame:
 
 def plus(df: DataFrame, name: str, kind: str) -> StructType:
     """The table's schema and one more column (StructType.add would change the table's own)."""
-    return StructType([*df.schema.fields]).add(name, kind)
+    return StructType([*df.schema.fields, *StructType.fromDDL(f"`{name}` {kind}").fields])
 
 
 def training_row(doc_id) -> F.Column:

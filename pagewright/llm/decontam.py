@@ -117,6 +117,7 @@ SCHEMA = "{key} {kind}, n_words long, n_hit long, item_ids array<string>, hit_sp
 
 def _scan_part(docs: DataFrame, windows, key: str, text: str) -> DataFrame:
     def run(batches):
+        common.only("decontam")
         w = windows.value
         for b in batches:
             out = [[], [], [], []]
@@ -170,6 +171,7 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
     windows = sc.broadcast(Windows(parts[0] if parts else [], n))
 
     def run(batches):
+        common.only("decontam")
         w = windows.value
         for b in batches:
             keep = []

@@ -268,6 +268,7 @@ def extract_pages(pages: DataFrame, html: str = "html", out: str = "text") -> Da
     picked = pages.select(*rest, html)
 
     def run(batches):
+        common.only("html_density")
         for b in batches:
             texts = [extract(x) for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*rest, out])

@@ -310,6 +310,7 @@ def mux_texts(docs: DataFrame, text: str = "text", out: str = "media") -> DataFr
     docs = docs.drop(out)
 
     def run(batches):
+        common.only("matroska")
         for b in batches:
             column = b.column(b.schema.get_field_index(text))
             for i in range(0, b.num_rows, 100):
@@ -329,6 +330,7 @@ def packets(files: DataFrame, key: str, media: str = "media") -> DataFrame:
     names = [x.split()[0] for x in PACKETS.split(", ")]
 
     def run(batches):
+        common.only("matroska")
         for b in batches:
             for i, data in enumerate(b.column(1).to_pylist()):
                 m = parse(data) if data is not None else Media()
@@ -356,6 +358,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature(m, back)
 
     def run(batches):
+        common.only("matroska")
         for b in batches:
             rows = list(zip(*(one(t) for t in b.column(1).to_pylist()))) or [[]] * len(DIGESTS)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, d[2]) for c, d in zip(rows, DIGESTS))], [key, *(d[0] for d in DIGESTS)])

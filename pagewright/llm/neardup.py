@@ -95,6 +95,7 @@ def sketch(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") ->
     common.ship(docs.sparkSession)
 
     def run(batches):
+        common.only("neardup")
         for b in batches:
             nodes, sizes, kept = [], [], []
             for t in b.column(1).to_pylist():
@@ -115,6 +116,7 @@ def buckets(nodes: DataFrame) -> DataFrame:
     """band, value (its registers as one number), node: a row for every band of a node."""
 
     def run(batches):
+        common.only("neardup")
         bands = REGISTERS // ROWS
         for b in batches:
             if b.num_rows:
@@ -131,6 +133,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     both = pairs.join(a, "x").join(b, "y").filter(f"100 * least(nx, ny) >= {SIMILAR} * greatest(nx, ny)").select("x", "y", "nx", "ny", "sx", "sy")
 
     def run(batches):
+        common.only("neardup")
         for b in batches:
             if b.num_rows:
                 x, y = _matrix(b.column(4)), _matrix(b.column(5))
@@ -145,6 +148,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int, key: str, text: str) -
     """node, set (sorted hashes as bytes) of wanted nodes (node, id): the document with the id is read again."""
 
     def run(batches):
+        common.only("neardup")
         for b in batches:
             nodes, sets = [], []
             for t, node in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

@@ -176,6 +176,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     docs = docs.drop(out)
 
     def run(batches):
+        common.only("quality")
         for b in batches:
             got = sent.value.scores(b.column(b.schema.get_field_index(text)).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], [*b.schema.names, out])

@@ -248,6 +248,7 @@ def _segment_rows(docs: DataFrame, text: str) -> DataFrame:
     fields = [("tid", pa.binary()), ("gram", pa.int64()), ("name", pa.int64()), ("a", pa.int64()), ("windows", pa.int32()), ("place", pa.int32())]
 
     def run(batches):
+        common.only("suffix_dedup")
         for b in batches:
             got: list[list] = [[] for _ in fields]
             held = 0
@@ -280,6 +281,7 @@ def _sorted_groups(rows: DataFrame) -> DataFrame:
     segments, and one group is held at a time."""
 
     def run(batches):
+        common.only("suffix_dedup")
         gram, group, done = None, {}, []
 
         def out():
@@ -306,6 +308,7 @@ def _counted_groups(rows: DataFrame) -> DataFrame:
     """The same for groups of any size: every window by its digest, counted in partial sums."""
 
     def run(batches):
+        common.only("suffix_dedup")
         for b in batches:
             for gram, name, copies, s in zip(*(b.column(i).to_pylist() for i in range(4))):
                 w = [xxhash.xxh3_128_digest(s[i : i + WINDOW]) for i in range(len(s) - WINDOW + 1)]
@@ -347,7 +350,7 @@ def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 rows = [(s["gram"], s["name"], s["copies"], s["place"], data[s["a"] : s["a"] + s["windows"] + WINDOW - 1], s["different"]) for s in some]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()))], ["gram", "name", "copies", "place", "bytes", "different"])
 
-    found = keyed.join(wanted.withColumnRenamed("tid", "w"), (F.col("tid") == F.col("w")) & F.col("k").eqNullSafe(F.col("home"))).select("t", "s")
+    found = keyed.join(wanted.withColumnRenamed("tid", "w").hint("merge"), (F.col("tid") == F.col("w")) & F.col("k").eqNullSafe(F.col("home"))).select("t", "s")
     fetched = store(found.mapInArrow(fetch, "gram long, name long, copies long, place int, bytes binary, different long"), "fetched")
     sorted_ = _sorted_groups(fetched.filter(f"different <= {GROUP}"))
     counted = _counted_groups(fetched.filter(f"different > {GROUP}").dropDuplicates(["gram", "name"]))
@@ -377,6 +380,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, n_removed, spans (maximal removed runs, [begin, end)), kept_sha256 for every row."""
 
     def run(batches):
+        common.only("suffix_dedup")
         for b in batches:
             rows = []
             for t, ranges in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
@@ -395,6 +399,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """All rows and columns, each text without its repeated bytes; of a character cut in two nothing is left."""
 
     def run(batches):
+        common.only("suffix_dedup")
         for b in batches:
             i = b.schema.get_field_index(text)
             texts = [t if not r else kept_bytes(t, united(r)).decode("utf-8", "ignore") for t, r in zip(b.column(i).to_pylist(), b.column(b.num_columns - 1).to_pylist())]

@@ -15,6 +15,8 @@ every score is the share of label 1 (0 without any); repeated rows get equal sco
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,9 +30,9 @@ HIDDEN, CHAR_DIM, WORD_DIM, ATTENTION = 8, 8, 4, 8
 CHAR_BUCKETS, WORD_BUCKETS = 1 << 15, 1 << 12
 ROUNDS, EPOCHS, BATCH = 4, 3, 128
 #: Words whose input a worker remembers; no result depends on it.
-MEMORY = 250_000
+MEMORY = 200_000
 #: Windows that are scored at once.
-AT_ONCE = 4096
+AT_ONCE = 2048
 THRESHOLD = 0.5
 # ASCII but letters and digits becomes a space.
 _SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -103,8 +105,8 @@ class Encoder:
         return out
 
     def project(self, x: np.ndarray) -> np.ndarray:
-        """Inputs to the gates of both directions, for each word."""
-        return np.concatenate([x @ self.p["xf"] + self.p["cf"], x @ self.p["xb"] + self.p["cb"]], axis=1)
+        """Inputs to the gates, by direction and word."""
+        return np.stack([x @ self.p["xf"] + self.p["cf"], x @ self.p["xb"] + self.p["cb"]])
 
     def run(self, gates: np.ndarray, idx: np.ndarray, valid: np.ndarray | None, keep: bool = False):
         """Logits of windows. idx: numbers of words, windows by places; valid: which places have words (None: all)."""
@@ -112,10 +114,9 @@ class Encoder:
         size, length = idx.shape
         states = np.zeros((length, size, 2 * n), np.float32)
         saved = []
-        for side, lo in (("f", 0), ("b", 3 * n)):
+        for side, own in zip("fb", gates):
             u, at = p[f"h{side}"], 0 if side == "f" else n
             h = np.zeros((size, n), np.float32)
-            own = np.ascontiguousarray(gates[:, lo : lo + 3 * n])
             steps = []
             for t in range(length) if side == "f" else range(length - 1, -1, -1):
                 x, g = own[idx[:, t]], h @ u
@@ -155,7 +156,7 @@ class Encoder:
         g["a"] = np.einsum("tbi,tbk->ik", states, de)
         dstates += de @ p["a"].T
         dgates = np.zeros_like(gates)
-        for steps, side, lo, at in ((saved[0], "f", 0, 0), (saved[1], "b", 3 * n, n)):
+        for steps, side, own, at in ((saved[0], "f", dgates[0], 0), (saved[1], "b", dgates[1], n)):
             u = p[f"h{side}"]
             du = np.zeros_like(u)
             dh = np.zeros((len(idx), n), np.float32)
@@ -169,7 +170,7 @@ class Encoder:
                 full = np.concatenate([dz, dr, dnew * r], axis=1)
                 du += h.T @ full
                 dh = dout * (1 - live) + d * z + full @ u.T
-                np.add.at(dgates[:, lo : lo + 3 * n], idx[:, t], np.concatenate([dz, dr, dnew], axis=1))
+                np.add.at(own, idx[:, t], np.concatenate([dz, dr, dnew], axis=1))
             g[f"h{side}"] = du
         return g, dgates
 
@@ -196,7 +197,7 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Encoder:
         return net
     number: dict[bytes, int] = {}
     docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)]) for t, _ in rows]
-    g = flat, who, own = grams(list(number))
+    flat, who, own = grams(list(number))
     order = np.argsort(who, kind="stable")
     flat, who = flat[order], who[order]
     begin = np.searchsorted(who, np.arange(len(number) + 1))
@@ -209,7 +210,6 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Encoder:
     rate = seen.sum(axis=0) / len(y) + 1e-9
     odds = np.log((seen[1] + prior * rate) / (n1 + prior)) - np.log((seen[0] + prior * rate) / (n0 + prior))
     odds[seen.sum(axis=0) < 2] = 0.0
-    net.p["chars"][:, 0] = 0.25 * np.clip(odds, -3, 3)
 
     idx, valid, doc = _windows(docs)
     word_odds = np.add.reduceat(np.append(odds[flat], 0.0), np.minimum(begin[:-1], len(flat))) * (np.diff(begin) > 0)
@@ -246,9 +246,8 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Encoder:
                 logit, kept = net.run(gates, local, valid[rows_], keep=True)
                 dlogit = ((sigmoid(logit) - target[some]) * weight[some] / len(some)).astype(np.float32)
                 grads, dgates = net.gradients(gates, local, valid[rows_], kept, dlogit)
-                n = 3 * HIDDEN
-                grads |= {"xf": x.T @ dgates[:, :n], "cf": dgates[:, :n].sum(axis=0), "xb": x.T @ dgates[:, n:], "cb": dgates[:, n:].sum(axis=0)}
-                dx = dgates[:, :n] @ net.p["xf"].T + dgates[:, n:] @ net.p["xb"].T
+                grads |= {"xf": x.T @ dgates[0], "cf": dgates[0].sum(axis=0), "xb": x.T @ dgates[1], "cb": dgates[1].sum(axis=0)}
+                dx = dgates[0] @ net.p["xf"].T + dgates[1] @ net.p["xb"].T
                 grads["chars"] = np.zeros_like(net.p["chars"])
                 np.add.at(grads["chars"], part_flat, dx[part_who, :CHAR_DIM])
                 grads["words"] = np.zeros_like(net.p["words"])
@@ -266,29 +265,36 @@ class Scorer:
     """Scores batches of texts with a trained network; remembers the inputs of words."""
 
     def __init__(self, net: Encoder) -> None:
-        self.net, self.number, self.gates = net, {}, np.zeros((0, 6 * HIDDEN), np.float32)
+        self.net, self.number, self.ready = net, {}, 0
+        self.gates = np.zeros((2, MEMORY, 3 * HIDDEN), np.float32)
 
     def _numbers(self, words: list[bytes]) -> np.ndarray:
         number = self.number
-        out = np.array([number.setdefault(w, len(number)) for w in words])
-        return out
-
-    def _project(self, new: list[bytes]) -> None:
-        rows = [self.net.project(self.net.vectors(grams(new[a : a + 50_000]))) for a in range(0, len(new), 50_000)]
-        self.gates = np.concatenate([self.gates, *rows])
+        return np.array([number.setdefault(w, len(number)) for w in words], np.int32)
+
+    def _project(self) -> None:
+        """Inputs of the words that are new."""
+        new = list(itertools.islice(self.number, self.ready, None))
+        if len(self.number) > self.gates.shape[1]:  # texts of more words than are remembered
+            self.gates = np.concatenate([self.gates[:, : self.ready], np.zeros((2, len(new), 3 * HIDDEN), np.float32)], axis=1)
+        for a in range(0, len(new), 20_000):
+            part = new[a : a + 20_000]
+            self.gates[:, self.ready : self.ready + len(part)] = self.net.project(self.net.vectors(grams(part)))
+            self.ready += len(part)
 
     def scores(self, texts: list[str | None]) -> list[float]:
         if self.net.constant is not None:
             return [self.net.constant] * len(texts)
         out: list[float] = []
         for a in range(0, len(texts), 100):
-            if len(self.number) > MEMORY:
-                self.number, self.gates = {}, np.zeros((0, 6 * HIDDEN), np.float32)
+            if len(self.number) > MEMORY * 3 // 4:
+                self.number, self.ready = {}, 0
+                if self.gates.shape[1] > MEMORY:
+                    self.gates = np.zeros((2, MEMORY, 3 * HIDDEN), np.float32)
             split = [words_of(t) for t in texts[a : a + 100]]
             docs = [self._numbers(w) for w in split if w]
-            if len(self.number) > len(self.gates):
-                words = list(self.number)
-                self._project(words[len(self.gates) :])
+            if len(self.number) > self.ready:
+                self._project()
             got = iter(self._documents(docs))
             out += [next(got) if w else 0.0 for w in split]
         return out
@@ -318,6 +324,7 @@ def score(docs: DataFrame, net: Encoder, text: str = "text", out: str = "score")
     docs = docs.drop(out)
 
     def run(batches):
+        common.only("toxicity")
         scorer = Scorer(model.value)
         for b in batches:
             got = scorer.scores(b.column(b.schema.get_field_index(text)).to_pylist())
