@@ -189,7 +189,7 @@ def cut_text(text: str | None, runs: list[list[int]]) -> str:
     data = (text or "").encode("utf-8", "surrogatepass")
     at = [m.span() for m in _WORD.finditer(data.translate(_TABLE))]
     out, last = [], 0
-    for a, b in runs:
+    for a, b in runs or []:
         out.append(data[last : at[a][0]])
         last = at[b - 1][1]
     return b"".join([*out, data[last:]]).decode("utf-8", "surrogatepass")
