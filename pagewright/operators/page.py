@@ -143,6 +143,20 @@ def equation_regions(boxes: DataFrame, lines: DataFrame, blocks: DataFrame, coun
     return out.withColumn("tokens", count(F.col("source"))).withColumn("replaced", F.col("tokens") < limit).drop("label")
 
 
+def batch_limits(regions: DataFrame, by: list[str], order: list[str], batch: int = 6, most: int = 384, buffer: int = 256) -> DataFrame:
+    """Regions with max_length, the number of tokens that their model batch may give: the batch's longest source, at most
+    `most`, and a buffer."""
+    i = F.floor((F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1) / batch)
+    out = regions.withColumn("batch", i)
+    longest = F.max("tokens").over(W.partitionBy(*by, "batch"))
+    return out.withColumn("max_length", F.least(longest, F.lit(most)) + buffer).drop("batch")
+
+
+def unless_run_on(output: Column, max_length: Column, count=F.octet_length) -> Column:
+    """A model's output, empty if it was cut off by its limit."""
+    return F.when(count(output) >= max_length - 1, "").otherwise(output)
+
+
 def accept_equations(regions: DataFrame, predicted: str = "predicted", count=F.octet_length, limit: int = 384) -> DataFrame:
     """Regions with their final text: the prediction, unless it ran on, is much shorter than the source, or is blank."""
     p = F.col(predicted)

@@ -221,7 +221,7 @@ def _detected(spark, sf_dir):
     return lines.withColumnRenamed("line_no", "line_idx"), kept
 
 
-_COV = f"{_DET}, ci as (select d.doc_id, d.pnum, d.line_idx, sum({S.sql_pct('d', 'k')}) pct from det d left join kept k using (doc_id, pnum) group by all), cv as (select doc_id, pnum, count_if(coalesce(pct, 0) > 0.5) found, count(*) total from ci group by all)"
+_COV = f"{_DET}, ci as (select d.doc_id, d.pnum, d.line_idx, sum({S.sql_pct('d', 'k')}) pct from det d left join kept k using (doc_id, pnum) group by all), cv as (select doc_id, pnum, cast(count_if(coalesce(pct, 0) > 0.5) as bigint) found, count(*) total from ci group by all)"
 
 
 @query(WITH + f", {_COV}\nselect doc_id, pnum, found, total, found / total > 0.4 as covered from cv")
@@ -256,7 +256,7 @@ def ocr_needed(spark, sf_dir):
     return _needed(spark, sf_dir)[1]
 
 
-@query(WITH + f", {_NEED}, rp as (select *, case when pnum % 2 = 0 then 'Recognised text of page ' || pnum else repeat('�', 80) end new from nd), rr as (select doc_id, needed, needed and not ({sql_bad_ocr('new')}) ok from rp)\nselect doc_id, count_if(needed) ocr_pages, count_if(ok) ocr_success, count_if(needed) - count_if(ok) ocr_failed, case when count_if(needed) > 0 then 'model' else 'none' end ocr_engine from rr group by doc_id")
+@query(WITH + f", {_NEED}, rp as (select *, case when pnum % 2 = 0 then 'Recognised text of page ' || pnum else repeat('�', 80) end new from nd), rr as (select doc_id, needed, needed and not ({sql_bad_ocr('new')}) ok from rp)\nselect doc_id, cast(count_if(needed) as bigint) ocr_pages, cast(count_if(ok) as bigint) ocr_success, cast(count_if(needed) - count_if(ok) as bigint) ocr_failed, case when count_if(needed) > 0 then 'model' else 'none' end ocr_engine from rr group by doc_id")
 def ocr_stats(spark, sf_dir):
     pages, needed = _needed(spark, sf_dir)
     new = F.when(F.col("pnum") % 2 == 0, F.concat(F.lit("Recognised text of page "), "pnum")).otherwise("�" * 80)

@@ -110,3 +110,15 @@ def bbox_margin_pct(spark, sf_dir):
     a = (F.col("v0"), F.col("v1"), F.col("v0") + F.abs("v2") + 1, F.col("v1") + F.abs("v3") + 1)
     b = (F.col("v4"), F.col("v5"), F.col("v4") + F.abs("v6") + 1, F.col("v5") + F.abs("v7") + 1)
     return v.select("vec_id", G.margin_pct(a, b, 0.25).alias("pct"))
+
+
+@query(f"with {_SQL_V} select vec_id, " + ", ".join(f"{[612, 792][i % 2]}.0::double * (v{i} / 1000) as {n}" for i, n in enumerate(XY)) + " from v")
+def bbox_unnormalize(spark, sf_dir):
+    b = G.unnormalize(tuple(F.col(f"v{i}") for i in range(4)), F.lit(612.0), F.lit(792.0))
+    return _vectors(spark, sf_dir).select("vec_id", *[c.alias(n) for c, n in zip(b, XY)])
+
+
+@query(f"with {_SQL_V} select vec_id, v0 x0, v1 y0, v2 x1, v1 x2y, v3 y2 from v")
+def bbox_corners(spark, sf_dir):
+    v = _vectors(spark, sf_dir).withColumn("p", G.corners(tuple(F.col(f"v{i}") for i in range(4))))
+    return v.select("vec_id", F.col("p")[0][0].alias("x0"), F.col("p")[0][1].alias("y0"), F.col("p")[1][0].alias("x1"), F.col("p")[1][1].alias("x2y"), F.col("p")[2][1].alias("y2"))

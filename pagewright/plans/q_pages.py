@@ -169,7 +169,7 @@ def equation_insert(spark, sf_dir):
     return P.insert_equations(lines.join(gone, [*KEY, "line_no"], "left_anti"), accepted).select(*KEY, "seq", "block_no", "kind", "text")
 
 
-@query(WITH + f", {_EQ}\nselect doc_id, count(*) as equations, count_if(accepted) as successful, count_if(not accepted) as failed from acc group by doc_id")
+@query(WITH + f", {_EQ}\nselect doc_id, count(*) as equations, cast(count_if(accepted) as bigint) as successful, cast(count_if(not accepted) as bigint) as failed from acc group by doc_id")
 def equation_stats(spark, sf_dir):
     a = _accepted(spark, sf_dir)[0]
     return a.groupBy("doc_id").agg(F.count(F.lit(1)).alias("equations"), F.count_if("accepted").alias("successful"), F.count_if(~F.col("accepted")).alias("failed"))
@@ -352,3 +352,25 @@ def order_boxes_limit(spark, sf_dir):
     from .. import models
 
     return models.limit_boxes(S.layout_boxes(S.blocks(S.spans(spark, sf_dir))), 5).select(*KEY, "box_idx")
+
+
+@query(_WITH_R + f""", {_DIV}
+select b.doc_id, b.pnum, b.box_idx, case when b.label = 'Table' and row_dividers is null then 'Text' else b.label end as label,
+  case when row_dividers is null then b.x0 else greatest(least(b.x0, col_dividers[-1]), col_dividers[1]) end as x0, case when row_dividers is null then b.y1 else greatest(least(b.y1, row_dividers[-1]), row_dividers[1]) end as y1
+from boxes b left join dv on dv.doc_id = b.doc_id and dv.pnum = b.pnum and dv.box_idx = b.box_idx and b.pnum % 3 <> 1""")
+def table_bounds(spark, sf_dir):
+    """Table boxes drawn to their dividers; those without are text."""
+    boxes = S.layout_boxes(S.blocks(S.spans(spark, sf_dir)))
+    found = TB.dividers(_cells(boxes), boxes).filter("pnum % 3 <> 1")
+    return TB.fit_to_bounds(boxes, found).select(*KEY, "box_idx", "label", "x0", "y1")
+
+
+@query(WITH + f""", {_EQ}, n as (select *, row_number() over (partition by doc_id order by pnum, box_idx) - 1 i from eq where tokens < 384), m as (select *, least(max(tokens) over (partition by doc_id, i // 6), 384) + 256 as max_length from n)
+select doc_id, pnum, box_idx, max_length, case when box_idx % 2 = 0 then '' else source end as latex from m""")
+def equation_batches(spark, sf_dir):
+    """Length limits of model batches, and outputs that ran on to the limit emptied."""
+    _, lines, blocks, boxes = _layout(spark, sf_dir)
+    eq = P.equation_regions(boxes, lines, blocks).filter("replaced")
+    limits = P.batch_limits(eq, ["doc_id"], ["pnum", "box_idx"])
+    guess = F.when(F.col("box_idx") % 2 == 0, F.rpad("source", 640, "x")).otherwise(F.col("source"))
+    return limits.select(*KEY, "box_idx", "max_length", P.unless_run_on(guess, F.col("max_length")).alias("latex"))

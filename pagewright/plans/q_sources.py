@@ -31,6 +31,21 @@ def src_ext_dispatch(spark, sf_dir):
     return pipelines.dispatch(files).select("page_id", "ext", "pipeline")
 
 
+_KINDS = [".pdf", ".PNG", ".docx", ".tif", ".md"]
+
+
+@query(f"select page_id, case when e = '.pdf' then 'none' when e in ({', '.join(repr(x) for x in pipelines.IMAGES)}) then 'image' else 'office' end as route from (select page_id, lower([{', '.join(repr(n) for n in _KINDS)}][page_id % {len(_KINDS)} + 1]) e from pages)")
+def src_conversion(spark, sf_dir):
+    name = F.element_at(F.array(*[F.lit(n) for n in _KINDS]), (F.col("page_id") % len(_KINDS) + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", pipelines.conversion(F.concat(F.lit("/in/f"), name)).alias("route"))
+
+
+@query("select page_id, case when page_id % 2 = 0 then 'pdf' else 'other' end as kind from pages")
+def sniff_pdf(spark, sf_dir):
+    head = F.when(F.col("page_id") % 2 == 0, "%PDF-1.7").otherwise("%!PS")
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(head, "html").cast("binary").alias("content")).select("page_id", binary.sniff_pdf().alias("kind"))
+
+
 @query("select doc_id, 0 as \"index\", sha256(doc_id || '|0') as chunk_id, text as content, source from documents")
 def src_text(spark, sf_dir):
     return binary.one_chunk(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("chunk_type")
