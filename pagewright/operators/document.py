@@ -119,11 +119,21 @@ def merge_lines(lines: DataFrame, order: list[str] | None = None, flush_at_image
     items = F.sort_array(F.collect_list(F.struct("seq", "text", "continues", "table_data")))
     g = r.groupBy(*DOC, "island", "block_type").agg(items.alias("items"), F.min("seq").alias("begin"))
 
+    # What joins two lines depends on the end of the text so far, which is the last line that isn't blank: only that one,
+    # the tail, goes through the patterns, so that a long block isn't read again for each of its lines.
     def put(acc: Column, x: Column) -> Column:
-        return F.when(acc == "", x["text"]).otherwise(T.join_lines(acc, x["text"], F.col("block_type"), x["continues"]))
+        def parted(joined: Column) -> Column:
+            own = F.when(joined.endswith(x["text"]), x["text"]).otherwise(T.lstrip(x["text"]))
+            begun = F.concat(acc["done"], F.left(joined, F.length(joined) - F.length(own)))
+            return F.when(not_blank(x["text"]), F.struct(begun.alias("done"), own.alias("tail"))).otherwise(F.struct(acc["done"].alias("done"), joined.alias("tail")))
 
+        # the one-element array binds the joined text to a variable, so that it is made once
+        one = F.transform(F.array(T.join_lines(acc["tail"], x["text"], F.col("block_type"), x["continues"])), parted)[0]
+        return F.when((acc["done"] == "") & (acc["tail"] == ""), F.struct(F.lit("").alias("done"), x["text"].alias("tail"))).otherwise(one)
+
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("tail"))
     table = F.array_join(F.transform("items", lambda x: x["text"]), "\n")
-    text = F.when(F.col("block_type") == "Table", table).otherwise(F.aggregate("items", F.lit(""), put))
+    text = F.when(F.col("block_type") == "Table", table).otherwise(F.aggregate("items", start, put, lambda a: F.concat(a["done"], a["tail"])))
     g = g.withColumn("text", T.block_surround(text, F.col("block_type"))).withColumn("table_data", F.when(F.col("block_type") == "Table", F.array_join(F.transform("items", lambda x: x["table_data"]), "\n")))
     # a block comes out where the next one begins
     out = F.coalesce(F.lead("begin").over(W.partitionBy(*DOC).orderBy("island")), F.lit(2**31 - 1))

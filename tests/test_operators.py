@@ -98,3 +98,25 @@ def test_common_titles(spark):
     near = d.withColumn("text", F.when(F.col("index") == 2, "Annual reports").otherwise(F.col("text")))
     assert sorted(r["index"] for r in D.common_titles(near).collect()) == [0, 1, 2, 3, 4]
     assert sorted(r["index"] for r in D.common_titles(near, exact=True).collect()) == [0, 1, 3, 4]
+
+
+def test_merge_lines_joins_as_one_text_would(spark):
+    """Against a fold over the whole text."""
+    import random
+
+    from pagewright.functions import text as T
+
+    r = random.Random(4)
+    parts = ["word", "end.", "hyph-", "  ", "", "a,", "Next", " lead", "trail ", ",", "x", "日本", "9"]
+    rows, want = [], {}
+    for doc in range(60):
+        texts = [r.choice(parts) for _ in range(r.randint(1, 9))]
+        rows += [(doc, 0, 0, 0, i, "Caption", t, None, None, float(r.randint(0, 1)), 0.0, 1.0) for i, t in enumerate(texts)]
+    got = {x.doc_id: x.text for x in D.merge_lines(lines(spark, rows)).collect()}
+    for doc in {x[0] for x in rows}:
+        mine = [x for x in rows if x[0] == doc]
+        goes_on = [i > 0 and a[9] == b[9] for i, (a, b) in enumerate(zip(mine, [mine[0], *mine]))]
+        want[doc] = [(x[6], c) for x, c in zip(mine, goes_on)]
+    steps = spark.createDataFrame([(d, w) for d, w in want.items()], "doc_id long, items array<struct<t:string,c:boolean>>")
+    fold = F.aggregate("items", F.lit(""), lambda a, x: F.when(a == "", x["t"]).otherwise(T.join_lines(a, x["t"], F.lit("Caption"), x["c"])))
+    assert got == {x.doc_id: x.r for x in steps.select("doc_id", fold.alias("r")).collect()}
