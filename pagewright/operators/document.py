@@ -279,7 +279,7 @@ def ocr_replace(pages: DataFrame, needed: DataFrame, recognised: DataFrame) -> D
     return j.select(*PAGE, F.when(good, F.col("new")).otherwise(F.col("text")).alias("text"), "asked", good.alias("replaced"))
 
 
-def ocr_stats(replaced: DataFrame, engine: str = "surya") -> DataFrame:
+def ocr_stats(replaced: DataFrame, engine: str = "model") -> DataFrame:
     """doc_id, ocr_pages, ocr_success, ocr_failed, ocr_engine."""
     out = replaced.groupBy(*DOC).agg(F.count_if("asked").alias("ocr_pages"), F.count_if("replaced").alias("ocr_success"))
     return out.withColumn("ocr_failed", F.col("ocr_pages") - F.col("ocr_success")).withColumn("ocr_engine", F.when(F.col("ocr_pages") > 0, engine).otherwise("none"))

@@ -60,15 +60,19 @@ def remove_watermarks(spans: DataFrame, threshold: float | int = 0.4, least_span
 
 
 def _best_box(things: DataFrame, keys: list[str], boxes: DataFrame, value: str) -> DataFrame:
-    """keys and the value of the box that covers most of each thing; the earliest box wins ties, and the page's first box
-    is taken where none covers any."""
-    b = _as(boxes, "box_idx", value)
+    """Things with the value of the box that covers most of each; the earliest box wins ties, and the page's first box is
+    taken where none covers any.
+
+    Everything is dealt by page once: the join, the choice and the fallback need no other shuffle. Only boxes that meet a
+    thing go into the choice; the others could win only by being the first."""
+    b = boxes.select(F.col("doc_id").alias("b_doc"), F.col("pnum").alias("b_page"), F.col("box_idx").alias("b_idx"), F.col(value).alias("b_value"), *[F.col(c).alias("b" + c) for c in XY])
+    on = (F.col("doc_id") == F.col("b_doc")) & (F.col("pnum") == F.col("b_page")) & G.intersects(G.box(), G.box("b"))
     pct = G.intersection_pct(G.box(), G.box("b"))
-    # Only boxes that meet a thing go into the choice; the others could win only by being the first.
-    met = things.select(*keys, *XY).join(b, PAGE).filter(G.intersects(G.box(), G.box("b"))).withColumn("pct", pct).filter("pct > 0")
-    best = met.groupBy(*keys).agg(F.max(F.struct("pct", (-F.col("box_idx")).alias("i"), F.col(value).alias("v"))).alias("m")).select(*keys, F.col("m.v").alias("best"))
-    first = boxes.groupBy(*PAGE).agg(F.min(F.struct("box_idx", value)).alias("m")).select(*PAGE, F.col(f"m.{value}").alias("first"))
-    return things.join(best, keys, "left").join(first, PAGE, "left").withColumn(value, F.coalesce("best", "first")).drop("best", "first")
+    best = F.max(F.when(pct > 0, F.struct(pct.alias("pct"), (-F.col("b_idx")).alias("i"), F.col("b_value").alias("v"))))
+    rest = [F.first(c).alias(c) for c in things.columns if c not in keys]
+    got = things.join(b, on, "left").groupBy(*keys).agg(*rest, best.alias("b_best"))
+    first = boxes.groupBy(*PAGE).agg(F.min(F.struct("box_idx", value)).alias("m")).select(*PAGE, F.col(f"m.{value}").alias("b_first"))
+    return got.join(first, PAGE, "left").withColumn(value, F.coalesce("b_best.v", "b_first")).drop("b_best", "b_first")
 
 
 def annotate_blocks(blocks: DataFrame, boxes: DataFrame) -> DataFrame:

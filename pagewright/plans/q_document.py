@@ -11,7 +11,7 @@ from ..session import table
 from . import synthetic as S
 from .q_geometry import WITH
 from .q_pages import _TYPED, _layout
-from .q_text import TYPES, sql_bad_ocr, sql_join_lines, sql_surround
+from .q_text import sql_bad_ocr, sql_join_lines, sql_surround
 from .registry import query
 
 KEY = ["doc_id", "pnum"]
