@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +39,17 @@ def scratch(spark: SparkSession, name: str) -> str:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="pagewright-shared-"))
         base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/pagewright/{name}-{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once for a context, so that Python workers can import it anywhere."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_pagewright_shipped", False):
+        root = Path(__file__).resolve().parents[1]
+        path = os.path.join(tempfile.mkdtemp(prefix="pagewright-"), "pagewright_src.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for p in sorted((root / "pagewright").rglob("*.py")):
+                z.write(p, str(p.relative_to(root)))
+        sc.addPyFile(path)
+        sc._pagewright_shipped = True
+    return spark
