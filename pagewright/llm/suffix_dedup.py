@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, GRAM = 400, 32
-#: Different segments of a group that are sorted together; more are counted by digest.
+#: Different segments of a group that are sorted together, 3 MB at most; more are counted by digest. Building an
+#: array takes less than 200 bytes of a worker's memory for each byte of text.
 GROUP = 4000
 _R = np.random.default_rng(97)
 _BYTE = _R.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -344,11 +345,22 @@ def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     wanted = store(wanted.join(home, "tid"), "wanted")
 
     def fetch(batches):
+        kinds, names = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()), ["gram", "name", "copies", "place", "bytes", "different"]
+        rows: list[tuple] = []
+
+        def part():
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+            rows.clear()
+            return out
+
         for b in batches:
             for t, some in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 data = (t or "").encode("utf-8", "surrogatepass")
-                rows = [(s["gram"], s["name"], s["copies"], s["place"], data[s["a"] : s["a"] + s["windows"] + WINDOW - 1], s["different"]) for s in some]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()))], ["gram", "name", "copies", "place", "bytes", "different"])
+                rows += [(s["gram"], s["name"], s["copies"], s["place"], data[s["a"] : s["a"] + s["windows"] + WINDOW - 1], s["different"]) for s in some]
+                if len(rows) >= 2000:
+                    yield part()
+        if rows:
+            yield part()
 
     found = keyed.join(wanted.withColumnRenamed("tid", "w").hint("merge"), (F.col("tid") == F.col("w")) & F.col("k").eqNullSafe(F.col("home"))).select("t", "s")
     fetched = store(found.mapInArrow(fetch, "gram long, name long, copies long, place int, bytes binary, different long"), "fetched")
