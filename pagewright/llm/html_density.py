@@ -20,13 +20,15 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import common
 
-_TAG = re.compile(r"<(?:!--(.*?)(?:--!?>|\Z)|([!?])[^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
+# A quoted value follows an equals sign; other quotes are plain. Nothing is tried twice, so that broken markup stays linear.
+_TAG = re.compile(r"<(?:!--(.*?)(?:--!?>|\Z)|([!?])[^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
@@ -60,18 +62,18 @@ CLOSES = {
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total", "main")
+    __slots__ = ("name", "parent", "parts", "cut", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total", "main")
 
     def __init__(self, name: str, parent: Node | None, cut: bool = False) -> None:
         self.name, self.parent, self.cut = name, parent, cut
+        self.inside = name in ("article", "main") or parent is not None and parent.inside
         self.parts: list = []  # text and nodes, in order
         self.main = False
 
 
-def _unwanted(name: str, attributes: str, open_: list[Node]) -> bool:
+def _unwanted(name: str, attributes: str, inside: bool) -> bool:
     if name in CUT:
         return True
-    inside = any(x.name in ("article", "main") for x in open_)
     if name == "header" and not inside:
         return True
     if not attributes or name in KEPT:
@@ -95,8 +97,17 @@ def tree(page: str) -> Node:
     """The page's elements; those that are cut keep their place but no content."""
     root = Node("#page", None)
     open_, at, pos = [root], 0, 0
+    names_open: Counter[str] = Counter()
+    last = page.rfind(">") + 1  # no tag ends after it, but comments and declarations may
+    if "<!" in page[last:] or "<?" in page[last:]:
+        last = len(page)
+
+    def close(i: int) -> None:
+        names_open.subtract(x.name for x in open_[i:])
+        del open_[i:]
+
     while True:
-        m = _TAG.search(page, pos)
+        m = _TAG.search(page, pos, last)
         text = page[at : m.start() if m else len(page)]
         if text:
             open_[-1].parts.append(text)
@@ -108,25 +119,25 @@ def tree(page: str) -> Node:
             continue
         name = name.lower()
         if closing:
-            for i in range(len(open_) - 1, 0, -1):
+            for i in range(len(open_) - 1, 0, -1) if names_open[name] else ():
                 if open_[i].name == name:
-                    del open_[i:]
+                    close(i)
                     break
                 if open_[i].name in ("table", "article", "section", "body", "html") and name not in BLOCK:
                     break  # a stray end of an inline element
             continue
         if name in CLOSES:
             names, fences = CLOSES[name]
-            for i in range(len(open_) - 1, 0, -1):
+            for i in range(len(open_) - 1, 0, -1) if any(names_open[x] for x in names) else ():
                 if open_[i].name in names:
-                    del open_[i:]
+                    close(i)
                     break
                 if open_[i].name in fences:
                     break
-        if name in ("html", "body") and any(x.name == name for x in open_):
+        if name in ("html", "body") and names_open[name]:
             continue
         parent = open_[-1]
-        node = Node(name, parent, parent.cut or _unwanted(name, attributes, open_))
+        node = Node(name, parent, parent.cut or _unwanted(name, attributes, parent.inside))
         parent.parts.append(node)
         if name in VOID:
             continue
@@ -136,6 +147,7 @@ def tree(page: str) -> Node:
             continue
         if not (attributes or "").rstrip().endswith("/") or name in BLOCK:
             open_.append(node)
+            names_open[name] += 1
     return root
 
 
