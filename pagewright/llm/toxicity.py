@@ -16,6 +16,7 @@ every score is the share of label 1 (0 without any); repeated rows get equal sco
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ CHAR_BUCKETS, WORD_BUCKETS = 1 << 15, 1 << 12
 ROUNDS, EPOCHS, BATCH = 4, 3, 128
 #: Words whose input a worker remembers; no result depends on it.
 MEMORY = 200_000
+#: Words of the texts that are worked on together; a multiple of STEP.
+PART = 40_000
 #: Windows that are scored at once.
 AT_ONCE = 2048
 THRESHOLD = 0.5
@@ -79,6 +82,15 @@ def starts_of(n: int) -> list[int]:
     return [*range(0, n - LENGTH, STEP), n - LENGTH] if n > LENGTH else [0]
 
 
+def pieces(words: list[bytes]) -> Iterator[list[bytes]]:
+    """Parts of a text whose windows together are the text's windows; a text of up to PART words is one."""
+    if words and len(words) <= PART:
+        yield words
+    else:
+        for a in range(0, len(words) - LENGTH + 1, PART):
+            yield words[a : a + PART + LENGTH - STEP]
+
+
 class Encoder:
     """The network. Inputs of distinct words are computed once (`project`), windows run over their numbers."""
 
@@ -275,32 +287,40 @@ class Scorer:
     def _project(self) -> None:
         """Inputs of the words that are new."""
         new = list(itertools.islice(self.number, self.ready, None))
-        if len(self.number) > self.gates.shape[1]:  # texts of more words than are remembered
-            self.gates = np.concatenate([self.gates[:, : self.ready], np.zeros((2, len(new), 3 * HIDDEN), np.float32)], axis=1)
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
             self.gates[:, self.ready : self.ready + len(part)] = self.net.project(self.net.vectors(grams(part)))
             self.ready += len(part)
 
     def scores(self, texts: list[str | None]) -> list[float]:
+        """Scores of texts. Texts are worked on in parts of bounded words, so that memory doesn't follow their length."""
         if self.net.constant is not None:
             return [self.net.constant] * len(texts)
-        out: list[float] = []
-        for a in range(0, len(texts), 100):
-            if len(self.number) > MEMORY * 3 // 4:
-                self.number, self.ready = {}, 0
-                if self.gates.shape[1] > MEMORY:
-                    self.gates = np.zeros((2, MEMORY, 3 * HIDDEN), np.float32)
-            split = [words_of(t) for t in texts[a : a + 100]]
-            docs = [self._numbers(w) for w in split if w]
-            if len(self.number) > self.ready:
-                self._project()
-            got = iter(self._documents(docs))
-            out += [next(got) if w else 0.0 for w in split]
-        return out
-
-    def _documents(self, docs: list[np.ndarray]) -> list[float]:
-        """Windows of several documents are scored together: full ones without a mask, short texts with one."""
+        best = np.full(len(texts), -np.inf)
+        parts: list[tuple[int, list[bytes]]] = []
+        held = 0
+        for i, t in enumerate(texts):
+            for part in pieces(words_of(t)):
+                parts.append((i, part))
+                held += len(part)
+                if held >= PART:
+                    self._score(parts, best)
+                    parts, held = [], 0
+        if parts:
+            self._score(parts, best)
+        # a text without words has no window, and scores 0
+        return np.where(np.isneginf(best), 0.0, sigmoid(self.net.slope * np.maximum(best, -1e6) + self.net.shift)).tolist()
+
+    def _score(self, parts: list[tuple[int, list[bytes]]], best: np.ndarray) -> None:
+        if len(self.number) > MEMORY - 2 * PART:
+            self.number, self.ready = {}, 0
+        docs = [self._numbers(w) for _, w in parts]
+        if len(self.number) > self.ready:
+            self._project()
+        np.maximum.at(best, [i for i, _ in parts], self._documents(docs))
+
+    def _documents(self, docs: list[np.ndarray]) -> np.ndarray:
+        """The highest logit of each part. Windows of several are run together: full ones without a mask, short with one."""
         best = np.full(len(docs), -np.inf, np.float64)
         full = [i for i, x in enumerate(docs) if len(x) >= LENGTH]
         if full:
@@ -315,7 +335,7 @@ class Scorer:
         if short := [i for i, x in enumerate(docs) if len(x) < LENGTH]:
             idx, valid, doc = _windows([docs[i] for i in short])
             np.maximum.at(best, np.array(short)[doc], self.net.run(self.gates, idx, valid))
-        return sigmoid(self.net.slope * best + self.net.shift).astype(float).tolist()
+        return best
 
 
 def score(docs: DataFrame, net: Encoder, text: str = "text", out: str = "score") -> DataFrame:

@@ -277,6 +277,16 @@ def test_windows():
     assert toxicity.starts_of(10) == [0] and toxicity.starts_of(32) == [0] and toxicity.starts_of(33) == [0, 1] and toxicity.starts_of(70) == [0, 16, 32, 38]
 
 
+def test_long_texts_in_parts(monkeypatch):
+    monkeypatch.setattr(toxicity, "PART", 64)
+    for n in (0, 1, 31, 32, 64, 65, 80, 96, 97, 127, 128, 129, 300, 321):
+        words = [b"%d" % i for i in range(n)]
+        got = {tuple(p[s : s + 32]) for p in toxicity.pieces(words) for s in toxicity.starts_of(len(p))}
+        want = {tuple(words[s : s + 32]) for s in toxicity.starts_of(n)} if n else set()
+        assert want <= got, n
+        assert len(got) <= len(want) + n // 64
+
+
 # 6 Suffix arrays
 
 
