@@ -46,8 +46,15 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_SPACED).split()
 
 
-def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all character grams, the word each belongs to, and each word's own bucket."""
+def grams(words: list[bytes], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all character grams, the word each belongs to, and each word's own bucket; words in order."""
+    some = [_grams(words[a : a + at_once]) for a in range(0, len(words), at_once)]
+    who = [w + np.int32(i * at_once) for i, (_, w, _) in enumerate(some)]
+    empty = np.zeros(0, np.int32)
+    return np.concatenate([empty, *(f for f, _, _ in some)]), np.concatenate([empty, *who]), np.concatenate([empty, *(o for _, _, o in some)])
+
+
+def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lengths = np.array([len(w) + 2 for w in words])
     data = np.frombuffer(b"".join([b"<" + w + b">" for w in words]), np.uint8).astype(np.uint64)
     ends = np.cumsum(lengths)
@@ -72,7 +79,7 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     own = np.add.reduceat(mixed * np.uint64(0x9E3779B97F4A7C15), ends - lengths)
     own = (own >> np.uint64(64 - WORD_BUCKETS.bit_length() + 1)).astype(np.int32)
     flat = np.concatenate(buckets) if buckets else np.zeros(0, np.int32)
-    who = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+    who = np.concatenate(owners).astype(np.int32) if owners else np.zeros(0, np.int32)
     order = np.argsort(who, kind="stable")
     return flat[order], who[order], own
 
@@ -196,7 +203,7 @@ def _windows(numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
             idx.append(np.pad(part, (0, LENGTH - len(part))))
             valid.append(np.arange(LENGTH) < len(part))
             doc.append(i)
-    return np.array(idx), np.array(valid), np.array(doc)
+    return np.array(idx, np.int32), np.array(valid), np.array(doc)
 
 
 def train(rows: list[tuple[str, int]], seed: int = 7) -> Encoder:
@@ -208,10 +215,8 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Encoder:
         net.constant = float(y.mean()) if len(y) else 0.0
         return net
     number: dict[bytes, int] = {}
-    docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)]) for t, _ in rows]
+    docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t, _ in rows]
     flat, who, own = grams(list(number))
-    order = np.argsort(who, kind="stable")
-    flat, who = flat[order], who[order]
     begin = np.searchsorted(who, np.arange(len(number) + 1))
 
     # Log odds of each gram among documents, with as many rows as PRIOR added at the rate of all documents.
@@ -224,7 +229,7 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Encoder:
     odds[seen.sum(axis=0) < 2] = 0.0
 
     idx, valid, doc = _windows(docs)
-    word_odds = np.add.reduceat(np.append(odds[flat], 0.0), np.minimum(begin[:-1], len(flat))) * (np.diff(begin) > 0)
+    word_odds = np.add.reduceat(np.append(odds.astype(np.float32)[flat], np.float32(0)), np.minimum(begin[:-1], len(flat))) * (np.diff(begin) > 0)
     score = np.where(valid, word_odds[idx], -9).max(axis=1)
     adam = learning.Adam(net.p, 0.01)
     r = np.random.default_rng(seed)
