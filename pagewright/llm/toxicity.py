@@ -95,7 +95,8 @@ def pieces(words: list[bytes]) -> Iterator[list[bytes]]:
         yield words
     else:
         for a in range(0, len(words) - LENGTH + 1, PART):
-            yield words[a : a + PART + LENGTH - STEP]
+            # No piece begins where fewer than LENGTH words are left: the one before runs to the end of the text.
+            yield words[a:] if len(words) - a < PART + LENGTH else words[a : a + PART + LENGTH - STEP]
 
 
 class Encoder:
@@ -317,7 +318,7 @@ class Scorer:
         return np.where(np.isneginf(best), 0.0, sigmoid(self.net.slope * np.maximum(best, -1e6) + self.net.shift)).tolist()
 
     def _score(self, parts: list[tuple[int, list[bytes]]], best: np.ndarray) -> None:
-        if len(self.number) > MEMORY - 2 * PART:
+        if len(self.number) > MEMORY - 2 * PART - LENGTH:  # up to PART - 1 words are held when a piece of up to PART + LENGTH - 1 comes
             self.number, self.ready = {}, 0
         docs = [self._numbers(w) for _, w in parts]
         if len(self.number) > self.ready:

@@ -287,6 +287,23 @@ def test_long_texts_in_parts(monkeypatch):
         assert len(got) <= len(want) + n // 64
 
 
+def test_every_length_in_parts(monkeypatch):
+    monkeypatch.setattr(toxicity, "PART", 64)
+    for n in range(331):
+        words = [b"%d" % i for i in range(n)]
+        got = Counter(tuple(p[s : s + 32]) for p in toxicity.pieces(words) for s in toxicity.starts_of(len(p)))
+        assert got == Counter(tuple(words[s : s + 32]) for s in (toxicity.starts_of(n) if n else [])), n
+
+
+def test_remembered_words_have_room_for_the_longest_piece(monkeypatch):
+    net = toxicity.train([("a bad idiot word here " * 3, 1), ("a fine nice word here " * 3, 0)] * 30)
+    texts = [" ".join(f"{x}{i}" for i in range(n)) for x, n in (("p", 64), ("q", 63), ("r", 95))]
+    want = toxicity.Scorer(net).scores(texts)
+    monkeypatch.setattr(toxicity, "PART", 64)
+    monkeypatch.setattr(toxicity, "MEMORY", 192)
+    assert toxicity.Scorer(net).scores(texts) == pytest.approx(want, abs=1e-5)
+
+
 # 6 Suffix arrays
 
 
