@@ -5,7 +5,7 @@ Text is lower-cased in A-Z only; words are maximal runs of digits, letters and n
 and looked up; each hit is verified word by word, and the words of every verified occurrence are marked.
 
 Defined results: null and wordless texts have no words and no hits; wordless or null items have no windows; repeated
-items count once for each item_id; an empty benchmark hits nothing; other columns are ignored by `scan` and kept by
+items count once for each item_id; the windows of items without an id hit words, and no id is named for them; an empty benchmark hits nothing; other columns are ignored by `scan` and kept by
 `remove_documents` and `remove_spans`.
 """
 
@@ -42,14 +42,16 @@ def words_of(text: str | None) -> list[bytes]:
 class Windows:
     """The benchmark's windows, by length: words as numbers, hashes of windows, and what each hash stands for."""
 
-    def __init__(self, items: list[tuple[str, str | None]], n: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, str | None]], n: int = WINDOW) -> None:
         self.n, self.number = n, {}
         by: dict[int, dict[tuple[int, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
         for item, text in items:
             ids = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
             size = min(n, len(ids))
             for i in range(len(ids) - size + 1 if ids else 0):
-                by[size][tuple(ids[i : i + size])].add(item)
+                named = by[size][tuple(ids[i : i + size])]
+                if item is not None:
+                    named.add(item)
         self.windows = {size: dict(x) for size, x in by.items()}
         self.hashes, self.meaning = {}, {}
         for size, x in self.windows.items():
@@ -69,7 +71,7 @@ class Windows:
         return h
 
     def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
-        """For each word whether it lies in an occurrence of a window, and the items that occur."""
+        """For each word whether it lies in an occurrence of a window, and the items with an id that occur."""
         hit, found = np.zeros(len(words), bool), set()
         get = self.number.get
         ids = np.array([get(w, 0) for w in words], np.uint64)
@@ -86,7 +88,7 @@ class Windows:
             for i in at[np.isin(h, hashes)].tolist():
                 key = tuple(ids[i : i + size].tolist())
                 items = self.windows[size].get(key)  # the check of the hit, word by word
-                if items:
+                if items is not None:
                     hit[i : i + size] = True
                     found |= items
         return hit, found
@@ -98,10 +100,10 @@ def spans(hit: np.ndarray) -> list[list[int]]:
     return edges.reshape(-1, 2).tolist()
 
 
-def _slices(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple[str, str | None]]]:
+def _slices(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple[str | None, str | None]]]:
     """The benchmark in parts of at most `limit` bytes of text (a larger item is a part of its own)."""
     part, size = [], 0
-    for row in benchmark.select(F.col(item).cast("string"), F.col(text)).filter(F.col(item).isNotNull()).toLocalIterator():
+    for row in benchmark.select(F.col(item).cast("string"), F.col(text)).toLocalIterator():
         more = len((row[1] or "").encode("utf-8", "surrogatepass")) + 64
         if part and size + more > limit:
             yield part
@@ -124,7 +126,7 @@ def _scan_part(docs: DataFrame, windows, key: str, text: str) -> DataFrame:
             for t in b.column(1).to_pylist():
                 words = words_of(t)
                 hit, found = w.hits(words)
-                for x, v in zip(out, (len(words), int(hit.sum()), sorted(found), spans(hit) if found else [])):
+                for x, v in zip(out, (len(words), int(hit.sum()), sorted(found), spans(hit))):
                     x.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.string())), pa.array(out[3], pa.list_(pa.list_(pa.int32())))], [key, "n_words", "n_hit", "item_ids", "hit_spans"])
 

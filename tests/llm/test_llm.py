@@ -402,6 +402,18 @@ def test_decontamination_spans(spark):
     assert texts == {1: "Before, ; after", 2: "!", 3: None, 4: "one two"}
 
 
+@pytest.mark.parametrize("slice_bytes", [1 << 20, 100])
+def test_decontamination_by_items_without_an_id(spark, slice_bytes):
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(words[:20])), (2, " ".join(words[20:])), (3, "clean " * 20)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, " ".join(words[2:15])), (None, "w0 w0"), (7, " ".join(words[5:18])), (None, " ".join(words[20:33]))], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.item_ids, r.hit_spans) for r in decontam.scan(docs, bench, slice_bytes=slice_bytes).collect()}
+    assert got == {1: (16, ["7"], [[2, 18]]), 2: (13, [], [[0, 13]]), 3: (0, [], [])}
+    assert [r.doc_id for r in decontam.remove_documents(docs, bench, slice_bytes=slice_bytes).collect()] == [3]
+    texts = {r.doc_id: r.text.split() for r in decontam.remove_spans(docs, bench, slice_bytes=slice_bytes).collect()}
+    assert texts[2] == words[33:]
+
+
 # 9 Sharding
 
 
