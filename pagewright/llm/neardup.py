@@ -10,8 +10,8 @@ Equal sets are one node, so that copies never meet each other. In a bucket no pa
 against the bucket's smallest node only, and plausible pairs are joined to clusters. What is left are buckets with
 members of several clusters; there, and only there, members of different clusters are compared by their registers, in
 blocks, and give pairs that span what is plausible. Then each cluster gets the full sets of its members, once, and links
-are verified inside it: a set is held against those that nothing has reached yet. Similar pairs of at least `SIMILAR` percent miss every band with a probability of (1 - 0.8**4)**32 < 1e-7;
-the estimate is cut at `ESTIMATE`, over four of its standard deviations below.
+are verified inside it: a set is held against those that nothing has reached yet. Similar pairs of at least `SIMILAR` percent miss every band
+with a probability of (1 - 0.8**4)**32 < 5e-8, and fall below the estimate's cut at `ESTIMATE` with one below 1e-8.
 
 Defined results: null, empty and wordless texts have an empty set, link with nothing and stay; a text of fewer words than
 a shingle is one shingle; repeated rows have one component; a component's id is its smallest non-null id, null if all
@@ -30,7 +30,7 @@ from . import common
 
 REGISTERS, ROWS = 128, 4
 BASE, RATE = 1.005, 20.0
-SIMILAR, ESTIMATE = 80, 0.64
+SIMILAR, ESTIMATE = 80, 0.58
 #: Members of a block, and bytes of their sets, when a bucket or a cluster is compared within.
 BLOCK, BLOCK_BYTES = 1024, 16 << 20
 _R = np.random.default_rng(20240229)
