@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import sinks
 from ..operators import document as D
 from ..operators import page as P
 from ..session import scratch, table
@@ -79,9 +80,13 @@ def doc_to_json(spark, sf_dir):
 
 @query("with s as (select doc_id, count(*) n from documents group by doc_id) select doc_id, n from s")
 def dump_spans(spark, sf_dir):
-    """The debug dump's table of the first pages, counted here by document in place of its files."""
-    pages = S.spans(spark, sf_dir).filter("pnum < 10")
-    return table(spark, sf_dir, "documents").select("doc_id").join(pages.select("doc_id").distinct(), "doc_id", "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    """The debug dump of the first pages, read again: a document's rows count where the dump has its spans, all and no more."""
+    spans, out = S.spans(spark, sf_dir), scratch(spark, "dump")
+    sinks.dump({"spans": spans}, out)
+    found = spark.read.schema("doc_id long").json(f"{out}/spans").groupBy("doc_id").agg(F.count(F.lit(1)).alias("found"))
+    want = spans.filter("pnum < 10").groupBy("doc_id").agg(F.count(F.lit(1)).alias("want"))
+    both = table(spark, sf_dir, "documents").select("doc_id").join(want, "doc_id", "left").join(found, "doc_id", "left")
+    return both.groupBy("doc_id").agg(F.count(F.when(F.col("found").eqNullSafe(F.col("want")), 1)).alias("n"))
 
 
 @query()

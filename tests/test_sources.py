@@ -3,11 +3,13 @@
 import json
 import zipfile
 
+import duckdb
 import pytest
 
 from pagewright import models, sinks
-from pagewright.plans import pipelines, stage
+from pagewright.plans import pipelines, q_sources, stage
 from pagewright.plans.settings import Settings
+from pagewright.plans.synthetic import LAYOUT
 from pagewright.sources import binary, office
 from pagewright.sources import csv as csv_source
 
@@ -120,6 +122,24 @@ def test_sinks(spark, tmp_path):
     assert [r[0] for r in names.select(sinks.safe_name(names.n)).collect()] == ["passwd", "a b.txt"]
 
 
+def test_dump_query_depends_on_the_dump(spark, data, monkeypatch):
+    whole, paths = sinks.dump, []
+
+    def lossy(tables, path, **options):
+        paths.append(path)
+        whole({k: df.filter("not (doc_id = 3 and span_id = '0_0')") for k, df in tables.items()}, path, **options)
+
+    want = {r.doc_id: r.n for r in spark.read.parquet(f"{data}/documents.parquet").selectExpr("doc_id", "1 as n").collect()}
+    assert {r.doc_id: r.n for r in q_sources.dump_spans(spark, data).collect()} == want
+    monkeypatch.setattr(sinks, "dump", lossy)
+    assert {r.doc_id: r.n for r in q_sources.dump_spans(spark, data).collect()} == want | {3: 0}
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{data}/documents.parquet'")
+    layout = dict(c.execute(f"with {LAYOUT.strip().rstrip(',')} select doc_id, count(*) from spans where pnum < 10 group by doc_id").fetchall())
+    dumped = {r.doc_id: r["count"] for r in spark.read.schema("doc_id long").json(f"{paths[0]}/spans").groupBy("doc_id").count().collect()}
+    assert dumped == layout | {3: layout[3] - 1}
+
+
 def test_dispatch(spark):
     f = spark.createDataFrame([("/a/x.csv",), ("/a/x.PDF",), ("/a/x",)], "path string")
     assert {r.path: r.pipeline for r in pipelines.dispatch(f).collect()} == {"/a/x.csv": "csv", "/a/x.PDF": None, "/a/x": None}
