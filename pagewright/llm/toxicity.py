@@ -2,10 +2,10 @@
 
 Every word enters as a word vector and as the sum of vectors of its character 3-, 4- and 5-grams (both hashed). A window
 of `LENGTH` words goes through a recurrent layer in each direction; attention pools the states; a logistic unit scores
-the window. All windows that begin every `STEP` words are scored, with a last one that ends with the text; a document's
-score is its highest window's, calibrated on the training rows.
+the window. The windows that begin at every word are scored, so that every phrase of up to `LENGTH` words is whole in
+one; a document's score is its highest window's, calibrated on the training rows.
 
-Learning: a window of a toxic document need not be toxic. In every round the windows of toxic documents that score
+Learning, from windows that begin every `STEP` words and a last one: a window of a toxic document need not be toxic. In every round the windows of toxic documents that score
 highest stand for them, against windows of the other documents, the highest among them included. The first round's
 scores are log odds of character grams, which also begin one coordinate of their vectors.
 
@@ -85,7 +85,7 @@ def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def starts_of(n: int) -> list[int]:
-    """Where the windows of n words begin."""
+    """Where the windows begin that n words are learnt from."""
     return [*range(0, n - LENGTH, STEP), n - LENGTH] if n > LENGTH else [0]
 
 
@@ -96,7 +96,7 @@ def pieces(words: list[bytes]) -> Iterator[list[bytes]]:
     else:
         for a in range(0, len(words) - LENGTH + 1, PART):
             # No piece begins where fewer than LENGTH words are left: the one before runs to the end of the text.
-            yield words[a:] if len(words) - a < PART + LENGTH else words[a : a + PART + LENGTH - STEP]
+            yield words[a:] if len(words) - a < PART + LENGTH else words[a : a + PART + LENGTH - 1]
 
 
 class Encoder:
@@ -161,6 +161,66 @@ class Encoder:
         logit = pooled @ p["o"] + p["b"]
         return (logit, (states, saved, e, w, pooled)) if keep else logit
 
+    def slide(self, x: np.ndarray) -> np.ndarray:
+        """Logits of the windows that begin at every place, as `run` gives them. x: inputs to the gates, by direction,
+        gate and place, which are changed."""
+        n, p, half, one = HIDDEN, self.p, np.float32(0.5), np.float32(1)
+        size = x.shape[2] - LENGTH + 1
+        states, g = np.empty((LENGTH, 2 * n, size), np.float32), np.empty((3 * n, size), np.float32)
+        # A gate is half of 1 + tanh of half its input; halves are taken out of the loop.
+        zr, new = g[: 2 * n], g[2 * n :]
+        x[:, : 2 * n] *= half
+        for side, own in zip("fb", x):
+            u, at = np.ascontiguousarray(p[f"h{side}"].T) * half, 0 if side == "f" else n
+            h = np.zeros((n, size), np.float32)
+            for t in range(LENGTH) if side == "f" else range(LENGTH - 1, -1, -1):
+                now = own[:, t : t + size]
+                np.matmul(u, h, out=g)
+                zr += now[: 2 * n]
+                np.tanh(zr, out=zr)
+                zr += one
+                new *= zr[n:]
+                new += now[2 * n :]
+                np.tanh(new, out=new)
+                out = states[t, at : at + n]
+                np.subtract(h, new, out=out)
+                out *= zr[:n]
+                out *= half
+                out += new
+                h = out
+        s, v = np.empty((LENGTH, size), np.float32), np.empty((LENGTH, size), np.float32)
+        a = np.ascontiguousarray(p["a"].T)
+        e = np.empty((len(a), size), np.float32)
+        for t in range(LENGTH):
+            np.matmul(a, states[t], out=e)
+            np.tanh(e, out=e)
+            np.matmul(p["s"], e, out=s[t])
+            np.matmul(p["o"], states[t], out=v[t])
+        s -= s.max(axis=0)
+        np.exp(s, out=s)
+        v *= s
+        return v.sum(axis=0) / s.sum(axis=0) + p["b"]
+
+    def highest(self, gates: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
+        """The highest logit of each text, given as numbers of its words. Full windows slide over all texts together,
+        and those over two texts don't count; texts shorter than a window are run with a mask."""
+        best = np.full(len(docs), -np.inf, np.float64)
+        full = [i for i, x in enumerate(docs) if len(x) >= LENGTH]
+        if full:
+            flat = np.concatenate([docs[i] for i in full])
+            who = np.repeat(full, [len(docs[i]) for i in full])
+            inside = who[: len(flat) - LENGTH + 1] == who[LENGTH - 1 :]
+            step = AT_ONCE - LENGTH + 1  # windows over AT_ONCE places
+            for a in range(0, len(inside), step):
+                ok = inside[a : a + step]
+                if ok.any():
+                    x = gates[:, flat[a : a + len(ok) + LENGTH - 1]]
+                    np.maximum.at(best, who[a : a + len(ok)][ok], self.slide(np.ascontiguousarray(x.transpose(0, 2, 1)))[ok])
+        if short := [i for i, x in enumerate(docs) if len(x) < LENGTH]:
+            idx, valid, doc = _windows([docs[i] for i in short])
+            np.maximum.at(best, np.array(short)[doc], self.run(gates, idx, valid))
+        return best
+
     def gradients(self, gates, idx, valid, kept, dlogit) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Of the loss, with respect to the parameters and to the gate inputs of each word."""
         n, p = HIDDEN, self.p
@@ -273,8 +333,7 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Encoder:
                 adam.step(grads, 0.01 * (0.5 if k >= ROUNDS - 1 else 1.0))
         gates = net.project(net.vectors((flat, who, own)))
         score = np.concatenate([net.run(gates, idx[a : a + AT_ONCE], valid[a : a + AT_ONCE]) for a in range(0, len(idx), AT_ONCE)])
-    best = np.full(len(y), -np.inf)
-    np.maximum.at(best, doc, score)
+    best = np.concatenate([net.highest(gates, docs[a : a + 100]) for a in range(0, len(docs), 100)])
     net.slope, net.shift = learning.calibrate(best, y, np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y))
     return net
 
@@ -323,25 +382,7 @@ class Scorer:
         docs = [self._numbers(w) for _, w in parts]
         if len(self.number) > self.ready:
             self._project()
-        np.maximum.at(best, [i for i, _ in parts], self._documents(docs))
-
-    def _documents(self, docs: list[np.ndarray]) -> np.ndarray:
-        """The highest logit of each part. Windows of several are run together: full ones without a mask, short with one."""
-        best = np.full(len(docs), -np.inf, np.float64)
-        full = [i for i, x in enumerate(docs) if len(x) >= LENGTH]
-        if full:
-            flat = np.concatenate([docs[i] for i in full])
-            base = np.cumsum([0, *(len(docs[i]) for i in full)])
-            begins = [starts_of(len(docs[i])) for i in full]
-            start = np.concatenate([np.array(s) + b for s, b in zip(begins, base)])
-            doc = np.repeat(full, [len(s) for s in begins])
-            for a in range(0, len(start), AT_ONCE):
-                idx = flat[start[a : a + AT_ONCE, None] + np.arange(LENGTH)]
-                np.maximum.at(best, doc[a : a + AT_ONCE], self.net.run(self.gates, idx, None))
-        if short := [i for i, x in enumerate(docs) if len(x) < LENGTH]:
-            idx, valid, doc = _windows([docs[i] for i in short])
-            np.maximum.at(best, np.array(short)[doc], self.net.run(self.gates, idx, valid))
-        return best
+        np.maximum.at(best, [i for i, _ in parts], self.net.highest(self.gates, docs))
 
 
 def score(docs: DataFrame, net: Encoder, text: str = "text", out: str = "score") -> DataFrame:

@@ -307,8 +307,23 @@ def test_every_length_in_parts(monkeypatch):
     monkeypatch.setattr(toxicity, "PART", 64)
     for n in range(331):
         words = [b"%d" % i for i in range(n)]
-        got = Counter(tuple(p[s : s + 32]) for p in toxicity.pieces(words) for s in toxicity.starts_of(len(p)))
-        assert got == Counter(tuple(words[s : s + 32]) for s in (toxicity.starts_of(n) if n else [])), n
+        got = Counter(tuple(p[s : s + 32]) for p in toxicity.pieces(words) for s in range(max(len(p) - 32, 0) + 1))
+        assert got == Counter(tuple(words[s : s + 32]) for s in range(max(n - 32, 0) + 1) if n), n
+
+
+def test_windows_begin_at_every_word(monkeypatch):
+    net = toxicity.train([("a bad idiot word here " * 3, 1), ("a fine nice word here " * 3, 0)] * 30)
+    monkeypatch.setattr(toxicity, "PART", 64)
+    monkeypatch.setattr(toxicity, "AT_ONCE", 50)
+    r = random.Random(3)
+    texts = [[r.choice("a bad idiot fine nice word here you".split()) for _ in range(n)] for n in (1, 31, 32, 33, 47, 64, 95, 96, 200)]
+    for words, got in zip(texts, toxicity.Scorer(net).scores([" ".join(w) for w in texts])):
+        words = [w.encode() for w in words]
+        different = sorted(set(words))
+        x = np.array([different.index(w) for w in words])
+        gates = net.project(net.vectors(toxicity.grams(different)))
+        logits = [net.run(gates, x[None, a : a + 32], None)[0] for a in range(max(len(x) - 32, 0) + 1)]
+        assert got == pytest.approx(float(learning.sigmoid(net.slope * max(logits) + net.shift)), abs=1e-5), len(words)
 
 
 def test_remembered_words_have_room_for_the_longest_piece(monkeypatch):
