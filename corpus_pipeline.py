@@ -29,8 +29,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 400 bytes or more that occur elsewhere too; n_chars follows."""
-    got = suffix_dedup.remove_repeats(docs)
+    """Texts without the passages of more than 50 words that occur elsewhere too; n_chars follows."""
+    got = suffix_dedup.remove_repeats(docs, unit=suffix_dedup.by_words(51))
     return got.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
 
 
