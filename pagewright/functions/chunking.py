@@ -42,9 +42,12 @@ def sentence_chunks(c: Column) -> Column:
 
 
 def _runs(c: Column, size: int, step: int) -> Column:
-    w = T.words(c)
-    made = F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(step)), lambda i: F.array_join(F.slice(w, i + 1, size), " "))
-    return F.when(F.size(w) > 0, made).otherwise(F.array().cast("array<string>"))
+    def cut(w: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(step)), lambda i: F.array_join(F.slice(w, i + 1, size), " "))
+        return F.when(F.size(w) > 0, made).otherwise(F.array().cast("array<string>"))
+
+    # the one-element array binds the words to a variable, so that a text is split once and not for every chunk
+    return F.transform(F.array(T.words(c)), cut)[0]
 
 
 def fixed_chunks(c: Column, size: int = 100) -> Column:

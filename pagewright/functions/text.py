@@ -216,11 +216,16 @@ def byte_tokens(text: Column, length: int = 1024) -> Column:
 
 def byte_token_rows(text: Column, length: int = 1024) -> Column:
     """array<array<int>>: bytes plus 3, in rows of `length`, the last one padded with 0. Empty text: no rows."""
-    hexed = F.hex(text.cast("binary"))
     n = F.octet_length(text)
-    ids = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.conv(hexed.substr(2 * i - 1, F.lit(2)), 16, 10).cast("int") + 3)).otherwise(F.array().cast("array<int>"))
-    full = F.concat(ids, F.array_repeat(F.lit(0), (F.ceil(n / F.lit(length)) * length - n).cast("int")))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.ceil(n / F.lit(length)).cast("int") - 1), lambda i: F.slice(full, i * length + 1, length))).otherwise(F.array().cast("array<array<int>>"))
+    rows = F.ceil(n / F.lit(length)).cast("int")
+    ids = F.transform(F.regexp_extract_all(F.hex(text.cast("binary")), F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("int") + 3)
+    full = F.concat(ids, F.array_repeat(F.lit(0), rows * length - n))
+
+    def cut(ids: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), rows - 1), lambda i: F.slice(ids, i * length + 1, length))
+
+    # bound to a variable, so that the bytes are listed once and not for every row
+    return F.when(n > 0, F.transform(F.array(full), cut)[0]).otherwise(F.array().cast("array<array<int>>"))
 
 
 def zone_time(ts: Column, zone: str = "Asia/Shanghai") -> Column:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from .. import sinks
@@ -9,10 +14,12 @@ from ..operators import document as D
 from ..operators import page as P
 from ..session import scratch, table
 from ..sinks import document_json
-from ..sources import binary
+from ..sources import binary, office
+from ..sources import csv as csv_source
 from . import pipelines, stage
 from . import synthetic as S
-from .q_document import _conversation_blocks
+from .q_document import _CHUNKS, _CONV, _conversation_blocks
+from .q_geometry import WITH
 from .q_text import _sql_runs
 from .registry import query
 
@@ -47,9 +54,87 @@ def sniff_pdf(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.concat(head, "html").cast("binary").alias("content")).select("page_id", binary.sniff_pdf().alias("kind"))
 
 
-@query("select doc_id, 0 as \"index\", sha256(doc_id || '|0') as chunk_id, text as content, source from documents")
+@query("select item_id, 0 as \"index\", 'text' as chunk_type, text || chr(10) as content from benchmark")
 def src_text(spark, sf_dir):
-    return binary.one_chunk(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("chunk_type")
+    """Items written as text files, one each, and read back as files."""
+    out = scratch(spark, "texts")
+    table(spark, sf_dir, "benchmark").select("item_id", "text").repartition("item_id").write.partitionBy("item_id").text(out)
+    item = F.regexp_extract("source", r"item_id=(\d+)/", 1).cast("long").alias("item_id")
+    return binary.read_text(spark, f"{out}/*/*.txt").select(item, "index", "chunk_type", "content")
+
+
+@query("""select cast(row_number() over (partition by n_regionkey order by n_nationkey) - 1 as int) as "index", 'text' as chunk_type, n_name as source,
+'n_nationkey: ' || n_nationkey || ';n_name: ' || n_name || ';n_regionkey: ' || n_regionkey as content from nation
+union all select 0, 'error', 'bad', 'no encoding fits'""")
+def src_csv(spark, sf_dir):
+    """Nations of each region as a CSV file, and one file that its encoding doesn't fit."""
+    line = F.concat_ws(",", "n_nationkey", "n_name", "n_regionkey")
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", line.alias("line")))), lambda x: x["line"])
+    text = F.concat(F.lit("n_nationkey,n_name,n_regionkey\n"), F.array_join(lines, "\n"), F.lit("\n"))
+    files = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(text.alias("text")).select(F.concat(F.lit("/in/"), "n_regionkey", F.lit(".csv")).alias("path"), F.col("text").cast("binary").alias("content"))
+    bad = spark.createDataFrame([("bad", b"a,b\n1,\xff\n")], files.schema)
+    return csv_source.exact_chunks(files.unionByName(bad), "utf-8", "n_name").select("index", "chunk_type", "source", "content").replace({"": None}, subset=["source"])
+
+
+_SHEET = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+_RELATIONS = 'xmlns="http://schemas.openxmlformats.org/package/2006/relationships"'
+
+
+def _zipped(parts: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, body in parts.items():
+            z.writestr(name, body)
+    return out.getvalue()
+
+
+@query("""select 'Suppliers' as sheet, cast(row_number() over (partition by s_nationkey order by s_suppkey) - 1 as int) as "index", 'text' as chunk_type,
+'"key":"' || s_suppkey || '";"name":"' || s_name || '"' as content from supplier union all select null, 0, 'error', 'BadZipFile: File is not a zip file'""")
+def src_xlsx(spark, sf_dir):
+    """Suppliers of each nation as a workbook, with an empty row below the last, and a file that isn't one."""
+
+    def book(pdf: pd.DataFrame) -> pd.DataFrame:
+        text = lambda ref, v: f'<c r="{ref}" t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+        rows = [f'<row r="1">{text("A1", "key")}{text("B1", "name")}</row>']
+        pdf = pdf.sort_values("s_suppkey")
+        rows += [f'<row r="{i}"><c r="A{i}"><v>{k}</v></c>{text(f"B{i}", v)}</row>' for i, (k, v) in enumerate(zip(pdf["s_suppkey"], pdf["s_name"]), 2)]
+        parts = {
+            "xl/workbook.xml": f'<workbook {_SHEET}><sheets><sheet name="Suppliers" r:id="r1"/></sheets></workbook>',
+            "xl/_rels/workbook.xml.rels": f'<Relationships {_RELATIONS}><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>',
+            "xl/worksheets/sheet1.xml": f"<worksheet {_SHEET}><sheetData>{''.join(rows)}<row r='{len(rows) + 1}'/></sheetData></worksheet>",
+        }
+        return pd.DataFrame({"path": [f"/in/{pdf['s_nationkey'].iloc[0]}.xlsx"], "content": [_zipped(parts)]})
+
+    files = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", "s_name").groupBy("s_nationkey").applyInPandas(book, "path string, content binary")
+    bad = spark.createDataFrame([("bad", b"not a workbook")], files.schema)
+    return office.excel_chunks(files.unionByName(bad)).select("sheet", "index", "chunk_type", "content")
+
+
+_BODY = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+
+
+@query("""with t as (select conv_id, turn, trim(text) t from conversations where role = 'user' and trim(text) <> ''),
+p as (select conv_id, cast(row_number() over (partition by conv_id order by turn) - 1 as int) "index", 'text' chunk_type, t as content, cast(null as varchar) table_content from t),
+n as (select conv_id, cast(count(*) as int) n from t group by conv_id),
+g as (select conv_id, count(*) turns from conversations group by conv_id)
+select * from p union all
+select conv_id, coalesce(n, 0), 'table_csv', '| id | turns |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || conv_id || ' | ' || turns || ' |', 'id,turns' || chr(10) || conv_id || ',' || turns from g left join n using (conv_id)
+union all select null, 0, 'error', 'BadZipFile: File is not a zip file', null""")
+def src_docx(spark, sf_dir):
+    """Conversations as Word files: a paragraph for each user turn, a table at the end; and a file that isn't one."""
+
+    def document(pdf: pd.DataFrame) -> pd.DataFrame:
+        run = lambda v: f'<w:r><w:t xml:space="preserve">{escape(str(v))}</w:t></w:r>'
+        row = lambda *vs: "<w:tr>" + "".join(f"<w:tc><w:p>{run(v)}</w:p></w:tc>" for v in vs) + "</w:tr>"
+        one = pdf["conv_id"].iloc[0]
+        said = pdf[pdf["role"] == "user"].sort_values("turn")["text"]
+        body = "".join(f"<w:p>{run(t)}</w:p>" for t in said) + f"<w:tbl>{row('id', 'turns')}{row(one, len(pdf))}</w:tbl>"
+        return pd.DataFrame({"path": [f"/in/{one}.docx"], "content": [_zipped({"word/document.xml": f"<w:document {_BODY}><w:body>{body}</w:body></w:document>"})]})
+
+    files = table(spark, sf_dir, "conversations").groupBy("conv_id").applyInPandas(document, "path string, content binary")
+    bad = spark.createDataFrame([("bad", b"not a document")], files.schema)
+    conv = F.regexp_extract("source", r"(\d+)\.docx", 1).try_cast("long").alias("conv_id")
+    return office.word_chunks(files.unionByName(bad)).select(conv, "index", "chunk_type", "content", "table_content")
 
 
 @query("with " + _sql_runs(100, 100).removeprefix("with ").replace("select doc_id, cast(k // 100 as bigint) pos,", ", c as (select doc_id, cast(k // 100 as int) pos,") .replace("\n, c as", ", c as") + " )\nselect doc_id, cast(count(*) as int) as num_chunks from c group by doc_id")
@@ -72,24 +157,26 @@ def layout_pipeline(spark, sf_dir):
     return pipelines.layout_pipeline().run({"spans": spans, "boxes": boxes}, store=scratch(spark, "layout"))["documents"].select("doc_id", "num_chunks", "summary")
 
 
-@query()
+@query(f"with {_CONV}, {_CHUNKS} select doc_id, 200 as code, 'success' as msg, cast(count(*) as int) as num_chunks, string_agg(\"index\" || ' ' || chunk_id || ' ' || chunk_type || ' ' || content, chr(10) order by \"index\") as chunks from ch group by doc_id")
 def doc_to_json(spark, sf_dir):
+    """Documents as JSON, read again by a schema."""
     chunks = D.build_chunks(_conversation_blocks(spark, sf_dir))
-    return document_json(D.build_documents(chunks), chunks)
+    kind = "code int, msg string, data struct<doc_id:long,num_chunks:int,chunks:array<struct<index:int,chunk_id:string,chunk_type:string,content:string>>>"
+    back = document_json(D.build_documents(chunks), chunks).select("doc_id", F.from_json("json", kind, {"mode": "FAILFAST"}).alias("j"))
+    lines = F.transform("j.data.chunks", lambda c: F.concat_ws(" ", c["index"].cast("string"), c["chunk_id"], c["chunk_type"], c["content"]))
+    return back.select(F.col("j.data.doc_id").alias("doc_id"), "j.code", "j.msg", "j.data.num_chunks", F.array_join(lines, "\n").alias("chunks"))
 
 
-@query("with s as (select doc_id, count(*) n from documents group by doc_id) select doc_id, n from s")
+@query(WITH + "select doc_id, pnum, count(*) as n, cast(sum(length(text)) as bigint) as chars, min(text) as lowest, max(text) as highest from spans where pnum < 10 group by doc_id, pnum")
 def dump_spans(spark, sf_dir):
-    """The debug dump of the first pages, read again: a document's rows count where the dump has its spans, all and no more."""
-    spans, out = S.spans(spark, sf_dir), scratch(spark, "dump")
-    sinks.dump({"spans": spans}, out)
-    found = spark.read.schema("doc_id long").json(f"{out}/spans").groupBy("doc_id").agg(F.count(F.lit(1)).alias("found"))
-    want = spans.filter("pnum < 10").groupBy("doc_id").agg(F.count(F.lit(1)).alias("want"))
-    both = table(spark, sf_dir, "documents").select("doc_id").join(want, "doc_id", "left").join(found, "doc_id", "left")
-    return both.groupBy("doc_id").agg(F.count(F.when(F.col("found").eqNullSafe(F.col("want")), 1)).alias("n"))
+    """The debug dump of the first pages, read again and summed up by page."""
+    out = scratch(spark, "dump")
+    sinks.dump({"spans": S.spans(spark, sf_dir)}, out)
+    back = spark.read.schema("doc_id long, pnum int, text string").json(f"{out}/spans")
+    return back.groupBy("doc_id", "pnum").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.min("text").alias("lowest"), F.max("text").alias("highest"))
 
 
-@query()
+@query(_sql_runs(100, 100))
 def stream_ingest(spark, sf_dir):
     """Documents read as a stream, chunked, and written batch by batch."""
     from ..streaming import ingest
@@ -99,4 +186,4 @@ def stream_ingest(spark, sf_dir):
     stream = ingest.documents(spark, f"{sf_dir}/documents.parquet*", schema, "fixed")
     q = ingest.write(stream, ingest.by_batch(f"{out}/rows"), f"{out}/state")
     q.awaitTermination()
-    return spark.read.parquet(f"{out}/rows").select("doc_id", "pos", "chunk")
+    return spark.read.parquet(f"{out}/rows").select("doc_id", F.col("pos").cast("long").alias("pos"), "chunk")

@@ -259,12 +259,16 @@ def byte_token_counts(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", t.alias("t")).select("doc_id", F.col("t.n_tokens").cast("long").alias("n_tokens"), "t.n_rows", F.col("t.n_pad").cast("int").alias("n_pad"))
 
 
-@query()
+@query("""with b as (select item_id, regexp_extract_all(hex(encode(text)), '..') h from benchmark),
+i as (select item_id, [cast('0x' || x as int) + 3 for x in h] ids, (1024 - len(h) % 1024) % 1024 pad from b where len(h) > 0),
+p as (select item_id, list_concat(ids, list_resize(cast([] as int[]), pad, 0)) ids from i)
+select item_id, cast(k // 1024 as int) "row", ids[k + 1:k + 1024] ids from (select item_id, ids, unnest(range(0, len(ids), 1024)) k from p)""")
 def byte_tokens(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.byte_token_rows(F.col("text"))).alias("row", "ids"))
 
 
-@query()
+@query(r"""with c as (select item_id, text, unnest(range(1, length(text) + 1)) i from benchmark), x as (select item_id, i, substr(text, i, 1) ch from c)
+select item_id, string_agg(case when i % 11 = 0 then chr(10) || ch when i % 7 = 0 then case when regexp_full_match(ch, '\s') then '' else ch end when i % 13 = 0 then ' ' || ch else ch end, '' order by i) as text from x group by item_id""")
 def edit_apply(spark, sf_dir):
     labels = F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.when(i % 11 == 0, "newline-1").when(i % 7 == 0, "delete").when(i % 13 == 0, "space-1").otherwise("equal"))
     return table(spark, sf_dir, "benchmark").select("item_id", T.apply_edits(F.col("text"), labels).alias("text"))

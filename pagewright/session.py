@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -31,14 +32,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that the cluster shares, `spark.checkpoint.dir`; a local one only where that is unset."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`, which becomes the checkpoint folder. Where it is unset, a session in one
+    process gets a temporary folder; on a cluster, whose machines wouldn't see that, it is an error."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="pagewright-shared-"))
-        base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/pagewright/{name}-{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster see")
+        base = tempfile.mkdtemp(prefix="pagewright-shared-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(base)
+    return base
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/pagewright/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables below the shared folder that no plan reads any more."""
+    sc = spark.sparkContext
+    for p in paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> SparkSession:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from ..operators.document import chunk_id
 
 
 def files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """path, content and length of the files below a path."""
+    """path, content and length of the files below a path. Spark's reader passes by files without bytes: they have no row."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     return (r.option("pathGlobFilter", pattern) if pattern else r).load(path).select("path", "length", "content")
 
@@ -48,6 +50,8 @@ def detect_encoding(content: F.Column) -> F.Column:
 
 def decode(content: F.Column, encoding: str | None = None) -> F.Column:
     """Text of bytes: by the encoding that is named, else by the likeliest one. None fits: null."""
+    if encoding:
+        codecs.lookup(encoding)  # an unknown name is the caller's mistake, not the file's
 
     def text(data: pd.Series) -> pd.Series:
         from charset_normalizer import from_bytes
@@ -56,13 +60,11 @@ def decode(content: F.Column, encoding: str | None = None) -> F.Column:
             if b is None:
                 return None
             b = bytes(b)
-            if encoding:
-                return b.decode(encoding)
-            for name in ("utf-8-sig",):
-                try:
-                    return b.decode(name)
-                except UnicodeDecodeError:
-                    pass
+            try:
+                return b.decode(encoding or "utf-8-sig")
+            except UnicodeDecodeError:
+                if encoding:
+                    return None
             best = from_bytes(b).best()
             return None if best is None else str(best)
 
@@ -72,6 +74,7 @@ def decode(content: F.Column, encoding: str | None = None) -> F.Column:
 
 
 CHUNK_COLUMNS = ["doc_id", "index", "chunk_id", "chunk_type", "content", "source"]
+NO_ENCODING = "no encoding fits"
 
 
 def one_chunk(texts: DataFrame) -> DataFrame:
@@ -80,6 +83,12 @@ def one_chunk(texts: DataFrame) -> DataFrame:
 
 
 def read_text(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """One chunk per text file; the encoding is detected unless it is named."""
-    f = files(spark, path)
-    return one_chunk(f.select(doc_key(), decode(F.col("content"), encoding).alias("text"), F.col("path").alias("source")))
+    """One chunk per text file; the encoding is detected unless it is named. A file that none fits gives a chunk of type
+    `error`."""
+    return text_chunks(files(spark, path), encoding)
+
+
+def text_chunks(f: DataFrame, encoding: str | None = None) -> DataFrame:
+    """The same for files that are rows already: (path, content)."""
+    got = one_chunk(f.select(doc_key(), decode(F.col("content"), encoding).alias("text"), F.col("path").alias("source")))
+    return got.withColumns({"chunk_type": F.when(F.col("content").isNull(), "error").otherwise(F.col("chunk_type")), "content": F.coalesce("content", F.lit(NO_ENCODING))})

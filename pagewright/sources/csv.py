@@ -43,12 +43,18 @@ def read_exact(spark: SparkSession, path: str, encoding: str | None = None, sour
 
     A file that can't be read gives one chunk of type `error` with the reason."""
 
+    return exact_chunks(binary.files(spark, path), encoding, source_column, **csv_options)
+
+
+def exact_chunks(files: DataFrame, encoding: str | None = None, source_column: str | None = None, **csv_options) -> DataFrame:
+    """The same for files that are rows already: (path, content)."""
+
     def rows(batches):
         for pdf in batches:
             for doc, source, text in zip(pdf["doc_id"], pdf["source"], pdf["text"]):
                 try:
                     if text is None:
-                        raise ValueError("no encoding fits")
+                        raise ValueError(binary.NO_ENCODING)
                     df = pd.read_csv(io.StringIO(text), on_bad_lines="skip", **csv_options)
                     if source_column and source_column not in df.columns:
                         raise ValueError(f"there is no column {source_column!r}")
@@ -58,6 +64,6 @@ def read_exact(spark: SparkSession, path: str, encoding: str | None = None, sour
                 except (ValueError, pd.errors.ParserError) as e:
                     yield pd.DataFrame({"doc_id": [doc], "index": [0], "chunk_type": ["error"], "content": [str(e)], "source": [source]})
 
-    f = binary.files(spark, path).select(binary.doc_key(), F.col("path").alias("source"), binary.decode(F.col("content"), encoding).alias("text"))
+    f = files.select(binary.doc_key(), F.col("path").alias("source"), binary.decode(F.col("content"), encoding).alias("text"))
     got = f.mapInPandas(rows, "doc_id long, index int, chunk_type string, content string, source string")
     return got.withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("index"))).select(*binary.CHUNK_COLUMNS)

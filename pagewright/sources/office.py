@@ -1,13 +1,16 @@
 """Word and Excel files (the zipped XML kinds) as chunks, read with the standard library.
 
-Files are decoded one at a time inside `mapInPandas`. Old binary kinds need a plugged converter (see `models`)."""
+Files are decoded one at a time inside `mapInPandas`. Old binary kinds need a plugged converter (see `models`). A file
+that can't be read gives one chunk of type `error` with the reason; one without bytes gives nothing (see `binary.files`)."""
 
 from __future__ import annotations
 
 import base64
 import io
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
@@ -24,6 +27,8 @@ A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 P = "{http://schemas.openxmlformats.org/package/2006/relationships}"
+#: What damaged files raise: not a zip, a damaged part, a part that is missing, a password, XML that doesn't parse or lacks something.
+DAMAGED = (zipfile.BadZipFile, zlib.error, struct.error, EOFError, NotImplementedError, RuntimeError, ET.ParseError, KeyError, IndexError, TypeError, AttributeError, ValueError, OverflowError)
 _URL = re.compile(r'http://[^\s+"]+//|https://[^\s+"]+')
 
 
@@ -97,17 +102,28 @@ def sheet_rows(data: bytes) -> Iterator[tuple[str, int, list[tuple[str, str]]]]:
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
     """A chunk per row of each sheet; numbering begins anew on every sheet, so that `sheet` tells rows apart."""
+    return excel_chunks(binary.files(spark, path, "*.xlsx"))
+
+
+def excel_chunks(files: DataFrame) -> DataFrame:
+    """The same for files that are rows already: (path, content)."""
 
     def rows(batches):
         for pdf in batches:
             for doc, source, data in zip(pdf["doc_id"], pdf["path"], pdf["content"]):
-                got = [(doc, sheet, i, ";".join(f'"{k}":"{v}"' for k, v in cells), source) for sheet, i, cells in sheet_rows(data)]
-                yield pd.DataFrame(got, columns=["doc_id", "sheet", "index", "content", "source"])
+                try:
+                    got = [(doc, sheet, i, "text", ";".join(f'"{k}":"{v}"' for k, v in cells), source) for sheet, i, cells in sheet_rows(data)]
+                except DAMAGED as e:
+                    got = [(doc, None, 0, "error", _reason(e), source)]
+                yield pd.DataFrame(got, columns=["doc_id", "sheet", "index", "chunk_type", "content", "source"])
 
-    f = binary.files(spark, path, "*.xlsx").select(binary.doc_key(), "path", "content")
-    got = f.mapInPandas(rows, "doc_id long, sheet string, index int, content string, source string")
+    got = files.select(binary.doc_key(), "path", "content").mapInPandas(rows, "doc_id long, sheet string, index int, chunk_type string, content string, source string")
     own = F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "sheet", F.col("index").cast("string")), 256)
-    return got.select("doc_id", "sheet", "index", own.alias("chunk_id"), F.lit("text").alias("chunk_type"), "content", "source")
+    return got.select("doc_id", "sheet", "index", own.alias("chunk_id"), "chunk_type", "content", "source")
+
+
+def _reason(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"
 
 
 # Word
@@ -200,14 +216,21 @@ _WORD = ["doc_id", "index", "chunk_type", "content", "image_name", "image_conten
 
 def read_word(spark: SparkSession, path: str) -> DataFrame:
     """Chunks of Word files: texts, pictures and tables, in order."""
+    return word_chunks(binary.files(spark, path, "*.docx"))
+
+
+def word_chunks(files: DataFrame) -> DataFrame:
+    """The same for files that are rows already: (path, content)."""
 
     def rows(batches):
         for pdf in batches:
             for doc, source, data in zip(pdf["doc_id"], pdf["path"], pdf["content"]):
-                got = [{"doc_id": doc, "index": i, "chunk_type": "text", "source": source} | c for i, c in enumerate(Word(data).chunks())]
+                try:
+                    got = [{"doc_id": doc, "index": i, "chunk_type": "text", "source": source} | c for i, c in enumerate(Word(data).chunks())]
+                except DAMAGED as e:
+                    got = [{"doc_id": doc, "index": 0, "chunk_type": "error", "content": _reason(e), "source": source}]
                 yield pd.DataFrame(got, columns=_WORD).astype(object).where(lambda d: d.notna(), None)
 
-    f = binary.files(spark, path, "*.docx").select(binary.doc_key(), "path", "content")
     kinds = {"doc_id": "long", "index": "int"}
-    got = f.mapInPandas(rows, ", ".join(f"{c} {kinds.get(c, 'string')}" for c in _WORD))
+    got = files.select(binary.doc_key(), "path", "content").mapInPandas(rows, ", ".join(f"{c} {kinds.get(c, 'string')}" for c in _WORD))
     return got.withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("index")))

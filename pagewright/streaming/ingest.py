@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import chunking
@@ -15,7 +14,7 @@ from ..sources import binary
 def text_files(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """A stream of one chunk per text file below a folder."""
     f = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
-    return binary.one_chunk(f.select(binary.doc_key(), binary.decode(F.col("content"), encoding).alias("text"), F.col("path").alias("source")))
+    return binary.text_chunks(f, encoding)
 
 
 def documents(spark: SparkSession, path: str, schema, strategy: str = "fixed", **options) -> DataFrame:
