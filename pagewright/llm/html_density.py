@@ -1,18 +1,21 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree. Elements that can't be content by their name or role (menus, page headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, reader comments) are cut. Every node left gets its composite density:
-characters per tag, adjusted by the characters and tags of links in it. Densities of children are summed; the node with
-the largest sum below the body holds the main text. The smallest density on the path from that node to the body is the
-threshold: outside of the chosen node, a subtree is content only if its root reaches the threshold, has text of its own
-kind (paragraphs, headings, lists, tables, quotes, code) and isn't mostly links.
+notices, adverts, forms, scripts, styles) are cut. What only a class or id calls one of these, or reader comments, is
+cut too unless it holds the page: at least `HOLDS` of the text outside of links, which a wrapper does and an advert
+doesn't (see `settle`). Every node left gets its composite density: characters per tag, adjusted by the characters and
+tags of links in it. Densities of children are summed; the node with the largest sum below the body holds the main text.
+The smallest density on the path from that node to the body is the threshold: outside of the chosen node, a subtree is
+content only if its root reaches the threshold, has text of its own kind (paragraphs, headings, lists, tables, quotes,
+code) and isn't mostly links. In the article or main element that the chosen node lies in, other subtrees are content
+unless they are lists of links below the threshold.
 
 Text is returned block by block in page order: character references decoded, white space inside a block turned into one
 space, blocks trimmed and joined by a newline.
 
 Defined results: null or empty html gives an empty text; markup that is never closed ends where its parent ends or where
-the next block must begin; a page without body is read as one; nothing is cut for length. An article or main element is
-taken whole where the chosen node lies in it, and taken alone where it is the only one and holds most of the chosen text.
+the next block must begin; a page without body is read as one; nothing is cut for length; of equal sums the outermost
+node is chosen.
 """
 
 from __future__ import annotations
@@ -44,6 +47,10 @@ PARTS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adbox banner promo promoted promotion sponsor sponsored sponsors nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer foot masthead topbar header "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus replies respond pagination pager widget widgets toolbar skip search copyright disclaimer outbrain taboola".split()
 )
+#: Those of them that never hold a page's text, however much they hold, unless there is no other.
+COMMENTS = frozenset("comment comments disqus replies respond".split())
+#: Share of the text outside of links that an element has to hold, for its class or id not to count.
+HOLDS = 0.8
 #: These keep their content whatever their class says.
 KEPT = frozenset("html body main article".split())
 #: A start tag closes an open element of these names, up to the nearest of the fences.
@@ -62,35 +69,44 @@ CLOSES = {
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "cut", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total", "main")
+    __slots__ = ("name", "parent", "parts", "cut", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total", "main", "own", "suspect")
 
     def __init__(self, name: str, parent: Node | None, cut: bool = False) -> None:
         self.name, self.parent, self.cut = name, parent, cut
         self.inside = name in ("article", "main") or parent is not None and parent.inside
         self.parts: list = []  # text and nodes, in order
-        self.main = False
+        self.main = self.own = False  # whether all of it is content, or its own text
+        self.suspect = ""  # the word of its class or id that speaks against it
 
 
-def _unwanted(name: str, attributes: str, inside: bool) -> bool:
-    if name in CUT:
-        return True
-    if name == "header" and not inside:
-        return True
+def _unwanted(name: str, attributes: str, inside: bool) -> tuple[bool, str]:
+    """Whether an element can't be content, and the word of its class or id that speaks against it."""
+    if name in CUT or name == "header" and not inside:
+        return True, ""
     if not attributes or name in KEPT:
-        return False
+        return False, ""
+    suspect = ""
     for k, a, b, c in _ATTRIBUTE.findall(attributes):
         k, value = k.lower(), a or b or c
         if k == "role" and value.lower() in ROLES or k == "hidden" or k == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, ""
         if k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return True, ""
         if k in ("class", "id"):
             for one in value.split():
                 words = [w.lower() for w in _WORDS.findall(one)]
                 # the last word says what it is: "post-header" is a header, "header-post" isn't; "has-sidebar" says what is beside it
-                if words and words[0] not in ("has", "no", "with", "without") and (words[-1] in PARTS and not (words[-1] in ("header", "notice", "banner", "aside", "foot") and inside and len(words) > 1) or words[0] in PARTS and len(words) > 1 and words[0] not in ("header", "foot", "nav", "search", "share", "social", "skip", "alert", "notice")):
-                    return True
-    return False
+                if not words or words[0] in ("has", "no", "with", "without"):
+                    continue
+                if words[-1] in PARTS and not (words[-1] in ("header", "notice", "banner", "aside", "foot") and inside and len(words) > 1):
+                    found = words[-1]
+                elif words[0] in PARTS and len(words) > 1 and words[0] not in ("header", "foot", "nav", "search", "share", "social", "skip", "alert", "notice"):
+                    found = words[0]
+                else:
+                    continue
+                if not suspect or found in COMMENTS:
+                    suspect = found
+    return False, suspect
 
 
 def tree(page: str) -> Node:
@@ -137,7 +153,9 @@ def tree(page: str) -> Node:
         if name in ("html", "body") and names_open[name]:
             continue
         parent = open_[-1]
-        node = Node(name, parent, parent.cut or _unwanted(name, attributes, parent.inside))
+        cut, suspect = _unwanted(name, attributes, parent.inside)
+        node = Node(name, parent, parent.cut or cut)
+        node.suspect = suspect
         parent.parts.append(node)
         if name in VOID:
             continue
@@ -151,6 +169,48 @@ def tree(page: str) -> Node:
     return root
 
 
+def settle(root: Node) -> None:
+    """Cuts the elements whose class or id speaks against them, but for those that hold the page.
+
+    An element holds the page if it has `HOLDS` of the text outside of links, and an article, main element or first
+    heading if the page has one; or if it has all of these and, without an article or main element, half of the text.
+    Those inside of it are judged within it. Reader comments hold a page only if there is nothing else."""
+    order, stack = [], [(root, False)]
+    while stack:
+        n, link = stack.pop()
+        order.append((n, link))
+        stack.extend((x, link or n.name == "a") for x in n.parts if isinstance(x, Node) and not x.cut)
+    plain: dict[int, int] = {}
+    named: dict[int, int] = {}
+    strong: dict[int, bool] = {}
+    for n, link in reversed(order):
+        kids = [x for x in n.parts if isinstance(x, Node) and not x.cut]
+        own = 0 if link or n.name == "a" else sum(len("".join(x.split())) for x in n.parts if isinstance(x, str))
+        plain[id(n)] = own + sum(plain[id(k)] for k in kids)
+        named[id(n)] = sum(named[id(k)] for k in kids) + (n.name in ("article", "main", "h1") and plain[id(n)] > 0)
+        strong[id(n)] = n.name in ("article", "main") and plain[id(n)] > 0 or any(strong[id(k)] for k in kids)
+    top: Node | None = root
+    while top is not None:
+        outer, stack = [], [top]
+        while stack:
+            for x in stack.pop().parts:
+                if isinstance(x, Node) and not x.cut:
+                    if x.suspect:
+                        outer.append(x)
+                    else:
+                        stack.append(x)
+        whole, names = plain[id(top)], named[id(top)]
+        top = None
+        for x in outer:
+            here, name = plain[id(x)], named[id(x)]
+            holds = here >= HOLDS * whole and (name or not names) or names and name == names and (strong[id(x)] or 2 * here >= whole)
+            if here and (here == whole or holds and x.suspect not in COMMENTS):
+                top = x
+                x.suspect = ""
+            else:
+                x.cut = True
+
+
 def _measure(root: Node) -> None:
     """Characters, tags, link characters and link tags of every node, children first."""
     order, stack = [], [(root, False)]
@@ -198,7 +258,7 @@ def choose(root: Node) -> list[Node]:
     if not root.chars:
         return []
     body = next((n for n in every if n.name == "body"), root)
-    # Outermost first, so that of equal sums the larger part is taken. An article or main element is taken whole.
+    # Outermost first, so that of equal sums the larger part is taken.
     pool = [n for n in _nodes(body) if n.chars] or [body]
     best = max(pool, key=lambda n: n.total)
     if best.total == 0.0:
@@ -208,26 +268,28 @@ def choose(root: Node) -> list[Node]:
         n = n.parent
         path.append(n)
     threshold = min(x.density for x in path)
-    for x in path:
-        if x.name in ("article", "main"):
-            best = x
-    named = [x for x in _nodes(best) if x.name == "article"] or [x for x in _nodes(best) if x.name == "main"]
-    if len(named) == 1 and 2 * named[0].chars >= best.chars:
-        path = [named[0], *path]
-        best = named[0]
     best.main = True
     marked = [best]
     inside = set(map(id, _nodes(best))) | set(map(id, path))
+    context = next((i for i, x in enumerate(path) if x.name in ("article", "main")), 0)
+    around = set(map(id, _nodes(path[context]))) if context else set()
+    for x in path[1 : context + 1]:
+        x.own = True
     stack = [body]
     while stack:
         n = stack.pop()
         for k in n.parts:
             if not isinstance(k, Node) or k.cut or k is best or not k.chars:
                 continue
-            if id(k) not in inside and k.density >= threshold > 0 and k.link_chars * 2 < k.chars and any(x.name in TEXTUAL for x in _nodes(k)):
+            links = k.link_chars * 2 >= k.chars
+            if id(k) in around:
+                content = k.density >= threshold or not links or k.link_tags < 3
+            else:
+                content = k.density >= threshold > 0 and not links and any(x.name in TEXTUAL for x in _nodes(k))
+            if id(k) not in inside and content:
                 k.main = True
                 marked.append(k)
-            elif k is not best:
+            else:
                 stack.append(k)
     return marked
 
@@ -257,7 +319,7 @@ def blocks(root: Node) -> list[str]:
             if x.name in BLOCK:
                 flush()
                 stack.append((None, False, True))
-            stack.extend((p, main, None) for p in reversed(x.parts))
+            stack.extend((p, main or x.own and isinstance(p, str), None) for p in reversed(x.parts))
         elif x.name in BLOCK:
             flush()
     flush()
@@ -269,6 +331,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = tree(page)
+    settle(root)
     choose(root)
     return "\n".join(blocks(root))
 

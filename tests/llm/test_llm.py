@@ -145,7 +145,9 @@ def test_html(page, want):
     assert html_density.extract(page) == want
 
 
-def test_html_pages(spark):
+@pytest.mark.parametrize("begin, end", [("<article>", "</article>"), ("<div>", "</div>"), ('<div class="widget Blog">', "</div>"), ('<div class="newsletter-article">', "</div>"), ('<div id="promo"><section>', "</section></div>"), ('<div class="sidebar-left"><article>', "</article></div>"), ("<div class=share><div class=ad-wide><main>", "</main></div></div>")])
+def test_html_pages(begin, end):
+    """Whatever the element around the main text is and calls itself."""
     import html
     import re
 
@@ -153,7 +155,30 @@ def test_html_pages(spark):
     for _, h in pages:
         body = h[h.index("<article>") + 9 : h.index("</article>")]
         blocks = (" ".join(html.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", body))
-        assert html_density.extract(h) == "\n".join(b for b in blocks if b)
+        assert html_density.extract(h.replace("<article>", begin).replace("</article>", end)) == "\n".join(b for b in blocks if b)
+
+
+_LINE = "A sentence of the text that is long enough to count as text, and has no links at all in it. "
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        # sections of one article, with text between them and a few links
+        (f"<article><h1>Head</h1>First words.<section><p>{_LINE * 3}</p><p>{_LINE}</p></section><section><p>{_LINE * 2}</p><p><a href=x>A source</a></p></section></article>", ["Head", "First words.", _LINE * 3, _LINE, _LINE * 2, "A source"]),
+        # without article: paragraphs of two containers, and a list of links beside them
+        (f"<div><div><h2>Head</h2><p>{_LINE * 3}</p><p>{_LINE * 2}</p></div><div><p>{_LINE * 2}</p></div><div><ul>{'<li><a href=x>A link to another page</a></li>' * 8}</ul></div></div>", ["Head", _LINE * 3, _LINE * 2, _LINE * 2]),
+        # comments that are longer than the article, and an advert that is
+        (f"<div class=post><h1>Head</h1><p>{_LINE}</p></div><div class=comments>{f'<p>{_LINE * 3}</p>' * 9}</div>", ["Head", _LINE]),
+        (f"<article><p>Short.</p></article><div class=advert><p>{_LINE * 9}</p></div>", ["Short."]),
+        # a wrapper that is called a widget, and has widgets in it
+        (f"<div class='widget'><h1>Head</h1><p>{_LINE * 5}</p><div class='widget share'><p>Tell your friends</p></div><div id=comments><p>{_LINE}</p></div></div><div class=widget><p>Side</p></div>", ["Head", _LINE * 5]),
+        # comments alone
+        (f"<div class=comments><p>{_LINE}</p></div>", [_LINE]),
+    ],
+)
+def test_html_by_density(page, want):
+    assert html_density.extract(f"<html><body>{page}</body></html>") == "\n".join(x.strip() for x in want)
 
 
 # 4 Near duplicates
