@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame
 from . import common
 
 #: Distinct chunks of text that a worker remembers in each of two generations: when the new one is full it becomes the
-#: old one, and what is still in use moves back. No result depends on it.
-MEMORY = 200_000
+#: old one, and what is still in use moves back. A generation is full too when MEAN characters for each have been worked
+#: on; chunks of more than LONGEST aren't remembered. No result depends on it.
+MEMORY, MEAN, LONGEST = 200_000, 24, 300
 _UNIT = re.compile("[\x1c-\x1f]")
 _CHUNK = regex.compile(r"[^\p{White_Space}]+")
 _END = "</w>"
@@ -102,6 +103,7 @@ class Vocabulary:
         self.words = regex.compile(next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         names = sorted(self.added, key=len, reverse=True) if specials else []
         self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
+        self.characters = 0  # worked on since the newer generation began
         self.known: dict[str, tuple[int, str, str]] = {}
         self.older: dict[str, tuple[int, str, str]] = {}
 
@@ -178,11 +180,13 @@ class Vocabulary:
         if got is None:
             ids = self.chunk_ids(raw)
             got = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-        if len(self.known) >= MEMORY:
-            self.known, self.older = {}, self.known
+        self.characters += len(raw)
+        if len(self.known) >= MEMORY or self.characters >= MEMORY * MEAN:
+            self.known, self.older, self.characters = {}, self.known, len(raw)
             if len(self.pairs) >= 2 * MEMORY:
                 self.pairs.clear()
-        self.known[raw] = got
+        if len(raw) <= LONGEST:
+            self.known[raw] = got
         return got
 
     def split(self, text: str | None) -> list[str]:

@@ -1,39 +1,28 @@
-"""What the operators of this package share: shipping code, batches, shared folders."""
+"""What the operators of this package share: shipping code, batches, stored tables."""
 
 from __future__ import annotations
 
-import io
-import os
-import tempfile
-import uuid
-import zipfile
 import zlib
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import discard, scratch, shared_folder, table  # noqa: F401
+from ..session import ship as _ship
+
 #: Rows of an Arrow batch. Texts are whole, so that a batch has to be small in rows.
 BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once, and keep Arrow batches small."""
-    sc = spark.sparkContext
-    if not getattr(sc, "_pagewright_shipped", False):
-        root = Path(__file__).resolve().parents[2]
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as z:
-            for p in sorted((root / "pagewright").rglob("*.py")):
-                z.writestr(str(p.relative_to(root)), p.read_bytes())
-        path = os.path.join(tempfile.mkdtemp(prefix="pagewright-"), "pagewright_src.zip")
-        Path(path).write_bytes(out.getvalue())
-        sc.addPyFile(path)
-        sc._pagewright_shipped = True
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return spark
+    """Send the package to the executors once, and keep the session's Arrow batches small. Plans run later than they are
+    made, so that the setting stays; a smaller one of the user's is kept."""
+    if not 0 < int(spark.conf.get(_ROWS, "0")) <= BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+    return _ship(spark)
 
 
 #: What workers remember, by operator: called to forget it. Python workers live on from stage to stage.
@@ -47,33 +36,25 @@ def only(name: str) -> None:
             forget()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+def keep(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder; Spark removes it when nothing refers to it."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`. Only where that is unset, as in tests, a local one is made and set."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = sc.getCheckpointDir()
-    if not base:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="pagewright-shared-"))
-        base = sc.getCheckpointDir()
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(base)
-    return base
 
+class Store:
+    """Tables of one run, written to a new folder below the shared one and read again."""
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/pagewright/{name}-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path = spark, scratch(spark, name)
 
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.parquet(f"{self.path}/{name}")
 
-def keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder; Spark removes it when nothing refers to it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        discard(self.spark, *(f"{self.path}/{n}" for n in names))
 
 
 def plus(df: DataFrame, name: str, kind: str) -> StructType:

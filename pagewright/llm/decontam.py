@@ -5,28 +5,29 @@ Text is lower-cased in A-Z only; words are maximal runs of digits, letters and n
 and looked up; each hit is verified word by word, and the words of every verified occurrence are marked.
 
 Defined results: null and wordless texts have no words and no hits; wordless or null items have no windows; repeated
-items count once for each item_id; the windows of items without an id hit words, and no id is named for them; an empty benchmark hits nothing; other columns are ignored by `scan` and kept by
-`remove_documents` and `remove_spans`.
+items count once for each item_id; the windows of items without an id hit words, and no id is named for them; an empty
+benchmark hits nothing; every row is judged by its own text, whatever its key is and whatever size the benchmark has;
+other columns are ignored by `scan` and kept by `remove_documents` and `remove_spans`.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 WINDOW = 13
-#: Largest part of the benchmark, in bytes of text, that is sent to the executors at once; more goes in several scans.
-SLICE_BYTES = 32 << 20
+#: Largest part of the benchmark that is sent to the executors at once, in bytes of what is made of it (see `cost`);
+#: more goes in several scans.
+SLICE_BYTES = 128 << 20
 _KEPT = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 #: A-Z to a-z; what isn't part of a word to a space.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b in _KEPT else 32 for b in range(256))
@@ -39,58 +40,95 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
+def cost(data: bytes) -> int:
+    """Bytes of memory that an item of the benchmark takes in `Windows`, at most: its text, and for each word a hash, an
+    offset, and a window's hash, place, range of items and item."""
+    return len(data) + 64 + 48 * (len(data.translate(_TABLE).split()))
+
+
 class Windows:
-    """The benchmark's windows, by length: words as numbers, hashes of windows, and what each hash stands for."""
+    """The benchmark's windows in sorted arrays. `buffer` holds all words, a space after each, from `offset` on; words of
+    an item follow each other. By length of windows: the sorted hashes of different windows, where each begins, and the
+    items that it is in, `of[first[k] : first[k + 1]]`."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], n: int = WINDOW) -> None:
-        self.n, self.number = n, {}
-        by: dict[int, dict[tuple[int, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if ids else 0):
-                named = by[size][tuple(ids[i : i + size])]
-                if item is not None:
-                    named.add(item)
-        self.windows = {size: dict(x) for size, x in by.items()}
-        self.hashes, self.meaning = {}, {}
-        for size, x in self.windows.items():
-            keys = list(x)
-            h = self.rolled(np.array(keys, np.uint64).reshape(len(keys), size), size)
-            self.meaning[size] = defaultdict(list)
-            for value, key in zip(h.tolist(), keys):
-                self.meaning[size][value].append(key)
-            self.hashes[size] = np.unique(h)
+        words = [words_of(text) for _, text in items]
+        self.buffer = b"".join(w + b" " for ws in words for w in ws)
+        lengths = np.fromiter((len(w) + 1 for ws in words for w in ws), np.int64)
+        self.offset = np.concatenate([[0], np.cumsum(lengths)])
+        flat = np.fromiter((xxhash.xxh3_64_intdigest(w) for ws in words for w in ws), np.uint64, len(lengths))
+        self.names = sorted({i for i, _ in items if i is not None})
+        number = {x: k for k, x in enumerate(self.names)}
+        counts = np.array([len(ws) for ws in words], np.int64)
+        begin = np.cumsum(counts) - counts
+        own = np.array([number.get(i, -1) for i, _ in items], np.int64)
+        self.known = np.unique(flat)
+        self.sizes: dict[int, tuple[np.ndarray, ...]] = {}
+        for size in sorted({min(n, c) for c in counts.tolist() if c}):
+            some = np.flatnonzero((counts >= n) if size == n else (counts == size))
+            each = counts[some] - size + 1
+            at = np.repeat(begin[some] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+            self.sizes[size] = self._entries(flat, at, np.repeat(own[some], each), size)
+
+    def _entries(self, flat: np.ndarray, at: np.ndarray, item: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+        h = self.rolled(flat, at, size)
+        order = np.lexsort((item, h))
+        h, at, item = h[order], at[order], item[order]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        lead = at[np.flatnonzero(new)][np.cumsum(new) - 1]
+        same = np.ones(len(at), bool)
+        for i in range(size):
+            same &= flat[at + i] == flat[lead + i]
+        if not same.all():  # different windows of one hash: each is an entry of its own
+            numbers: dict[bytes, int] = {}
+            key = np.array([numbers.setdefault(self._window(p, size), len(numbers)) for p in at.tolist()])
+            order = np.lexsort((item, key, h))
+            h, at, item, key = h[order], at[order], item[order], key[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])])
+        entry = np.cumsum(new) - 1
+        kept = np.flatnonzero((item >= 0) & np.concatenate([[True], (entry[1:] != entry[:-1]) | (item[1:] != item[:-1])]))
+        first = np.searchsorted(entry[kept], np.arange(entry[-1] + 2))
+        return h[new], at[new], first, item[kept].astype(np.int32)
+
+    def _window(self, p: int, size: int) -> bytes:
+        return self.buffer[self.offset[p] : self.offset[p + size]]
 
     @staticmethod
-    def rolled(columns: np.ndarray, size: int) -> np.ndarray:
-        """Polynomial hash modulo 2**64 of rows of word numbers."""
-        h = np.zeros(len(columns), np.uint64)
+    def rolled(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        """Polynomial hash modulo 2**64 of the `size` words from each place."""
+        h = np.zeros(len(at), np.uint64)
         for i in range(size):
-            h = h * _STEP + columns[:, i] * np.uint64(0xD6E8FEB86659FD93)
+            h = h * _STEP + words[at + i]
         return h
 
     def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """For each word whether it lies in an occurrence of a window, and the items with an id that occur."""
         hit, found = np.zeros(len(words), bool), set()
-        get = self.number.get
-        ids = np.array([get(w, 0) for w in words], np.uint64)
-        if not len(ids) or not ids.any():
+        if not words or not self.sizes:
             return hit, found
-        known = np.concatenate([[0], np.cumsum(ids > 0)])
-        for size, hashes in self.hashes.items():
-            if len(ids) < size:
-                continue
-            at = np.flatnonzero(known[size:] - known[:-size] == size)  # only windows of known words can hit
+        ids = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        known = self.known[np.minimum(np.searchsorted(self.known, ids), len(self.known) - 1)] == ids
+        if not known.any():
+            return hit, found
+        known = np.concatenate([[0], np.cumsum(known)])
+        for size, (hashes, places, first, of) in self.sizes.items():
+            at = np.flatnonzero(known[size:] - known[:-size] == size) if len(ids) >= size else ()  # only windows of known words can hit
             if not len(at):
                 continue
-            h = self.rolled(ids[at[:, None] + np.arange(size)], size)
-            for i in at[np.isin(h, hashes)].tolist():
-                key = tuple(ids[i : i + size].tolist())
-                items = self.windows[size].get(key)  # the check of the hit, word by word
-                if items is not None:
-                    hit[i : i + size] = True
-                    found |= items
+            h = self.rolled(ids, at, size)
+            k = np.searchsorted(hashes, h)
+            there = np.flatnonzero(hashes[np.minimum(k, len(hashes) - 1)] == h)
+            entries = set()
+            for i, e, value in zip(at[there].tolist(), k[there].tolist(), h[there]):
+                window = b" ".join(words[i : i + size]) + b" "
+                while e < len(hashes) and hashes[e] == value:
+                    if self._window(places[e], size) == window:  # the check of the hit, word by word
+                        hit[i : i + size] = True
+                        entries.add(e)
+                        break
+                    e += 1
+            for e in entries:
+                found.update(self.names[x] for x in of[first[e] : first[e + 1]].tolist())
         return hit, found
 
 
@@ -101,10 +139,10 @@ def spans(hit: np.ndarray) -> list[list[int]]:
 
 
 def _slices(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple[str | None, str | None]]]:
-    """The benchmark in parts of at most `limit` bytes of text (a larger item is a part of its own)."""
+    """The benchmark in parts whose windows take at most `limit` bytes (a larger item is a part of its own)."""
     part, size = [], 0
     for row in benchmark.select(F.col(item).cast("string"), F.col(text)).toLocalIterator():
-        more = len((row[1] or "").encode("utf-8", "surrogatepass")) + 64
+        more = cost((row[1] or "").encode("utf-8", "surrogatepass"))
         if part and size + more > limit:
             yield part
             part, size = [], 0
@@ -133,27 +171,43 @@ def _scan_part(docs: DataFrame, windows, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, SCHEMA.format(key=key, kind=docs.schema[key].dataType.simpleString()))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", n: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """One row per document: key, n_words, n_hit, item_ids (sorted), hit_spans (runs of hit words, [first, end)).
+#: Names that the rows of a table get while it is scanned part by part.
+ROW = "row_of_scan"
+
 
-    A benchmark of up to `slice_bytes` is one scan without a shuffle. A larger one is scanned part by part, so that
-    what is broadcast stays bounded, and the parts' spans are united per row."""
+def _parts(docs: DataFrame, benchmark: DataFrame, item: str, item_text: str, n: int, slice_bytes: int) -> list:
     sc = common.ship(docs.sparkSession).sparkContext
-    parts = [sc.broadcast(Windows(x, n)) for x in _slices(benchmark, item, item_text, slice_bytes)] or [sc.broadcast(Windows([], n))]
-    if len(parts) == 1:
-        return _scan_part(docs, parts[0], key, text)
-    name = "row_of_scan"
-    rows = common.keep(docs.select(key, text).withColumn(name, F.monotonically_increasing_id()))
+    return [sc.broadcast(Windows(x, n)) for x in _slices(benchmark, item, item_text, slice_bytes)] or [sc.broadcast(Windows([], n))]
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number each, fixed by a checkpoint: keys may repeat or be null."""
+    return common.keep(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _united(rows: DataFrame, parts: list, text: str) -> DataFrame:
+    """ROW, n_words, n_hit, item_ids, hit_spans of numbered rows, from the scans of all parts."""
     every = None
     for p in parts:
-        one = _scan_part(rows.select(name, text), p, name, text)
+        one = _scan_part(rows.select(ROW, text), p, ROW, text)
         every = one if every is None else every.unionByName(one)
-    by = every.groupBy(name).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("item_ids")).alias("i"), F.sort_array(F.flatten(F.collect_list("hit_spans"))).alias("s"))
+    by = every.groupBy(ROW).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("item_ids")).alias("i"), F.sort_array(F.flatten(F.collect_list("hit_spans"))).alias("s"))
     # Sorted spans are united in one fold; touching ones too, as runs of hit words do.
     united = F.expr("aggregate(s, cast(array() as array<array<int>>), (a, x) -> if(size(a) > 0 and element_at(a, -1)[1] >= x[0], concat(slice(a, 1, size(a) - 1), array(array(element_at(a, -1)[0], greatest(element_at(a, -1)[1], x[1])))), concat(a, array(x))))")
-    by = by.select(name, "n_words", F.sort_array(F.array_distinct("i")).alias("item_ids"), united.alias("hit_spans"))
-    by = by.withColumn("n_hit", F.expr("aggregate(hit_spans, 0L, (a, x) -> a + x[1] - x[0])"))
-    return rows.select(name, key).join(by, name).select(key, "n_words", "n_hit", "item_ids", "hit_spans")
+    by = by.select(ROW, "n_words", F.sort_array(F.array_distinct("i")).alias("item_ids"), united.alias("hit_spans"))
+    return by.withColumn("n_hit", F.expr("aggregate(hit_spans, 0L, (a, x) -> a + x[1] - x[0])"))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", n: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """One row per document: key, n_words, n_hit, item_ids (sorted), hit_spans (runs of hit words, [first, end)).
+
+    A benchmark whose windows take up to `slice_bytes` is one scan without a shuffle. A larger one is scanned part by
+    part, so that what is broadcast stays bounded, and the parts' spans are united by the row's number."""
+    parts = _parts(docs, benchmark, item, item_text, n, slice_bytes)
+    if len(parts) == 1:
+        return _scan_part(docs, parts[0], key, text)
+    rows = _numbered(docs.select(key, text))
+    return rows.select(ROW, key).join(_united(rows, parts, text), ROW).select(key, "n_words", "n_hit", "item_ids", "hit_spans")
 
 
 def contaminated(share: int = 20) -> F.Column:
@@ -161,16 +215,15 @@ def contaminated(share: int = 20) -> F.Column:
     return (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", share: int = 20, item: str = "item_id", item_text: str = "text", n: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """Documents that are not contaminated, with all their columns.
+def remove_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", share: int = 20, item: str = "item_id", item_text: str = "text", n: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The rows that are not contaminated, with all their columns; each row is judged by its own text.
 
-    With a benchmark of one part this is a filter in one pass; a larger one needs the united spans, and a join by key."""
-    sc = common.ship(docs.sparkSession).sparkContext
-    parts = list(itertools.islice(_slices(benchmark, item, item_text, slice_bytes), 2))
+    With a benchmark of one part this is a filter in one pass; a larger one needs the united spans, by the row's number."""
+    parts = _parts(docs, benchmark, item, item_text, n, slice_bytes)
     if len(parts) > 1:
-        bad = scan(docs, benchmark, key, text, item, item_text, n, slice_bytes).filter(contaminated(share)).select(F.col(key).alias("bad_key")).distinct()
-        return docs.join(bad, F.col(key).eqNullSafe(F.col("bad_key")), "left_anti")
-    windows = sc.broadcast(Windows(parts[0] if parts else [], n))
+        rows = _numbered(docs)
+        return rows.join(_united(rows, parts, text).filter(contaminated(share)).select(ROW), ROW, "left_anti").select(*docs.columns)
+    windows = parts[0]
 
     def run(batches):
         common.only("decontam")
@@ -197,12 +250,29 @@ def cut_text(text: str | None, runs: list[list[int]]) -> str:
     return b"".join([*out, data[last:]]).decode("utf-8", "surrogatepass")
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """All documents, each text without its hit spans. Keys have to be unique."""
-    hits = scan(docs, benchmark, key, text, **options).filter("n_hit > 0").select(F.col(key).alias("hit_key"), "hit_spans")
-    cut = F.udf(cut_text, "string", useArrow=True)
-    both = docs.join(hits, F.col(key) == F.col("hit_key"), "left")
-    return both.withColumn(text, F.when(F.col("hit_spans").isNotNull(), cut(F.col(text), F.col("hit_spans"))).otherwise(F.col(text))).drop("hit_key", "hit_spans")
+def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """All rows and columns, each text without its hit spans."""
+    parts = _parts(docs, benchmark, item, item_text, n, slice_bytes)
+    if len(parts) > 1:
+        rows = _numbered(docs)
+        hits = _united(rows, parts, text).filter("n_hit > 0").select(F.col(ROW).alias("hit_row"), "hit_spans")
+        cut = F.udf(cut_text, "string", useArrow=True)
+        both = rows.join(hits, F.col(ROW) == F.col("hit_row"), "left")
+        return both.withColumn(text, F.when(F.col("hit_spans").isNotNull(), cut(F.col(text), F.col("hit_spans"))).otherwise(F.col(text))).select(*docs.columns)
+    windows = parts[0]
+
+    def run(batches):
+        common.only("decontam")
+        w = windows.value
+        for b in batches:
+            i = b.schema.get_field_index(text)
+            texts = []
+            for t in b.column(i).to_pylist():
+                hit = w.hits(words_of(t))[0]
+                texts.append(cut_text(t, spans(hit)) if hit.any() else t)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if j == i else b.column(j) for j in range(b.num_columns)], b.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def digest(item_ids: list[str]) -> str:

@@ -5,8 +5,9 @@ EBML lacing) and cues; it gives a table of packets with track, timestamp and byt
 packets; `mux_texts` stores a payload as 8-bit PCM samples, 576 to a packet.
 
 Defined results: a null or empty text is one packet of 255s; equal texts give equal files; elements of unknown size end
-where an element of a higher level begins; unknown elements are skipped; a file that ends within an element raises
-`MatroskaError`; a null file has no packets.
+where an element of a higher level begins; unknown elements are skipped; `parse` raises `MatroskaError` for whatever is
+wrong with a file, and nothing else; in the packet table a null file has no row, and a damaged one has one row with the
+reason as its `error` and no packet.
 """
 
 from __future__ import annotations
@@ -96,10 +97,14 @@ def elements(data: bytes, at: int, end: int, stop: set[int] = frozenset()):
 
 
 def _unsigned(data: bytes, a: int, b: int) -> int:
+    if b - a > 8:
+        raise MatroskaError(f"an integer of {b - a} bytes")
     return int.from_bytes(data[a:b], "big")
 
 
 def _float(data: bytes, a: int, b: int) -> float:
+    if b - a not in (0, 4, 8):
+        raise MatroskaError(f"a float of {b - a} bytes")
     return struct.unpack(">f" if b - a == 4 else ">d", data[a:b])[0] if b > a else 0.0
 
 
@@ -187,6 +192,15 @@ def _track(data: bytes, at: int, end: int, media: Media) -> None:
 
 def parse(data: bytes) -> Media:
     """Everything that the packet table needs, with absolute byte ranges."""
+    try:
+        return _parse(data)
+    except MatroskaError:
+        raise
+    except (LookupError, ValueError, ArithmeticError, TypeError, RuntimeError, struct.error) as e:  # a place, text or number that can't be
+        raise MatroskaError(f"{type(e).__name__}: {e}") from e
+
+
+def _parse(data: bytes) -> Media:
     media = Media()
     for name, _, at, end in elements(data, 0, len(data)):
         if name == EBML:
@@ -200,6 +214,8 @@ def parse(data: bytes) -> Media:
                     for m, _, c, d in elements(data, a, b):
                         if m == SCALE:
                             media.scale = _unsigned(data, c, d)
+                            if not 0 < media.scale < 1 << 40:
+                                raise MatroskaError("a timestamp scale that can't be")
                         elif m == DURATION:
                             media.duration = _float(data, c, d)
                 elif n == TRACKS:
@@ -320,23 +336,36 @@ def mux_texts(docs: DataFrame, text: str = "text", out: str = "media") -> DataFr
     return docs.mapInArrow(run, common.plus(docs, out, "binary"))
 
 
-PACKETS = "track int, packet int, timestamp_ms double, offset long, size int, keyframe boolean, cluster_offset long"
+PACKETS = "track int, packet int, timestamp_ms double, offset long, size int, keyframe boolean, cluster_offset long, error string"
 
 
 def packets(files: DataFrame, key: str, media: str = "media") -> DataFrame:
-    """The packet table: one row per packet with key, track, number, timestamp and byte range."""
+    """The packet table: one row per packet with key, track, number, timestamp and byte range; a damaged file has one row
+    with its error."""
     common.ship(files.sparkSession)
-    kinds = [pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64()]
+    kinds = [pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.string()]
     names = [x.split()[0] for x in PACKETS.split(", ")]
 
     def run(batches):
         common.only("matroska")
         for b in batches:
             for i, data in enumerate(b.column(1).to_pylist()):
-                m = parse(data) if data is not None else Media()
-                for j in range(0, len(m.packets), 10_000):
-                    part = m.packets[j : j + 10_000]
-                    rows = [(p.track, j + n, p.timestamp * m.scale / 1e6, p.offset, p.size, p.keyframe, p.cluster) for n, p in enumerate(part)]
+                if data is None:
+                    continue
+                try:
+                    m = parse(data)
+                    for p in m.packets:
+                        if p.track is None or p.track >= 1 << 31:
+                            raise MatroskaError(f"track {p.track} can't be")
+                    step, parts = 10_000, m.packets
+                except MatroskaError as e:
+                    step, parts = 1, [str(e)]
+                for j in range(0, len(parts), step):
+                    part = parts[j : j + step]
+                    if isinstance(part[0], str):
+                        rows = [(None, None, None, None, None, None, None, part[0])]
+                    else:
+                        rows = [(p.track, j + n, p.timestamp * m.scale / 1e6, p.offset, p.size, p.keyframe, p.cluster, None) for n, p in enumerate(part)]
                     keys = pa.array([b.column(0)[i].as_py()] * len(part), b.schema.field(0).type)
                     yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], [key, *names])
 

@@ -287,12 +287,7 @@ def _crossing(members: DataFrame, nodes: DataFrame, clusters: DataFrame) -> Data
 def components(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id, kept for every row."""
     spark = common.ship(docs.sparkSession)
-    path = common.scratch(spark, "neardup")
-
-    def store(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{path}/{name}")
-        return spark.read.parquet(f"{path}/{name}")
-
+    store = common.Store(spark, "neardup")
     rows = store(sketch(docs, k, key, text), "rows")
     nodes = store(rows.filter("node is not null").groupBy("node").agg(F.min(key).alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     met = buckets(nodes)
@@ -308,6 +303,7 @@ def components(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text")
     wanted = store(clusters.join(nodes.select("node", "id"), "node"), "wanted")
     links = store(verified(full_sets(docs, wanted, k, key, text), clusters), "links")
     component = store(connected(links), "components")
+    store.drop("members", "likely", "stars", "clusters", "wanted", "links")
     named = component.join(nodes.select("node", "id"), "node")
     smallest = named.groupBy("root").agg(F.min("id").alias("smallest"))
     by_node = nodes.select("node", "id").join(component, "node", "left").join(smallest, "root", "left").select("node", F.coalesce("smallest", "id").alias("component_id"))

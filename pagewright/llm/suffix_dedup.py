@@ -369,12 +369,7 @@ def _counted_groups(rows: DataFrame, unit: Unit) -> DataFrame:
 def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: Unit = BYTES) -> DataFrame:
     """tid (digest of a text), ranges (begin, end in symbols; they may overlap) for every text that loses some."""
     spark = common.ship(docs.sparkSession)
-    path = common.scratch(spark, "suffixes")
-
-    def store(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{path}/{name}")
-        return spark.read.parquet(f"{path}/{name}")
-
+    store = common.Store(spark, "suffixes")
     # One row for each segment of each different text; copies of a text count.
     parts = store(_segment_rows(docs, text, unit).groupBy("gram", "name", "tid", "a", "windows", "place").agg(F.count(F.lit(1)).alias("m")), "segments")
     same = parts.groupBy("gram", "name").agg(F.sum("m").alias("copies"), F.min(F.struct("tid", "a", "windows", "place")).alias("one"))
@@ -412,8 +407,11 @@ def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", un
     sorted_ = _sorted_groups(fetched.filter(f"different <= {GROUP}"), unit)
     counted = _counted_groups(fetched.filter(f"different > {GROUP}").dropDuplicates(["gram", "name"]), unit)
     ranges = store(whole.unionByName(sorted_).unionByName(counted), "ranges")
+    store.drop("different", "marked", "wanted", "fetched")
     every = parts.join(ranges, ["gram", "name"]).select("tid", F.expr("transform(ranges, r -> array(a + r[0], a + r[1]))").alias("r"))
-    return every.groupBy("tid").agg(F.flatten(F.collect_list("r")).alias("ranges"))
+    by_text = store(every.groupBy("tid").agg(F.flatten(F.collect_list("r")).alias("ranges")), "by_text")
+    store.drop("segments", "ranges")
+    return by_text
 
 
 def united(ranges, data: bytes, unit: Unit = BYTES) -> list[list[int]]:

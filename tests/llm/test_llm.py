@@ -116,6 +116,18 @@ def test_bpe_equals_the_library(spark, odd):
     assert all(len(r.ids) == r.n_tokens for r in got)
 
 
+def test_bpe_remembers_a_bounded_number_of_characters(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMORY", 500)
+    v = bpe.Vocabulary(__import__("json").load(open(TOKENIZER)))
+    t = Tokenizer.from_file(TOKENIZER)
+    r = random.Random(2)
+    for i in range(60):
+        text = " ".join("".join(r.choice("abcdefgh0123456789+/") for _ in range(r.choice([3, 8, 900, 5000]))) for _ in range(12))
+        assert v.encode(text) == t.encode(text, add_special_tokens=False).ids
+        held = [*v.known, *v.older]
+        assert sum(map(len, held)) <= 2 * (500 * bpe.MEAN + bpe.LONGEST) and max(map(len, held), default=0) <= bpe.LONGEST
+
+
 def test_bpe_encode_then_decode(spark):
     docs = spark.createDataFrame([(1, "Don't STOP, ﬁne"), (2, None)], "doc_id long, text string")
     rows = bpe.decode(bpe.encode(docs, TOKENIZER), TOKENIZER).orderBy("doc_id").collect()
@@ -468,6 +480,59 @@ def test_matroska_forms():
         matroska.parse(matroska.mux_text("abc")[0][:-3])
 
 
+def test_damaged_matroska(spark):
+    """Whatever is changed in a file, it is parsed or raises MatroskaError, and the packet table goes on."""
+    r = random.Random(11)
+    whole = matroska.mux_text("some text " * 900)[0]
+    files, broken = [], 0
+    for i in range(3000):
+        data = bytearray(whole)
+        for _ in range(r.choice([1, 1, 2, 5])):
+            at = r.randrange(r.choice([60, 400, len(data)]))
+            if r.random() < 0.2:
+                del data[at : at + r.randrange(1, 9)]
+            else:
+                data[at] = r.choice([0, 1, 127, 128, 255, r.randrange(256)])
+        try:
+            matroska.parse(bytes(data))
+        except matroska.MatroskaError:
+            broken += 1
+        if i < 300:
+            files.append((i, bytes(data)))
+    assert 100 < broken < 3000
+    rows = matroska.packets(spark.createDataFrame([*files, (300, None), (301, b""), (302, b"plain"), (303, whole)], "k int, media binary"), "k").collect()
+    for i, data in [*files, (302, b"plain"), (303, whole)]:
+        mine = [x for x in rows if x.k == i]
+        try:
+            n = len(matroska.parse(data).packets)
+        except matroska.MatroskaError as e:
+            assert [(x.packet, x.error) for x in mine] == [(None, str(e))]
+        else:
+            assert [x.packet for x in sorted(mine, key=lambda x: x.packet or 0)] == list(range(n)) or [x.error for x in mine if x.error]
+    assert not [x for x in rows if x.k in (300, 301)]
+
+
+@pytest.mark.parametrize("name", ["op7_matroska"])
+def test_media_digests_by_brute_force(spark, odd, name):
+    """Every column, from the stored form's own bytes by a reader that only knows where samples lie."""
+    for sf in (odd, SF.replace("0.01", "0.001")):
+        texts = Counter((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+        want = Counter()
+        for (i, t), n in texts.items():
+            raw = (t or "").encode()
+            data = raw + b"\xff" * (576 - len(raw) % 576 if len(raw) % 576 or not raw else 0)
+            file = matroska.mux_text(t)[0]
+            x = list(data)
+            mean = sum(x) / len(x)
+            spread = max(0.0, sum(v * v for v in x) / len(x) - mean * mean) ** 0.5
+            turns = sum((a > 127) != (b > 127) for a, b in zip(x, x[1:]))
+            packets = len(data) // 576
+            text = f"packets={packets};clusters={-(-packets // 128)};cues={-(-packets // 128)};seconds={packets * 0.072:.3f};mean={mean:.6f};deviation={spread:.6f};turns={turns}"
+            want[(i, len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(file), hashlib.sha256(file).hexdigest(), text)] += n
+        got = Counter(tuple(r) for r in queries.queries()[name](spark, sf).collect())
+        assert got == want
+
+
 # 8 Decontamination
 
 
@@ -503,6 +568,33 @@ def test_decontamination_by_items_without_an_id(spark, slice_bytes):
     assert texts[2] == words[33:]
 
 
+@pytest.mark.parametrize("slice_bytes", [1 << 20, 100])
+def test_decontamination_judges_rows_not_keys(spark, slice_bytes):
+    words = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, words, "a"), (1, "clean", "b"), (None, words, "c"), (None, "clean", "d"), (2, None, "e"), (2, None, "e")], "doc_id long, text string, row_of string")
+    bench = spark.createDataFrame([(1, words), (2, " ".join(f"v{i}" for i in range(30)))], "item_id long, text string")
+    assert sorted(r.row_of for r in decontam.remove_documents(docs, bench, slice_bytes=slice_bytes).collect()) == ["b", "d", "e", "e"]
+    assert sorted((r.row_of, r.text or "") for r in decontam.remove_spans(docs, bench, slice_bytes=slice_bytes).collect()) == [("a", ""), ("b", "clean"), ("c", ""), ("d", "clean"), ("e", ""), ("e", "")]
+    assert sorted((str(r.doc_id), r.n_hit) for r in decontam.scan(docs, bench, slice_bytes=slice_bytes).collect()) == [("1", 0), ("1", 30), ("2", 0), ("2", 0), ("None", 0), ("None", 30)]
+
+
+def test_windows_take_bounded_memory(monkeypatch):
+    r = random.Random(5)
+    short, long = (" ".join(f"{r.randrange(d)}" for _ in range(50_000)) for d in (9, 1_000_000))
+    for text in (short, long):
+        w = decontam.Windows([("x", text), (None, text[:20_000])])
+        held = len(w.buffer) + sum(a.nbytes for a in [w.offset, w.known, *(a for x in w.sizes.values() for a in x)])
+        assert held <= sum(decontam.cost(t.encode()) for t in (text, text[:20_000]))
+    assert held < 10 * len(long)
+    # windows that share a hash are told apart
+    items = [("a", "one two three"), ("b", "two three four"), ("c", "one two three"), (None, "five six seven"), ("d", "x y")]
+    monkeypatch.setattr(decontam.Windows, "rolled", staticmethod(lambda words, at, size: np.zeros(len(at), np.uint64)))
+    w = decontam.Windows(items, 3)
+    for text, hit, found in (("zero one two three", 3, {"a", "c"}), ("two three four", 3, {"b"}), ("five six seven x y", 5, {"d"}), ("three two one", 0, set())):
+        got = w.hits(decontam.words_of(text))
+        assert (int(got[0].sum()), got[1]) == (hit, found), text
+
+
 # 9 Sharding
 
 
