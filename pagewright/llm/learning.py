@@ -32,8 +32,16 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id",
     return [(r["t"], r["y"]) for r in sorted(rows, key=lambda r: r["sample_id"])]
 
 
+def summed(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers in `at`, and for each the sum of its rows of values."""
+    order = np.argsort(at, kind="stable")
+    by = at[order]
+    first = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]])) if len(by) else np.zeros(0, np.int64)
+    return by[first], np.add.reduceat(values[order], first, axis=0) if len(by) else values[:0]
+
+
 class Adam:
-    """Steps for a dictionary of arrays."""
+    """Steps for a dictionary of arrays. A gradient of a few rows is given as (rows, values); the others rest."""
 
     def __init__(self, params: dict[str, np.ndarray], rate: float = 0.01) -> None:
         self.params, self.rate, self.t = params, rate, 0
@@ -44,9 +52,13 @@ class Adam:
         self.t += 1
         scale = (rate or self.rate) * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
         for k, g in grads.items():
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.001 * (g * g - self.v[k])
-            self.params[k] -= (scale * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)).astype(self.params[k].dtype)
+            at, g = g if isinstance(g, tuple) else (slice(None), g)
+            m = self.m[k][at]
+            m = m + 0.1 * (g - m)
+            v = self.v[k][at]
+            v = v + 0.001 * (g * g - v)
+            self.m[k][at], self.v[k][at] = m, v
+            self.params[k][at] -= (scale * m / (np.sqrt(v) + 1e-8)).astype(self.params[k].dtype)
 
 
 def sigmoid(x):

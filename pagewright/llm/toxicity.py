@@ -7,7 +7,7 @@ one; a document's score is its highest window's, calibrated on the training rows
 
 Learning, from windows that begin every `STEP` words and a last one: a window of a toxic document need not be toxic. In every round the windows of toxic documents that score
 highest stand for them, against windows of the other documents, the highest among them included. The first round's
-scores are log odds of character grams, which also begin one coordinate of their vectors.
+scores are log odds of character grams.
 
 Defined results: null, empty and wordless texts score 0; without labelled rows of both classes
 every score is the share of label 1 (0 without any); repeated rows get equal scores; scores depend on the text alone.
@@ -240,6 +240,7 @@ class Encoder:
             u = p[f"h{side}"]
             du = np.zeros_like(u)
             dh = np.zeros((len(idx), n), np.float32)
+            at_word = np.zeros((length, len(idx), 3 * n), np.float32)
             for t, h, gn, z, r, new in reversed(steps):
                 dout = dh + dstates[t, :, at : at + n]
                 live = np.ones((len(idx), 1), np.float32) if valid is None else valid[:, t, None].astype(np.float32)
@@ -250,7 +251,9 @@ class Encoder:
                 full = np.concatenate([dz, dr, dnew * r], axis=1)
                 du += h.T @ full
                 dh = dout * (1 - live) + d * z + full @ u.T
-                np.add.at(own, idx[:, t], np.concatenate([dz, dr, dnew], axis=1))
+                at_word[t, :, : 2 * n], at_word[t, :, 2 * n :] = full[:, : 2 * n], dnew
+            words, sums = learning.summed(at_word.reshape(-1, 3 * n), idx.T.reshape(-1))
+            own[words] = sums
             g[f"h{side}"] = du
         return g, dgates
 
@@ -279,6 +282,7 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Encoder:
     docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t, _ in rows]
     flat, who, own = grams(list(number))
     begin = np.searchsorted(who, np.arange(len(number) + 1))
+    size = np.diff(begin)
 
     # Log odds of each gram among documents, with as many rows as PRIOR added at the rate of all documents.
     seen = np.zeros((2, CHAR_BUCKETS))
@@ -315,9 +319,9 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Encoder:
                 rows_ = picked[some]
                 words, local = np.unique(idx[rows_], return_inverse=True)
                 local = local.reshape(len(some), LENGTH)
-                spans = [np.arange(begin[w], begin[w + 1]) for w in words]
-                part_flat = flat[np.concatenate(spans)]
-                part_who = np.repeat(np.arange(len(words)), [len(s) for s in spans])
+                count = size[words]
+                part_who = np.repeat(np.arange(len(words)), count)
+                part_flat = flat[np.arange(len(part_who)) + np.repeat(begin[words] - (np.cumsum(count) - count), count)]
                 part = (part_flat, part_who, own[words])
                 x = net.vectors(part)
                 gates = net.project(x)
@@ -326,10 +330,8 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Encoder:
                 grads, dgates = net.gradients(gates, local, valid[rows_], kept, dlogit)
                 grads |= {"xf": x.T @ dgates[0], "cf": dgates[0].sum(axis=0), "xb": x.T @ dgates[1], "cb": dgates[1].sum(axis=0)}
                 dx = dgates[0] @ net.p["xf"].T + dgates[1] @ net.p["xb"].T
-                grads["chars"] = np.zeros_like(net.p["chars"])
-                np.add.at(grads["chars"], part_flat, dx[part_who, :CHAR_DIM])
-                grads["words"] = np.zeros_like(net.p["words"])
-                np.add.at(grads["words"], own[words], dx[:, CHAR_DIM:])
+                grads["chars"] = learning.summed(dx[part_who, :CHAR_DIM], part_flat)
+                grads["words"] = learning.summed(dx[:, CHAR_DIM:], own[words])
                 adam.step(grads, 0.01 * (0.5 if k >= ROUNDS - 1 else 1.0))
         gates = net.project(net.vectors((flat, who, own)))
         score = np.concatenate([net.run(gates, idx[a : a + AT_ONCE], valid[a : a + AT_ONCE]) for a in range(0, len(idx), AT_ONCE)])
@@ -338,16 +340,23 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Encoder:
     return net
 
 
+class _Numbers(dict):
+    """Words by the order in which they came."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = len(self)
+        return self[word]
+
+
 class Scorer:
     """Scores batches of texts with a trained network; remembers the inputs of words."""
 
     def __init__(self, net: Encoder) -> None:
-        self.net, self.number, self.ready = net, {}, 0
+        self.net, self.number, self.ready = net, _Numbers(), 0
         self.gates = np.zeros((2, MEMORY, 3 * HIDDEN), np.float32)
 
     def _numbers(self, words: list[bytes]) -> np.ndarray:
-        number = self.number
-        return np.array([number.setdefault(w, len(number)) for w in words], np.int32)
+        return np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
 
     def _project(self) -> None:
         """Inputs of the words that are new."""
@@ -378,7 +387,7 @@ class Scorer:
 
     def _score(self, parts: list[tuple[int, list[bytes]]], best: np.ndarray) -> None:
         if len(self.number) > MEMORY - 2 * PART - LENGTH:  # up to PART - 1 words are held when a piece of up to PART + LENGTH - 1 comes
-            self.number, self.ready = {}, 0
+            self.number, self.ready = _Numbers(), 0
         docs = [self._numbers(w) for _, w in parts]
         if len(self.number) > self.ready:
             self._project()

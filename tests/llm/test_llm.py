@@ -678,3 +678,78 @@ def test_oracle(spark, name):
 
 def test_folder_is_shared(spark):
     assert Path(common.shared_folder(spark).removeprefix("file:")).exists()
+
+
+def test_gradients_of_the_network():
+    """Against differences of the loss, for windows with and without empty places."""
+    r = np.random.default_rng(4)
+    net = toxicity.Encoder(3)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items() if k not in ("chars", "words")}
+    x = r.standard_normal((7, toxicity.CHAR_DIM + toxicity.WORD_DIM))
+    idx = r.integers(0, 7, (5, 6))
+    valid = np.arange(6) < np.array([[6], [6], [3], [1], [5]])
+    target = np.array([1.0, 0.0, 1.0, 0.0, 1.0])
+
+    def loss():
+        z = net.run(net.project(x), idx, valid)
+        return float(np.sum(np.logaddexp(0, z) - target * z))
+
+    def exact():
+        gates = net.project(x)
+        z, kept = net.run(gates, idx, valid, keep=True)
+        g, d = net.gradients(gates, idx, valid, kept, learning.sigmoid(z) - target)
+        return g | {"xf": x.T @ d[0], "cf": d[0].sum(axis=0), "xb": x.T @ d[1], "cb": d[1].sum(axis=0)}, d[0] @ net.p["xf"].T + d[1] @ net.p["xb"].T
+
+    got, dx = exact()
+    assert set(got) == set(net.p)
+    for name, array in [*net.p.items(), ("x", x)]:
+        g = dx if name == "x" else got[name]
+        for _ in range(12):
+            at = tuple(r.integers(0, s) for s in array.shape)
+            was, step = array[at], 1e-3
+            array[at] = was + step
+            up = loss()
+            array[at] = was - step
+            down = loss()
+            array[at] = was
+            assert (up - down) / (2 * step) == pytest.approx(float(g[at]), abs=2e-3, rel=2e-2), (name, at)
+
+
+def slow_logit(p, vectors):
+    """The network's logit of one window, number by number."""
+    n = toxicity.HIDDEN
+    sigma = lambda v: 1 / (1 + math.exp(-v))
+    dot = lambda v, m, j: sum(float(a) * float(m[i][j]) for i, a in enumerate(v))
+    states = [[0.0] * (2 * n) for _ in vectors]
+    for side, order, at in (("f", range(len(vectors)), 0), ("b", range(len(vectors) - 1, -1, -1), n)):
+        h = [0.0] * n
+        for t in order:
+            x, u, c = p["x" + side], p["h" + side], p["c" + side]
+            gate = lambda j: dot(vectors[t], x, j) + float(c[j])  # noqa: B023, E731
+            z = [sigma(gate(j) + dot(h, u, j)) for j in range(n)]
+            rest = [sigma(gate(n + j) + dot(h, u, n + j)) for j in range(n)]
+            new = [math.tanh(gate(2 * n + j) + rest[j] * dot(h, u, 2 * n + j)) for j in range(n)]
+            h = [new[j] + z[j] * (h[j] - new[j]) for j in range(n)]
+            states[t][at : at + n] = h
+    s = [sum(math.tanh(dot(v, p["a"], j)) * float(p["s"][j]) for j in range(toxicity.ATTENTION)) for v in states]
+    w = [math.exp(v - max(s)) for v in s]
+    pooled = [sum(a * v[j] for a, v in zip(w, states)) / sum(w) for j in range(2 * n)]
+    return sum(a * float(b) for a, b in zip(pooled, p["o"])) + float(p["b"][0])
+
+
+def test_scores_by_a_slow_scorer(spark):
+    """The query's scores on a few texts, from the trained network, every window by itself."""
+    net = toxicity.train([("a bad idiot word here " * 3, 1), ("a fine nice word here " * 3, 0)] * 30)
+    texts = ["you idiot", "An  IDIOT, of course. " * 9, "nice words " * 20, "x", None, "  ", "été à la mer " * 15]
+    got = {r.k: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), net).collect()}
+    for k, t in enumerate(texts):
+        words = toxicity.words_of(t)
+        if not words:
+            assert got[k] == 0.0
+            continue
+        vectors = []
+        for w in words:
+            flat, _, own = toxicity.grams([w])
+            vectors.append(np.concatenate([net.p["chars"][flat].sum(axis=0) if len(flat) else np.zeros(toxicity.CHAR_DIM), net.p["words"][own[0]]]))
+        best = max(slow_logit(net.p, vectors[a : a + toxicity.LENGTH]) for a in range(max(len(words) - toxicity.LENGTH, 0) + 1))
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-(net.slope * best + net.shift))), abs=1e-5), t
