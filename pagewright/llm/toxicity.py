@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from . import common, learning
 from .learning import sigmoid
 
-LENGTH, STEP = 32, 16
+LENGTH, STEP = 20, 10
 HIDDEN, CHAR_DIM, WORD_DIM, ATTENTION = 8, 8, 4, 8
 CHAR_BUCKETS, WORD_BUCKETS = 1 << 15, 1 << 12
 ROUNDS, EPOCHS, BATCH = 4, 3, 128
 #: Words whose input a worker remembers; no result depends on it.
-MEMORY = 200_000
+MEMORY = 400_000
 #: Words of the texts that are worked on together; a multiple of STEP.
 PART = 40_000
 #: Windows that are scored at once.

@@ -327,48 +327,48 @@ def test_scores_depend_on_the_text_alone():
 
 
 def test_windows():
-    assert toxicity.starts_of(10) == [0] and toxicity.starts_of(32) == [0] and toxicity.starts_of(33) == [0, 1] and toxicity.starts_of(70) == [0, 16, 32, 38]
+    assert toxicity.starts_of(10) == [0] and toxicity.starts_of(20) == [0] and toxicity.starts_of(21) == [0, 1] and toxicity.starts_of(45) == [0, 10, 20, 25]
 
 
 def test_long_texts_in_parts(monkeypatch):
-    monkeypatch.setattr(toxicity, "PART", 64)
-    for n in (0, 1, 31, 32, 64, 65, 80, 96, 97, 127, 128, 129, 300, 321):
+    monkeypatch.setattr(toxicity, "PART", 40)
+    for n in (0, 1, 19, 20, 40, 41, 50, 60, 61, 79, 80, 81, 187, 201):
         words = [b"%d" % i for i in range(n)]
-        got = {tuple(p[s : s + 32]) for p in toxicity.pieces(words) for s in toxicity.starts_of(len(p))}
-        want = {tuple(words[s : s + 32]) for s in toxicity.starts_of(n)} if n else set()
+        got = {tuple(p[s : s + toxicity.LENGTH]) for p in toxicity.pieces(words) for s in toxicity.starts_of(len(p))}
+        want = {tuple(words[s : s + toxicity.LENGTH]) for s in toxicity.starts_of(n)} if n else set()
         assert want <= got, n
-        assert len(got) <= len(want) + n // 64
+        assert len(got) <= len(want) + n // 40
 
 
 def test_every_length_in_parts(monkeypatch):
-    monkeypatch.setattr(toxicity, "PART", 64)
+    monkeypatch.setattr(toxicity, "PART", 40)
     for n in range(331):
         words = [b"%d" % i for i in range(n)]
-        got = Counter(tuple(p[s : s + 32]) for p in toxicity.pieces(words) for s in range(max(len(p) - 32, 0) + 1))
-        assert got == Counter(tuple(words[s : s + 32]) for s in range(max(n - 32, 0) + 1) if n), n
+        got = Counter(tuple(p[s : s + toxicity.LENGTH]) for p in toxicity.pieces(words) for s in range(max(len(p) - toxicity.LENGTH, 0) + 1))
+        assert got == Counter(tuple(words[s : s + toxicity.LENGTH]) for s in range(max(n - toxicity.LENGTH, 0) + 1) if n), n
 
 
 def test_windows_begin_at_every_word(monkeypatch):
     net = toxicity.train([("a bad idiot word here " * 3, 1), ("a fine nice word here " * 3, 0)] * 30)
-    monkeypatch.setattr(toxicity, "PART", 64)
+    monkeypatch.setattr(toxicity, "PART", 40)
     monkeypatch.setattr(toxicity, "AT_ONCE", 50)
     r = random.Random(3)
-    texts = [[r.choice("a bad idiot fine nice word here you".split()) for _ in range(n)] for n in (1, 31, 32, 33, 47, 64, 95, 96, 200)]
+    texts = [[r.choice("a bad idiot fine nice word here you".split()) for _ in range(n)] for n in (1, 19, 20, 21, 33, 40, 59, 60, 200)]
     for words, got in zip(texts, toxicity.Scorer(net).scores([" ".join(w) for w in texts])):
         words = [w.encode() for w in words]
         different = sorted(set(words))
         x = np.array([different.index(w) for w in words])
         gates = net.project(net.vectors(toxicity.grams(different)))
-        logits = [net.run(gates, x[None, a : a + 32], None)[0] for a in range(max(len(x) - 32, 0) + 1)]
+        logits = [net.run(gates, x[None, a : a + toxicity.LENGTH], None)[0] for a in range(max(len(x) - toxicity.LENGTH, 0) + 1)]
         assert got == pytest.approx(float(learning.sigmoid(net.slope * max(logits) + net.shift)), abs=1e-5), len(words)
 
 
 def test_remembered_words_have_room_for_the_longest_piece(monkeypatch):
     net = toxicity.train([("a bad idiot word here " * 3, 1), ("a fine nice word here " * 3, 0)] * 30)
-    texts = [" ".join(f"{x}{i}" for i in range(n)) for x, n in (("p", 64), ("q", 63), ("r", 95))]
+    texts = [" ".join(f"{x}{i}" for i in range(n)) for x, n in (("p", 40), ("q", 39), ("r", 59))]
     want = toxicity.Scorer(net).scores(texts)
-    monkeypatch.setattr(toxicity, "PART", 64)
-    monkeypatch.setattr(toxicity, "MEMORY", 192)
+    monkeypatch.setattr(toxicity, "PART", 40)
+    monkeypatch.setattr(toxicity, "MEMORY", 120)
     assert toxicity.Scorer(net).scores(texts) == pytest.approx(want, abs=1e-5)
 
 
