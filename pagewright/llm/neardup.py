@@ -8,10 +8,15 @@ sizes, by likelihood; those that could be similar enough are verified on their f
 
 Equal sets are one node, so that copies never meet each other. In a bucket no pairs are made: first every node is held
 against the bucket's smallest node only, and plausible pairs are joined to clusters. What is left are buckets with
-members of several clusters; there, and only there, members of different clusters are compared by their registers, in
-blocks, and give pairs that span what is plausible. Then each cluster gets the full sets of its members, once, and links
-are verified inside it: a set is held against those that nothing has reached yet. Similar pairs of at least `SIMILAR` percent miss every band
-with a probability of (1 - 0.8**4)**32 < 5e-8, and fall below the estimate's cut at `ESTIMATE` with one below 1e-8.
+members of several clusters; there, and only there, members that aren't of the bucket's largest cluster are compared with
+all others by their registers, in blocks, and give pairs that span what is plausible. Then each cluster gets the full sets
+of its members, and links are verified inside it: a set is held against those that nothing has reached yet. A cluster of
+several blocks is first held against its hub, the member that most others met first, block by block; what the hub doesn't
+reach then meets all blocks of members of a possible size. So a large group of copies of one text costs as much as it has
+members, and only members that the hub doesn't reach cost more.
+
+Similar pairs of at least `SIMILAR` percent miss every band with a probability of (1 - 0.8**4)**32 < 5e-8, and fall below
+the estimate's cut at `ESTIMATE` with one below 1e-8.
 
 Defined results: null, empty and wordless texts have an empty set, link with nothing and stay; a text of fewer words than
 a shingle is one shingle; repeated rows have one component; a component's id is its smallest non-null id, null if all
@@ -32,7 +37,9 @@ REGISTERS, ROWS = 128, 4
 BASE, RATE = 1.005, 20.0
 SIMILAR, ESTIMATE = 80, 0.58
 #: Members of a block, and bytes of their sets, when a bucket or a cluster is compared within.
-BLOCK, BLOCK_BYTES = 1024, 16 << 20
+BLOCK, BLOCK_BYTES = 512, 16 << 20
+#: Bits of the filter of wanted ids for each id, and at most (32 MB are sent to the executors). A full filter lets all pass.
+FILTER_BITS, FILTER_MOST = 16, 1 << 28
 _R = np.random.default_rng(20240229)
 _A = (_R.integers(0, 1 << 32, REGISTERS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = (_R.integers(0, 1 << 32, REGISTERS, dtype=np.uint64) & ~np.uint64(1)).astype(np.uint32)
@@ -144,28 +151,53 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "x binary, y binary")
 
 
+def _filter_of(ids: DataFrame, count: int) -> np.ndarray:
+    """A Bloom filter of the ids (column h: 64-bit hashes), as 64-bit words. It is made by the executors; the driver gets
+    its words, 32 MB at most."""
+    bits = min(FILTER_MOST, max(64, 1 << (FILTER_BITS * count).bit_length()))
+    place = F.explode(F.array(F.col("h").bitwiseAND(bits - 1), F.shiftrightunsigned("h", 32).bitwiseAND(bits - 1)))
+    words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    return out.view(np.uint64)
+
+
+def _passes(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes may be in the filter."""
+    bits = np.uint64(64 * len(words) - 1)
+    ok = np.ones(len(h), bool)
+    for p in (h & bits, (h >> np.uint64(32)) & bits):
+        ok &= (words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) > 0
+    return ok
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """node, set (sorted hashes as bytes) of wanted nodes (node, id): the document with the id is read again."""
+    """node, set (sorted hashes as bytes) of at least the wanted nodes (node, id): documents with their ids are read again.
+
+    A Bloom filter of the ids goes to the documents, so that no text is shuffled; some others pass it too."""
+    ids = wanted.select(F.xxhash64("id").alias("h"))
+    words = common.ship(docs.sparkSession).sparkContext.broadcast(_filter_of(ids, wanted.count()))
 
     def run(batches):
         common.only("neardup")
         for b in batches:
+            some = np.flatnonzero(_passes(words.value, b.column(0).to_numpy().view(np.uint64)))
             nodes, sets = [], []
-            for t, node in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for t in b.column(1).take(pa.array(some)).to_pylist():
                 h = shingles(t, k).tobytes()
-                if xxhash.xxh3_128_digest(h) == node:  # an id may stand for several texts
-                    nodes.append(node)
+                if h:
+                    nodes.append(xxhash.xxh3_128_digest(h))
                     sets.append(h)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], ["node", "set"])
 
-    # Wanted ids grow with the data: the plan is a sort-merge join at every size, never a broadcast.
-    w = wanted.select(F.col("id").alias("wanted_id"), "node").hint("merge")
-    found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(w, F.col("k").eqNullSafe(F.col("wanted_id"))).select("t", "node")
-    return found.mapInArrow(run, "node binary, set binary").groupBy("node").agg(F.first("set").alias("set"))
+    # an id may stand for several texts, and a text that passes be a copy of a wanted one
+    found = docs.select(F.xxhash64(key).alias("h"), text).mapInArrow(run, "node binary, set binary")
+    return found.groupBy("node").agg(F.first("set").alias("set"))
 
 
-def linked(sizes: np.ndarray, flat: np.ndarray) -> list[tuple[int, int]]:
-    """Links that hold together what is linked among some sets, given as numbers of their elements one after another.
+def linked(sizes: np.ndarray, flat: np.ndarray) -> tuple[list[tuple[int, int]], int]:
+    """Links that hold together what is linked among some sets, given as numbers of their elements one after another; the
+    second of a link is what the first reached. Also how many of the links hang on the first set.
 
     A set is held against those that no set has reached yet: copies of one text are reached from the first of them, and
     are not held against each other. The result spans the components of all links."""
@@ -176,15 +208,18 @@ def linked(sizes: np.ndarray, flat: np.ndarray) -> list[tuple[int, int]]:
     held = np.arange(len(sizes))
     alive = np.ones(len(sizes), bool)
     queue: list[int] = []
+    hanging = None
     for seed in range(len(sizes)):
         if not alive[seed]:
             continue
+        if seed and hanging is None:
+            hanging = len(out)
         alive[seed] = False
         queue.append(seed)
         while queue:
             i = queue.pop()
             if not alive.any():
-                return out
+                return out, len(out) if hanging is None else hanging
             if 2 * np.count_nonzero(alive[held]) < len(held):
                 held = held[alive[held]]
                 counts = sizes[held]
@@ -198,31 +233,79 @@ def linked(sizes: np.ndarray, flat: np.ndarray) -> list[tuple[int, int]]:
             alive[new] = False
             out += [(i, j) for j in new.tolist()]
             queue += new.tolist()
-    return out
-
-
-def verified(sets: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Links (x, y) that span what is linked on full sets within each cluster (node, root).
-
-    A cluster is dealt into blocks bounded in sets and bytes, and every two blocks meet in one group; a cluster of one
-    block, as nearly all are, sends each set once."""
-    whole = sets.join(clusters, "node").withColumn("bytes", F.octet_length("set"))
-    size = whole.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("bytes").alias("b")).filter("c > 1")
-    size = size.select("root", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("b") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    dealt = whole.join(size, "root").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    # With one block it meets itself; with more, each meets every other, which also compares it within.
-    dealt = dealt.withColumn("other", F.explode(F.expr("if(blocks = 1, array(0), filter(sequence(0, blocks - 1), x -> x != own))")))
-    dealt = dealt.select("root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "set")
-    schema = pa.schema([("x", pa.binary()), ("y", pa.binary())])
-
-    def run(table):
-        sets_ = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
-        node = table.column("node").to_pylist()
-        flat = np.unique(np.concatenate(sets_), return_inverse=True)[1]
-        got = linked(np.array([len(x) for x in sets_]), flat)
-        return pa.Table.from_arrays([pa.array([node[i] for i, _ in got], pa.binary()), pa.array([node[j] for _, j in got], pa.binary())], schema=schema)
-
-    return dealt.groupBy("root", "p", "q").applyInArrow(run, "x binary, y binary")
+    return out, len(out) if hanging is None else hanging
+
+
+def _near_sizes(n) -> F.Column:
+    """Classes of set sizes: similar sets are in the same one or in neighbouring ones."""
+    return F.floor(F.log(F.col(n)) / np.log(100 / SIMILAR) + 1e-9).cast("int")
+
+
+def _blocks(count: str, size: str | None = None) -> F.Column:
+    by_count = F.ceil(F.col(count) / BLOCK)
+    return (F.greatest(by_count, F.ceil(F.col(size) / BLOCK_BYTES)) if size else by_count).cast("int")
+
+
+def facing(rows: DataFrame, keys: list[str], size: str | None = None) -> DataFrame:
+    """Groups (keys, near, s, q) in which every row that seeks (column seek) meets every row with the same keys and a
+    possible set size (column n), once each; of the columns of rows, and side (0: seeks, 1: is met).
+
+    Both sides are dealt into blocks; a group has one block of each, so that none is larger than two blocks, and rows are
+    copied as often as the other side has blocks."""
+    by = [*keys, "near"]
+    near = _near_sizes("n")
+    met = rows.withColumn("near", near)
+    seeks = rows.filter("seek").withColumn("near", F.explode(F.array(near - 1, near, near + 1)))
+    weigh = lambda df, c, b: df.groupBy(*by).agg(F.count(F.lit(1)).alias(c), (F.sum(size) if size else F.lit(0)).alias(b))
+    counts = weigh(met, "cq", "bq").join(weigh(seeks, "cs", "bs"), by)
+    counts = counts.select(*by, _blocks("cq", "bq" if size else None).alias("nq"), _blocks("cs", "bs" if size else None).alias("ns"))
+    own = F.xxhash64("node")
+    seeks = seeks.join(counts, by).withColumn("s", F.pmod(own, "ns").cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).withColumn("side", F.lit(0))
+    met = met.join(counts, by).withColumn("q", F.pmod(own, "nq").cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("ns") - 1))).withColumn("side", F.lit(1))
+    return seeks.unionByName(met).drop("ns", "nq")
+
+
+_LINKS = pa.schema([("x", pa.binary()), ("y", pa.binary()), ("first", pa.bool_())])
+
+
+def _spanning(table: pa.Table) -> pa.Table:
+    """Links that span what is linked among a group's sets, those of side 0 first, and whether they hang on the first."""
+    side = table.column("side").to_numpy()
+    order = np.argsort(side, kind="stable").tolist()
+    names, all_ = table.column("node").to_pylist(), table.column("set").to_pylist()
+    by_node = {names[i]: all_[i] for i in reversed(order)}  # a set may be on both sides
+    node = list(dict.fromkeys(names[i] for i in order))
+    sets = [np.frombuffer(by_node[x], np.uint64) for x in node]
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    got, hanging = linked(np.array([len(x) for x in sets]), flat)
+    if side.min():
+        hanging = 0
+    return pa.Table.from_arrays([pa.array([node[i] for i, _ in got], pa.binary()), pa.array([node[j] for _, j in got], pa.binary()), pa.array(np.arange(len(got)) < hanging)], schema=_LINKS)
+
+
+def verified(sets: DataFrame, clusters: DataFrame, likely: DataFrame, store: common.Store) -> DataFrame:
+    """Links (x, y) that span what is linked on full sets within each cluster (node, root). likely: pairs (x, y) of a
+    member and the one it met first."""
+    kind = "x binary, y binary, first boolean"
+    whole = store(sets.join(clusters, "node").select("root", "node", "set", F.octet_length("set").alias("bytes"), (F.octet_length("set") / 8).cast("long").alias("n")), "sets")
+    total = whole.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("bytes").alias("b")).filter("c > 1")
+    total = store(total.select("root", ((F.col("c") <= BLOCK) & (F.col("b") <= BLOCK_BYTES)).alias("small")), "totals")
+    # A cluster of one block, as nearly all are, is one group.
+    small = whole.join(total.filter("small").select("root"), "root").select("root", F.lit(1).alias("side"), "node", "set")
+    links = store(small.groupBy("root").applyInArrow(_spanning, kind), "links")
+    if total.filter("not small").isEmpty():
+        return links.select("x", "y")
+
+    large = whole.join(total.filter("not small").select("root"), "root")
+    met = likely.groupBy(F.col("y").alias("node")).agg(F.count(F.lit(1)).alias("c")).join(clusters, "node")
+    hubs = met.groupBy("root").agg(F.max_by("node", F.struct("c", "node")).alias("hub"))
+    hub = large.join(hubs, (large.root == hubs.root) & (F.col("node") == F.col("hub"))).select(large.root, "node", "set", "bytes", "n", F.lit(True).alias("seek"))
+    rest = large.select("root", "node", "set", "bytes", "n", F.lit(False).alias("seek"))
+    first = store(facing(rest.unionByName(hub), ["root"], "bytes").groupBy("root", "near", "s", "q").applyInArrow(_spanning, kind), "hub_links")
+    reached = first.filter("first").select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    lone = large.select("root", "node", "set", "bytes", "n").join(reached.withColumn("reached", F.lit(True)), "node", "left").withColumn("seek", F.col("reached").isNull()).drop("reached")
+    second = facing(lone, ["root"], "bytes").groupBy("root", "near", "s", "q").applyInArrow(_spanning, kind)
+    return links.select("x", "y").unionByName(first.select("x", "y")).unionByName(second.select("x", "y"))
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -252,27 +335,23 @@ def connected(links: DataFrame) -> DataFrame:
 def _crossing(members: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFrame:
     """Pairs (x, y) that span the plausible pairs between members of a bucket that are in different clusters.
 
-    Only buckets with several clusters are looked at. A large bucket is dealt into blocks; every two blocks meet in one
-    group, so that no group is larger than two blocks, and a group gives fewer pairs than it has members."""
+    Only buckets with several clusters are looked at. There, members that aren't of the cluster with most members seek
+    all members, in blocks; a group gives fewer pairs than it has members."""
     c = members.join(clusters, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = c.groupBy("band", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo != hi").select("band", "value", "size")
-    left = c.join(mixed, ["band", "value"]).join(nodes.select("node", "n", "sketch"), "node")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    left = left.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    left = left.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
+    mine = c.groupBy("band", "value", "root").agg(F.count(F.lit(1)).alias("size"))
+    mixed = mine.groupBy("band", "value").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").drop("roots")
+    left = c.join(mixed, ["band", "value"]).join(nodes.select("node", "n", "sketch"), "node").select("band", "value", "node", "root", "n", "sketch", (F.col("root") != F.col("largest")).alias("seek"))
     schema = pa.schema([("x", pa.binary()), ("y", pa.binary())])
 
     def run(table):
-        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
         s, n, node = _matrix(table.column("sketch")), table.column("n").to_numpy(), table.column("node").to_pylist()
         number: dict[bytes, int] = {}
         root = np.array([number.setdefault(x, len(number)) for x in table.column("root").to_pylist()])
-        own = table.column("own").to_numpy()
+        side = table.column("side").to_numpy()
         out: list[tuple[bytes, bytes]] = []
-        mine, theirs = np.flatnonzero(own == p), np.flatnonzero(own == q)
-        for k, i in enumerate(mine):
-            j = theirs[k + 1 :] if p == q else theirs
-            j = j[(root[j] != root[i]) & (100 * np.minimum(n[j], n[i]) >= SIMILAR * np.maximum(n[j], n[i]))]
+        theirs = np.flatnonzero(side == 1)
+        for i in np.flatnonzero(side == 0):
+            j = theirs[(root[theirs] != root[i]) & (100 * np.minimum(n[theirs], n[i]) >= SIMILAR * np.maximum(n[theirs], n[i]))]
             if len(j):
                 larger, smaller = (s[i] > s[j]).sum(axis=1), (s[i] < s[j]).sum(axis=1)
                 for x in j[at_least(np.full(len(j), n[i]), n[j], larger, smaller, ESTIMATE)]:
@@ -281,7 +360,7 @@ def _crossing(members: DataFrame, nodes: DataFrame, clusters: DataFrame) -> Data
                         root[root == root[x]] = root[i]
         return pa.Table.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], schema=schema)
 
-    return left.select("band", "value", "p", "q", "own", "node", "root", "n", "sketch").groupBy("band", "value", "p", "q").applyInArrow(run, "x binary, y binary")
+    return facing(left, ["band", "value"]).groupBy("band", "value", "near", "s", "q").applyInArrow(run, "x binary, y binary")
 
 
 def components(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -301,9 +380,8 @@ def components(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text")
     clusters = store(connected(likely), "stars")
     clusters = store(connected(clusters.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(_crossing(members, nodes, clusters))), "clusters")
     wanted = store(clusters.join(nodes.select("node", "id"), "node"), "wanted")
-    links = store(verified(full_sets(docs, wanted, k, key, text), clusters), "links")
-    component = store(connected(links), "components")
-    store.drop("members", "likely", "stars", "clusters", "wanted", "links")
+    component = store(connected(verified(full_sets(docs, wanted, k, key, text), clusters, likely, store)), "components")
+    store.drop("members", "likely", "stars", "clusters", "wanted", "sets", "totals", "links", "hub_links")
     named = component.join(nodes.select("node", "id"), "node")
     smallest = named.groupBy("root").agg(F.min("id").alias("smallest"))
     by_node = nodes.select("node", "id").join(component, "node", "left").join(smallest, "root", "left").select("node", F.coalesce("smallest", "id").alias("component_id"))

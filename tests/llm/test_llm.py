@@ -226,8 +226,10 @@ def brute_components(docs, k):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("k", [4, 5])
-def test_near_duplicates(spark, k):
+@pytest.mark.parametrize("k, block, most", [(4, 512, 1 << 28), (5, 512, 1 << 28), (4, 3, 1 << 28), (5, 2, 128)])
+def test_near_duplicates(spark, monkeypatch, k, block, most):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "FILTER_MOST", most)
     r = random.Random(k)
     vocabulary = [f"w{i}" for i in range(300)]
     docs = [(1, ""), (2, None), (3, "Two Words"), (4, "two  words"), (5, "three other words")]
@@ -255,6 +257,26 @@ def test_blocks_give_the_same(spark, monkeypatch):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
 
 
+def test_chains_beyond_the_hub(spark, monkeypatch):
+    """Texts that slide along a long one: each is linked with its neighbours only, of which the hub reaches few."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    words = [f"w{i}" for i in range(300)]
+    docs = [(i, " ".join(words[3 * i : 3 * i + 60 + i % 5])) for i in range(60)] + [(100 + i, " ".join(words[::-1][: 40 + 3 * i])) for i in range(40)]
+    random.Random(0).shuffle(docs)
+    want = brute_components(docs, 4)
+    got = neardup.components(spark.createDataFrame(docs, "doc_id long, text string"), 4).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
+    assert len({c for _, c in want.values()}) < 10
+
+
+def test_sizes_of_similar_sets_are_near():
+    n = np.arange(1, 3000)
+    near = np.floor(np.log(n) / np.log(100 / neardup.SIMILAR) + 1e-9).astype(int)
+    for i in range(len(n)):
+        j = np.flatnonzero(100 * np.minimum(n[i], n) >= neardup.SIMILAR * np.maximum(n[i], n))
+        assert np.abs(near[j] - near[i]).max() <= 1
+
+
 def test_sketches_merge_and_estimate():
     r = np.random.default_rng(0)
     a, b = r.integers(0, 1 << 63, 400).astype(np.uint64), r.integers(0, 1 << 63, 300).astype(np.uint64)
