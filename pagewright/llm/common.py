@@ -55,6 +55,12 @@ class Store:
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
         discard(self.spark, *(f"{self.path}/{n}" for n in names))
+        tidy(self.spark)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let executors delete the shuffle files of finished queries, which they keep until the driver collects garbage."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def plus(df: DataFrame, name: str, kind: str) -> StructType:

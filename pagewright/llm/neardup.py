@@ -319,20 +319,21 @@ def connected(links: DataFrame) -> DataFrame:
         # large star: the neighbours above a node go to the smallest of its neighbourhood
         sides = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sides.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = sides.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: a node and those below it go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         both = large.join(low, "u")
         small = both.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = common.keep(small.filter("u != v").distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
+        common.tidy(links.sparkSession)
         if now == state:
             break
         state = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _crossing(members: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFrame:
+def _crossing(members: DataFrame, nodes: DataFrame, clusters: DataFrame, store: common.Store) -> DataFrame:
     """Pairs (x, y) that span the plausible pairs between members of a bucket that are in different clusters.
 
     Only buckets with several clusters are looked at. There, members that aren't of the cluster with most members seek
@@ -340,7 +341,8 @@ def _crossing(members: DataFrame, nodes: DataFrame, clusters: DataFrame) -> Data
     c = members.join(clusters, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mine = c.groupBy("band", "value", "root").agg(F.count(F.lit(1)).alias("size"))
     mixed = mine.groupBy("band", "value").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").drop("roots")
-    left = c.join(mixed, ["band", "value"]).join(nodes.select("node", "n", "sketch"), "node").select("band", "value", "node", "root", "n", "sketch", (F.col("root") != F.col("largest")).alias("seek"))
+    left = c.join(mixed, ["band", "value"]).join(nodes.select("node", "n", "sketch"), "node")
+    left = store(left.select("band", "value", "node", "root", "n", "sketch", (F.col("root") != F.col("largest")).alias("seek")), "mixed")
     schema = pa.schema([("x", pa.binary()), ("y", pa.binary())])
 
     def run(table):
@@ -378,10 +380,11 @@ def components(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text")
     stars = members.filter("node != hub").select(F.col("node").alias("x"), F.col("hub").alias("y")).distinct()
     likely = store(plausible(stars, nodes), "likely")
     clusters = store(connected(likely), "stars")
-    clusters = store(connected(clusters.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(_crossing(members, nodes, clusters))), "clusters")
+    clusters = store(connected(clusters.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(_crossing(members, nodes, clusters, store))), "clusters")
+    store.drop("members", "mixed", "stars")
     wanted = store(clusters.join(nodes.select("node", "id"), "node"), "wanted")
     component = store(connected(verified(full_sets(docs, wanted, k, key, text), clusters, likely, store)), "components")
-    store.drop("members", "likely", "stars", "clusters", "wanted", "sets", "totals", "links", "hub_links")
+    store.drop("likely", "clusters", "wanted", "sets", "totals", "links", "hub_links")
     named = component.join(nodes.select("node", "id"), "node")
     smallest = named.groupBy("root").agg(F.min("id").alias("smallest"))
     by_node = nodes.select("node", "id").join(component, "node", "left").join(smallest, "root", "left").select("node", F.coalesce("smallest", "id").alias("component_id"))
