@@ -633,6 +633,32 @@ def test_shards(spark):
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
 
 
+def test_shards_by_brute_force(spark, odd):
+    """Every column: slots by falling bytes to the lightest shard, records by slot and id."""
+    for sf in (odd, SF):
+        docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+        rows = []
+        for i, t in docs:
+            body = (t or "").encode()
+            slot = int(hashlib.md5(("null" if i is None else str(i)).encode()).hexdigest()[:7], 16) % 4096
+            rows.append((slot, (i is not None, i or 0, zlib.crc32(body), len(body) + 1), i, len(body) + 1, zlib.crc32(body)))
+        held = Counter()
+        for slot, _, _, size, _ in rows:
+            held[slot] += size
+        loads, to = [0] * 8, {}
+        for slot in sorted(range(4096), key=lambda s: (-held[s], s)):
+            best = loads.index(min(loads))
+            to[slot] = best
+            loads[best] += held[slot]
+        place, want = Counter(), Counter()
+        for slot, _, i, size, crc in sorted(rows, key=lambda r: (r[0], r[1])):
+            shard = to[slot]
+            want[(i, size, crc, "bytes", shard, place[shard], None, slot)] += 1
+            place[shard] += 1
+        got = queries.op9_sharding(spark, sf).collect()
+        assert Counter((r.doc_id, r["size"], r.text_crc32, r.law, r.shard, r.slot, r.grown_shard, r.vslot) for r in got) == want
+
+
 def test_rebalancing_moves_into_new_shards_only(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id"), F.octet_length("text").cast("long").alias("size"))
     totals = sharding.slot_totals(docs.withColumn("vslot", sharding.virtual_slot(F.col("doc_id"), 256)), 256)
