@@ -3,7 +3,7 @@ documents go, and what is left is encoded.
 
 Every stage takes (spark, docs, sf_dir), works on all rows that it is given, and returns a table; all but the last
 return the columns of `documents`. `run` writes each stage's table to the shared folder and reads it again, so that a
-lost executor costs one stage at most.
+lost executor costs one stage at most; a stage's table goes when the next one is written.
 
 Defined results: null and empty texts stay through all stages and have no tokens; repeated ids: see the operators; an
 empty table gives an empty table; extra columns are kept up to the last stage.
@@ -52,9 +52,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
-    docs = common.table(spark, sf_dir, "documents")
+    docs, last = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         out = common.scratch(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        if last:
+            common.discard(spark, last)
+        docs, last = spark.read.parquet(out), out
     return docs
