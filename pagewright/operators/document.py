@@ -167,16 +167,20 @@ def common_titles(blocks: DataFrame, similar: float = 90.0, overlap: float = 0.0
     """doc_id, index of headings that at least three others, and a share of all, resemble.
 
     Equal headings are one with a count first, so that a heading that stands on every page makes no pairs; different ones
-    are held against each other within a document if their lengths let them be similar (`exact`: equal ones only)."""
+    meet within a document and a class of lengths that lets them be similar (`exact`: equal ones only)."""
     t = blocks.filter(F.col("block_type").isin(*T.HEADING_TYPES)).select(*DOC, "index", title_key(F.col("text")).alias("t"))
     n = t.groupBy(*DOC).agg(F.count(F.lit(1)).alias("titles"))
     c = t.groupBy(*DOC, "t").agg(F.count(F.lit(1)).alias("c"))
     if exact:
         total = c.select(*DOC, "t", (F.col("c") - 1).alias("others"))
     else:
-        a, b = c.alias("a"), c.alias("b")
+        # Similar texts are at most this factor apart in length, so that they are in the same class or in neighbouring ones.
+        apart = max((200.0 - similar) / similar, 1.0) * 1.000001
+        kind = F.floor(F.log(F.greatest(F.length("t"), F.lit(1)).cast("double")) / F.log(F.lit(apart)))
+        a = c.withColumn("kind", F.explode(F.array(kind - 1, kind, kind + 1))).alias("a")
+        b = c.withColumn("kind", kind).alias("b")
         la, lb = F.length("a.t"), F.length("b.t")
-        near = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.t") != F.col("b.t")) & (2 * F.least(la, lb) * 100 >= similar * (la + lb)))
+        near = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.t") != F.col("b.t")) & (2 * F.least(la, lb) * 100 >= similar * (la + lb)))
 
         def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
             return pd.Series([indel_ratio(p, q) for p, q in zip(x, y)], dtype="float64")

@@ -176,6 +176,41 @@ def dump_spans(spark, sf_dir):
     return back.groupBy("doc_id", "pnum").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.min("text").alias("lowest"), F.max("text").alias("highest"))
 
 
+@query(WITH + """, k as (select 'layout' kind, doc_id, pnum, label, x0, y0, x1, y1 from boxes
+  union all select 'order', doc_id, pnum, cast(box_idx as varchar), x0, y0, x1, y1 from boxes where box_idx < 1000
+  union all select 'detection', doc_id, pnum, null, x0 / 0.75::double, y0 / 0.75::double, x1 / 0.75::double, y1 / 0.75::double from lines
+  union all select 'ocr', doc_id, pnum, text, x0 / 0.75::double, y0 / 0.75::double, x1 / 0.75::double, y1 / 0.75::double from spans)
+select kind, doc_id, pnum, count(*) as marks, cast(sum(round(x0 * 12) + round(y0 * 12) + round(x1 * 12) + round(y1 * 12)) as bigint) as places, cast(sum(length(label)) as bigint) as label_chars
+from k where pnum < 10 group by kind, doc_id, pnum""")
+def dump_overlays(spark, sf_dir):
+    """What the drawings of the first pages show, dumped by kind and read again."""
+    out = scratch(spark, "overlays")
+    spans = S.spans(spark, sf_dir)
+    boxes = S.layout_boxes(S.blocks(spans))
+    order = boxes.filter("box_idx < 1000").withColumn("position", F.col("box_idx"))
+    kinds = {"layout": boxes, "order": order, "detection": S.lines(spans), "ocr": spans}
+    sinks.dump_overlays(kinds, out, {"detection": S.PAGE_BOX, "ocr": S.PAGE_BOX}, S.IMAGE_BOX)
+    kind = "doc_id long, pnum int, marks array<struct<x0:double,y0:double,x1:double,y1:double,label:string>>"
+    every = None
+    for k in kinds:
+        one = spark.read.schema(kind).json(f"{out}/{k}").select(F.lit(k).alias("kind"), "doc_id", "pnum", F.explode("marks").alias("m"))
+        every = one if every is None else every.unionByName(one)
+    places = sum((F.round(F.col(f"m.{c}") * 12) for c in ("y0", "x1", "y1")), F.round(F.col("m.x0") * 12))
+    return every.groupBy("kind", "doc_id", "pnum").agg(F.count(F.lit(1)).alias("marks"), F.sum(places).cast("long").alias("places"), F.sum(F.length("m.label")).cast("long").alias("label_chars"))
+
+
+@query(WITH + f""", {_CONV}, {_CHUNKS}, b as (select 'text_blocks' kind, doc_id, count(*) n, sum(length(text)) chars from cb group by doc_id),
+t as (select 'full_text' kind, doc_id, cast(1 as bigint) n, sum(length(text) + case when p is null then 0 when p = 'Text' then 2 else 1 end) chars from (select *, lag(block_type) over (partition by doc_id order by "index") p from cb) group by doc_id)
+select kind, doc_id, n, cast(chars as bigint) as chars from b union all select kind, doc_id, n, cast(chars as bigint) from t""")
+def dump_documents(spark, sf_dir):
+    """Whole texts and merged blocks, dumped and read again."""
+    out = scratch(spark, "documents")
+    blocks = _conversation_blocks(spark, sf_dir)
+    sinks.dump_documents(D.full_text(blocks), blocks, None, out)
+    back = lambda k: spark.read.schema("doc_id long, text string").json(f"{out}/{k}").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("long").alias("chars")).select(F.lit(k).alias("kind"), "doc_id", "n", "chars")
+    return back("text_blocks").unionByName(back("full_text"))
+
+
 @query(_sql_runs(100, 100))
 def stream_ingest(spark, sf_dir):
     """Documents read as a stream, chunked, and written batch by batch."""

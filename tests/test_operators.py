@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from pagewright.operators import document as D
@@ -120,3 +123,25 @@ def test_merge_lines_joins_as_one_text_would(spark):
     steps = spark.createDataFrame([(d, w) for d, w in want.items()], "doc_id long, items array<struct<t:string,c:boolean>>")
     fold = F.aggregate("items", F.lit(""), lambda a, x: F.when(a == "", x["t"]).otherwise(T.join_lines(a, x["t"], F.lit("Caption"), x["c"])))
     assert got == {x.doc_id: x.r for x in steps.select("doc_id", fold.alias("r")).collect()}
+
+
+@pytest.mark.parametrize("similar", [60.0, 90.0, 100.0])
+def test_similar_titles_by_all_pairs(spark, similar):
+    r = random.Random(int(similar))
+    base = ["Annual report", "Contents", "Appendix of tables and figures", "A"]
+    rows = []
+    for doc in range(3):
+        for i in range(60):
+            t = list(r.choice(base))
+            for _ in range(r.choice([0, 0, 1, 2, 5])):
+                t.insert(r.randrange(len(t) + 1), r.choice("xyzab"))
+            rows.append((doc, i, "Title", "".join(t)))
+    keys = {(d, i): k for d, i, k in spark.createDataFrame(rows, "doc_id long, index int, block_type string, text string").select("doc_id", "index", D.title_key(F.col("text"))).collect()}
+    want = set()
+    for (d, i), t in keys.items():
+        mine = [k for (e, _), k in keys.items() if e == d]
+        others = sum(D.indel_ratio(t, k) >= similar for k in mine) - 1
+        if others >= max(3.0, len(mine) * 0.05):
+            want.add((d, i))
+    got = D.common_titles(spark.createDataFrame(rows, "doc_id long, index int, block_type string, text string"), similar).collect()
+    assert {(x.doc_id, x["index"]) for x in got} == want and 0 < len(want) < len(rows)
