@@ -101,6 +101,16 @@ def test_stages(spark):
     assert {"x", "y"} <= set(both({"docs": spark.range(1)}))
 
 
+def test_stored_tables_of_parallel_stages(spark, tmp_path):
+    seen = stage.Timings()
+    some = lambda name, k: stage.Stage(name, lambda docs: docs.selectExpr(f"id * {k} as id"), ("docs",), (name,), True)
+    both = stage.Pipeline((stage.Parallel((some("x", 2), some("y", 3), stage.Stage("z", lambda docs: docs, ("docs",), ("z",)))),))
+    out = both.run({"docs": spark.range(4)}, [seen], store=str(tmp_path / "store"))
+    assert {k: sorted(r.id for r in out[k].collect()) for k in "xyz"} == {"x": [0, 2, 4, 6], "y": [0, 3, 6, 9], "z": [0, 1, 2, 3]}
+    assert set(seen.stored) == {("parallel", "x"), ("parallel", "y")} and all(v > 0 for v in seen.stored.values())
+    assert sorted(p.name for p in (tmp_path / "store").iterdir()) == ["0-parallel-x", "0-parallel-y"]
+
+
 def test_settings(spark):
     spark.conf.set("pagewright.ocr_all_pages", "true")
     try:
