@@ -5,6 +5,7 @@ without one a stage raises `NotAvailable` with the name of what is missing. Noth
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ class Contract:
 
 CONTRACTS = {
     "pdf_text": Contract("path string, content binary", "doc_id long, pnum int, block_no int, line_no int, span_no int, text string, x0 double, y0 double, x1 double, y1 double, font string, font_size double, font_weight double", "a PDF text extractor"),
-    "pdf_outline": Contract("path string, content binary", "doc_id long, toc array<struct<title:string,level:int,is_closed:boolean,n_kids:int,page_index:int,view_mode:int,view_pos:array<double>>>", "a PDF reader"),
+    "pdf_outline": Contract("path string, content binary", "doc_id long, toc array<struct<title:string,level:int,is_closed:boolean,n_kids:int,page_index:int,view_mode:string,view_pos:array<double>>>", "a PDF reader"),
     "page_image": Contract("path string, content binary", "doc_id long, pnum int, image binary, width int, height int", "a PDF renderer"),
     "text_detection": Contract("doc_id long, pnum int, image binary", "doc_id long, pnum int, line_idx int, x0 double, y0 double, x1 double, y1 double, confidence double", "a text detection model"),
     "layout_detection": Contract("doc_id long, pnum int, image binary", "doc_id long, pnum int, box_idx int, label string, x0 double, y0 double, x1 double, y1 double", "a layout model"),
@@ -43,6 +44,8 @@ CONTRACTS = {
     "fix_encoding": Contract("text string", "text string", "an encoding repair library"),
 }
 _PLUGGED: dict[str, Callable[..., DataFrame]] = {}
+#: Stages that this library has a reader for, used unless another is plugged in: module and function.
+BUILT = {"pdf_text": ("pagewright.sources.pdf", "text"), "pdf_outline": ("pagewright.sources.pdf", "outline")}
 
 
 def plug(name: str, run: Callable[..., DataFrame]) -> None:
@@ -57,11 +60,15 @@ def unplug(name: str) -> None:
 
 
 def run(name: str, *inputs: DataFrame, **options) -> DataFrame:
-    """Run a plugged stage; its result has to have the contract's columns."""
+    """Run a stage that is plugged or built in; its result has to have the contract's columns."""
     contract = CONTRACTS[name]
-    if name not in _PLUGGED:
+    if name in _PLUGGED:
+        stage = _PLUGGED[name]
+    elif name in BUILT:
+        stage = getattr(importlib.import_module(BUILT[name][0]), BUILT[name][1])
+    else:
         raise NotAvailable(f"{name} needs {contract.needs}, which isn't here; see models.plug")
-    out = _PLUGGED[name](*inputs, **options)
+    out = stage(*inputs, **options)
     missing = {c.split()[0] for c in contract.gives.replace("array<struct<", "array<").split(", ")} - set(out.columns)
     if missing:
         raise ValueError(f"{name} has to give {sorted(missing)}")

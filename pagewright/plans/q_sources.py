@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import sinks
@@ -14,7 +16,7 @@ from ..operators import document as D
 from ..operators import page as P
 from ..session import scratch, table
 from ..sinks import document_json
-from ..sources import binary, office
+from ..sources import binary, office, pdf
 from ..sources import csv as csv_source
 from . import pipelines, stage
 from . import synthetic as S
@@ -137,6 +139,83 @@ def src_docx(spark, sf_dir):
     return office.word_chunks(files.unionByName(bad)).select(conv, "index", "chunk_type", "content", "table_content")
 
 
+def pdf_file(pages: list[list[str]], titles: list[str] = ()) -> bytes:
+    """A PDF of lines of text, by a font of two bytes a code whose codes are UTF-16, compressed, with an outline entry
+    for each title. An empty line leaves space; lines aren't wrapped."""
+    out, at = [b"%PDF-1.5\n"], {}
+
+    def put(n: int, body: bytes) -> None:
+        at[n] = sum(map(len, out))
+        out.append(b"%d 0 obj\n%s\nendobj\n" % (n, body))
+
+    def stream(n: int, data: bytes) -> None:
+        data = zlib.compress(data)
+        put(n, b"<</Length %d/Filter/FlateDecode>>stream\n%s\nendstream" % (len(data), data))
+
+    first, k = 10, len(pages)
+    kids = b" ".join(b"%d 0 R" % (first + 2 * i) for i in range(k))
+    put(1, b"<</Type/Catalog/Pages 2 0 R/Outlines 7 0 R>>")
+    put(2, b"<</Type/Pages/Count %d/MediaBox[0 0 612 792]/Resources<</Font<</F1 3 0 R>>>>/Kids[%s]>>" % (k, kids))
+    put(3, b"<</Type/Font/Subtype/Type0/BaseFont/Sans/Encoding/Identity-H/DescendantFonts[4 0 R]/ToUnicode 5 0 R>>")
+    put(4, b"<</Type/Font/Subtype/CIDFontType2/BaseFont/Sans/DW 500/FontDescriptor 6 0 R>>")
+    stream(5, b"begincmap 1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0000> <FFFF> <0000> endbfrange endcmap")
+    put(6, b"<</Type/FontDescriptor/FontName/Sans/Flags 32/Ascent 750/Descent -250/StemV 80>>")
+    for i, lines in enumerate(pages):
+        shown = b"".join(b"<%s> Tj T*\n" % t.encode("utf-16-be").hex().encode() for t in lines)
+        put(first + 2 * i, b"<</Type/Page/Parent 2 0 R/Contents %d 0 R>>" % (first + 2 * i + 1))
+        stream(first + 2 * i + 1, b"BT /F1 10 Tf 12 TL 36 750 Td\n" + shown + b"ET")
+    entry = first + 2 * k
+    ends = b"/First %d 0 R/Last %d 0 R" % (entry, entry + len(titles) - 1) if titles else b""
+    put(7, b"<</Type/Outlines/Count %d%s>>" % (len(titles), ends))
+    for i, t in enumerate(titles):
+        after = b"/Next %d 0 R" % (entry + i + 1) if i + 1 < len(titles) else b""
+        put(entry + i, b"<</Title<FEFF%s>/Parent 7 0 R/Dest[%d 0 R/XYZ 36 750 0]%s>>" % (t.encode("utf-16-be").hex().encode(), first + 2 * i, after))
+    table = sum(map(len, out))
+    last = max(at) + 1
+    rows = b"".join(b"%010d 00000 n\r\n" % at[n] if n in at else b"0000000000 65535 f\r\n" for n in range(last))
+    out.append(b"xref\n0 %d\n%strailer\n<</Size %d/Root 1 0 R>>\nstartxref\n%d\n%%%%EOF\n" % (last, rows, last, table))
+    return b"".join(out)
+
+
+def _pdf_files(spark, sf_dir):
+    """Conversations as PDF files: a page and an outline entry for each turn; and a file that isn't one."""
+
+    def made(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("turn")
+        content = pdf_file([t.split("\n") for t in pdf["text"]], [f"{r} {n}" for r, n in zip(pdf["role"], pdf["turn"])])
+        return pd.DataFrame({"path": [f"/in/{pdf['conv_id'].iloc[0]}.pdf"], "content": [content]})
+
+    files = table(spark, sf_dir, "conversations").groupBy("conv_id").applyInPandas(made, "path string, content binary")
+    return files.unionByName(spark.createDataFrame([("bad", b"not a document")], files.schema))
+
+
+_PDF_ROWS = "pg as (select conv_id, text, role, turn, cast(row_number() over (partition by conv_id order by turn) - 1 as int) pnum from conversations)"
+
+
+@query(f"""with {_PDF_ROWS}, ls as (select conv_id, pnum, string_split(text, chr(10)) t from pg), nr as (select conv_id, pnum, t, unnest(range(1, len(t) + 1)) i from ls)
+select conv_id, pnum, cast(row_number() over (partition by conv_id, pnum order by i) - 1 as int) as line, t[i] as text, 36.0::double as x0, 36 + 5.0::double * length(t[i]) as x1, 34.5::double + 12 * (i - 1) as y0,
+'Sans_non_symbolic' as font, 10.0::double as font_size, 400.0::double as font_weight, cast(null as varchar) as error from nr where t[i] <> ''
+union all select null, null, null, null, null, null, null, null, null, null, 'PdfError: not a PDF'""")
+def src_pdf(spark, sf_dir):
+    """The lines of PDF files."""
+    out = scratch(spark, "pdf")
+    pdf.pages(_pdf_files(spark, sf_dir)).write.parquet(out)
+    pages = spark.read.parquet(out)
+    conv = pages.select("doc_id", F.regexp_extract("path", r"(\d+)\.pdf", 1).try_cast("long").alias("conv_id"), "error").distinct()
+    line = F.row_number().over(Window.partitionBy("doc_id", "pnum").orderBy("block_no", "line_no", "span_no")) - 1
+    spans = pdf.page_spans(pages).withColumn("line", line)
+    return conv.join(spans, "doc_id", "left").select("conv_id", "pnum", "line", "text", "x0", "x1", F.round("y0", 6).alias("y0"), "font", "font_size", "font_weight", "error")
+
+
+@query(f"with {_PDF_ROWS} select conv_id, pnum as page_index, role || ' ' || turn as title, 0 as level, 'XYZ' as view_mode from pg")
+def src_pdf_outline(spark, sf_dir):
+    """The outlines of PDF files; what can't be read has none."""
+    files = _pdf_files(spark, sf_dir)
+    ids = files.select(binary.doc_key(), F.regexp_extract("path", r"(\d+)\.pdf", 1).try_cast("long").alias("conv_id"))
+    toc = pdf.outline(files).select("doc_id", F.inline("toc"))
+    return toc.join(ids, "doc_id").select("conv_id", "page_index", "title", "level", "view_mode")
+
+
 @query("with " + _sql_runs(100, 100).removeprefix("with ").replace("select doc_id, cast(k // 100 as bigint) pos,", ", c as (select doc_id, cast(k // 100 as int) pos,") .replace("\n, c as", ", c as") + " )\nselect doc_id, cast(count(*) as int) as num_chunks from c group by doc_id")
 def pipeline_compose(spark, sf_dir):
     """Stages put together with |: chunks of the documents, then documents of the chunks."""
