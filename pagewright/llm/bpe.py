@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-#: Distinct chunks of text that a worker remembers in each of two generations: when the new one is full it becomes the
-#: old one, and what is still in use moves back. A generation is full too when MEAN characters for each have been worked
-#: on; chunks of more than LONGEST aren't remembered. No result depends on it.
+#: Distinct chunks of text, and distinct words, that a worker remembers in each of two generations: when the new one is
+#: full it becomes the old one, and what is still in use moves back. A generation is full too when MEAN characters for
+#: each have been worked on; those of more than LONGEST aren't remembered. No result depends on it.
 MEMORY, MEAN, LONGEST = 200_000, 24, 300
 _UNIT = re.compile("[\x1c-\x1f]")
 _CHUNK = regex.compile(r"[^\p{White_Space}]+")
@@ -43,6 +43,22 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(free)) for b in range(256)]
 
 
+class Memory:
+    """What was worked out for some texts, in two generations."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, tuple[int, str, str]] = {}
+        self.old: dict[str, tuple[int, str, str]] = {}
+        self.characters = 0  # worked on since the newer generation began
+
+    def put(self, text: str, got: tuple[int, str, str]) -> None:
+        self.characters += len(text)
+        if len(self.new) >= MEMORY or self.characters >= MEMORY * MEAN:
+            self.new, self.old, self.characters = {}, self.new, len(text)
+        if len(text) <= LONGEST:
+            self.new[text] = got
+
+
 class Vocabulary:
     """A vocabulary and its merges, as a tokenizer file has them."""
 
@@ -103,9 +119,7 @@ class Vocabulary:
         self.words = regex.compile(next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         names = sorted(self.added, key=len, reverse=True) if specials else []
         self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
-        self.characters = 0  # worked on since the newer generation began
-        self.known: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
+        self.seen_chunks, self.seen_words = Memory(), Memory()
 
     def fits(self, a: int, b: int, before: int | None = None) -> bool:
         """Whether a then b stay apart: no merge across their border, with a rank below `before`, comes up while they
@@ -160,33 +174,44 @@ class Vocabulary:
                 token = shorter[token]
         return tokens
 
-    def chunk_ids(self, raw: str) -> list[int]:
-        """Token ids of a run of text without white space."""
-        ids: list[int] = []
+    def word(self, w: str) -> tuple[int, str, str]:
+        """A word's number of tokens, ids in decimal, decoded text; remembered, as words come up in many chunks."""
+        seen = self.seen_words
+        got = seen.new.get(w)
+        if got is None:
+            got = seen.old.pop(w, None)
+            if got is None:
+                s = w.encode("utf-8").decode("latin-1").translate(self.table)
+                ids = [self.ids[t] for t in self.encode_word(s[:-1] + self.last[s[-1]])]
+                got = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+            seen.put(w, got)
+        return got
+
+    def words_of(self, raw: str) -> list[tuple[int, str, str]]:
+        """The words, or added tokens, of a run of text without white space."""
+        out: list[tuple[int, str, str]] = []
         for part in self.special.split(raw) if self.special and "<" in raw else (raw,):
             if self.special and part in self.added:
-                ids.append(self.added[part])
-                continue
-            # letters are lower-cased one by one, so a sigma that ends a word is the usual one
-            plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for w in self.words.findall(plain):
-                s = w.encode("utf-8").decode("latin-1").translate(self.table)
-                ids += [self.ids[t] for t in self.encode_word(s[:-1] + self.last[s[-1]])]
-        return ids
+                i = self.added[part]
+                out.append((1, str(i), self.decode([i])))
+            elif part.isascii():
+                out += map(self.word, self.words.findall(part.lower()))
+            else:
+                # letters are lower-cased one by one, so a sigma that ends a word is the usual one
+                plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+                out += map(self.word, self.words.findall(plain))
+        return out
 
     def chunk(self, raw: str) -> tuple[int, str, str]:
-        """A chunk's number of tokens, ids in decimal, decoded text; remembered."""
-        got = self.older.pop(raw, None)
+        """The same of a chunk, which is joined from its words; remembered."""
+        seen = self.seen_chunks
+        got = seen.old.pop(raw, None)
         if got is None:
-            ids = self.chunk_ids(raw)
-            got = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-        self.characters += len(raw)
-        if len(self.known) >= MEMORY or self.characters >= MEMORY * MEAN:
-            self.known, self.older, self.characters = {}, self.known, len(raw)
+            words = self.words_of(raw)
+            got = words[0] if len(words) == 1 else (sum([w[0] for w in words]), " ".join([w[1] for w in words]), " ".join([w[2] for w in words]))
             if len(self.pairs) >= 2 * MEMORY:
                 self.pairs.clear()
-        if len(raw) <= LONGEST:
-            self.known[raw] = got
+        seen.put(raw, got)
         return got
 
     def split(self, text: str | None) -> list[str]:
@@ -195,7 +220,8 @@ class Vocabulary:
         return _CHUNK.findall(text) if _UNIT.search(text) else text.split()
 
     def chunks(self, text: str | None) -> list[tuple[int, str, str]]:
-        return [self.known.get(c) or self.chunk(c) for c in self.split(text)]
+        seen = self.seen_chunks
+        return [seen.new.get(c) or self.chunk(c) for c in self.split(text)]
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for c in self.chunks(text) for i in c[1].split()]

@@ -124,8 +124,9 @@ def test_bpe_remembers_a_bounded_number_of_characters(monkeypatch):
     for i in range(60):
         text = " ".join("".join(r.choice("abcdefgh0123456789+/") for _ in range(r.choice([3, 8, 900, 5000]))) for _ in range(12))
         assert v.encode(text) == t.encode(text, add_special_tokens=False).ids
-        held = [*v.known, *v.older]
-        assert sum(map(len, held)) <= 2 * (500 * bpe.MEAN + bpe.LONGEST) and max(map(len, held), default=0) <= bpe.LONGEST
+        for seen in (v.seen_chunks, v.seen_words):
+            held = [*seen.new, *seen.old]
+            assert sum(map(len, held)) <= 2 * (500 * bpe.MEAN + bpe.LONGEST) and max(map(len, held), default=0) <= bpe.LONGEST
 
 
 def test_bpe_encode_then_decode(spark):
