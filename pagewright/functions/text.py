@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Bits of PDF font flags and the names that they get.
@@ -188,6 +188,39 @@ def sheet_row_text(columns: list[tuple[str, Column]]) -> Column:
     return F.concat_ws(";", *[F.when(c.isNotNull(), F.concat(F.lit(f'"{n}":"'), c.cast("string"), F.lit('"'))) for n, c in columns])
 
 
+#: What bytes 0x80 to 0x9F are in code page 1252, which leaves five of them as they are, and those bytes.
+_BYTES = [(bytes([b]).decode("cp1252"), chr(b)) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+
+
+def fix_encoding(c: Column, rounds: int = 2) -> Column:
+    """UTF-8 that was read as Latin-1 or as code page 1252, line by line, up to so many times over.
+
+    A line is mended only if all of its letters are bytes of such a code page and the bytes are valid UTF-8 with letters
+    beyond ASCII: one letter that was right to begin with leaves the line as it is. Null stays null."""
+
+    def mend(line: Column) -> Column:
+        as_bytes = F.translate(line, "".join(a for a, _ in _BYTES), "".join(b for _, b in _BYTES))
+
+        def of(x: Column) -> Column:
+            latin = x.rlike(r"^[\x00-\xff]*$") & x.rlike(r"[\xc2-\xf4][\x80-\xbf]")
+            back = F.when(latin, F.encode(x, "ISO-8859-1")).otherwise(F.lit(None).cast("binary")).cast("string")
+            return F.when(F.is_valid_utf8(back), back).otherwise(line)
+
+        return F.transform(F.array(as_bytes), of)[0]
+
+    def times(line: Column) -> Column:
+        for _ in range(rounds):
+            line = F.transform(F.array(line), mend)[0]
+        return line
+
+    return F.when(c.rlike(r"[\xc2-\xf4]"), F.array_join(F.transform(F.split(c, "\n", -1), times), "\n")).otherwise(c)
+
+
+def encoding_fixed(texts: DataFrame) -> DataFrame:
+    """The stage `fix_encoding`: the column text, mended."""
+    return texts.withColumn("text", fix_encoding(F.col("text")))
+
+
 def fix_text(c: Column) -> Column:
     """The part of mojibake repair that needs no model of encodings: straight quotes, ligatures, line ends, controls."""
     c = F.translate(c, "‘’‚‛“”„‟", "''''\"\"\"\"")

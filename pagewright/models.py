@@ -45,7 +45,7 @@ CONTRACTS = {
 }
 _PLUGGED: dict[str, Callable[..., DataFrame]] = {}
 #: Stages that this library has a reader for, used unless another is plugged in: module and function.
-BUILT = {"pdf_text": ("pagewright.sources.pdf", "text"), "pdf_outline": ("pagewright.sources.pdf", "outline")}
+BUILT = {"pdf_text": ("pagewright.sources.pdf", "text"), "pdf_outline": ("pagewright.sources.pdf", "outline"), "fix_encoding": ("pagewright.functions.text", "encoding_fixed")}
 
 
 def plug(name: str, run: Callable[..., DataFrame]) -> None:

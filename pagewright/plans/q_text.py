@@ -283,3 +283,12 @@ def format_ts(spark, sf_dir):
 def fix_text_subset(spark, sf_dir):
     x = F.replace(F.replace(F.replace("text", F.lit("a "), F.lit("‘a’ ")), F.lit("fi"), F.lit("ﬁ")), F.lit(". "), F.lit(".\r\n"))
     return _docs(spark, sf_dir).select("doc_id", T.fix_text(x).alias("text"))
+
+
+@query("select doc_id, text as once, text as twice, text as kept, text || 'é' as mixed from documents")
+def fix_encoding(spark, sf_dir):
+    """Texts whose bytes were read as Latin-1, once and twice, and mended; and what has to stay as it is."""
+    misread = lambda c: F.decode(c.cast("binary"), "ISO-8859-1")
+    d = _docs(spark, sf_dir)
+    mixed = F.concat("text", F.lit("é"))
+    return d.select("doc_id", T.fix_encoding(misread(F.col("text"))).alias("once"), T.fix_encoding(misread(misread(F.col("text")))).alias("twice"), T.fix_encoding(F.col("text")).alias("kept"), T.fix_encoding(mixed).alias("mixed"))

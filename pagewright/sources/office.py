@@ -32,11 +32,11 @@ DAMAGED = (zipfile.BadZipFile, zlib.error, struct.error, EOFError, NotImplemente
 _URL = re.compile(r'http://[^\s+"]+//|https://[^\s+"]+')
 
 
-def _relations(z: zipfile.ZipFile, name: str) -> dict[str, tuple[str, bool]]:
-    """Targets of a part's relations, and whether they are outside of the file."""
+def _relations(z: zipfile.ZipFile, name: str) -> dict[str, tuple[str, bool, str]]:
+    """Targets of a part's relations, whether they are outside of the file, and their kinds."""
     if name not in z.namelist():
         return {}
-    return {r.get("Id"): (r.get("Target"), r.get("TargetMode") == "External") for r in ET.fromstring(z.read(name)).iter(f"{P}Relationship")}
+    return {r.get("Id"): (r.get("Target"), r.get("TargetMode") == "External", r.get("Type", "").split("/")[-1]) for r in ET.fromstring(z.read(name)).iter(f"{P}Relationship")}
 
 
 # Sheets
@@ -82,7 +82,7 @@ def sheet_rows(data: bytes) -> Iterator[tuple[str, int, list[tuple[str, str]]]]:
         part = target if target.startswith("xl/") else f"xl/{target}"
         root = ET.fromstring(z.read(part))
         rels = _relations(z, part.replace("worksheets/", "worksheets/_rels/") + ".rels")
-        links = {h.get("ref"): rels.get(h.get(f"{R}id"), (h.get("location"), False))[0] for h in root.iter(f"{S}hyperlink")}
+        links = {h.get("ref"): rels.get(h.get(f"{R}id"), (h.get("location"),))[0] for h in root.iter(f"{S}hyperlink")}
         header: list[str] | None = None
         first = 0
         for i, row in enumerate(root.iter(f"{S}row")):
@@ -135,13 +135,16 @@ class Word:
     def __init__(self, data: bytes) -> None:
         z = zipfile.ZipFile(io.BytesIO(data))
         self.body = ET.fromstring(z.read("word/document.xml")).find(f"{W}body")
-        self.images: dict[str, tuple[str, str, str]] = {}  # relation to name, text and base64 of its picture
+        self.images: dict[str, tuple[str, str, str | None]] = {}  # relation to name, text and base64 of its picture
         names = z.namelist()
-        for rid, (target, outside) in _relations(z, "word/_rels/document.xml.rels").items():
+        for rid, (target, outside, kind) in _relations(z, "word/_rels/document.xml.rels").items():
             part = f"word/{target}"
             if "image" in target and not outside and part in names:
                 name = f"image_{len(self.images) + 1}"
                 self.images[rid] = (name, f"![{name}](images/{target.split('/')[-1]})", base64.b64encode(z.read(part)).decode())
+            elif outside and kind == "image":  # its bytes aren't in the file
+                name = f"image_{len(self.images) + 1}"
+                self.images[rid] = (name, f"![{name}]({target})", None)
         self.texts = self._linked()
 
     @staticmethod
@@ -164,8 +167,9 @@ class Word:
                             url = found
         return out
 
-    def _pictures(self, run: ET.Element) -> list[tuple[str, str, str]]:
-        return [self.images[b.get(f"{R}embed")] for b in run.iter(f"{A}blip") if b.get(f"{R}embed") in self.images]
+    def _pictures(self, run: ET.Element) -> list[tuple[str, str, str | None]]:
+        named = [b.get(f"{R}embed") or b.get(f"{R}link") for b in run.iter(f"{A}blip")]
+        return [self.images[x] for x in named if x in self.images]
 
     def _paragraph(self, p: ET.Element) -> Iterator[dict]:
         text = ""

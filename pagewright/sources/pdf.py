@@ -528,13 +528,30 @@ def _utf16(b: bytes) -> str:
     return b.decode("utf-16-be", "replace") if len(b) > 1 else b.decode("latin-1")
 
 
-def character_map(data: bytes) -> tuple[dict[bytes, str], set[int]]:
-    """Codes to text, and the lengths of codes, of a ToUnicode map."""
-    lexer, held, out, lengths = Lexer(data), [], {}, set()
+class Range(NamedTuple):
+    """Codes of one length, in a row, and what the first of them stands for."""
+
+    length: int
+    low: int
+    high: int
+    to: bytes | list
+
+    def text(self, number: int) -> str | None:
+        i = number - self.low
+        if isinstance(self.to, list):
+            return _utf16(self.to[i]) if i < len(self.to) and isinstance(self.to[i], bytes) else None
+        if len(self.to) > 1:
+            return _utf16(self.to[:-2] + ((int.from_bytes(self.to[-2:], "big") + i) & 0xFFFF).to_bytes(2, "big"))
+        return chr(int.from_bytes(self.to, "big") + i)
+
+
+def character_map(data: bytes) -> tuple[dict[bytes, str], list[Range], set[int]]:
+    """Single codes and ranges of them with their text, and the lengths of codes, of a ToUnicode map."""
+    lexer, held, out, ranges, lengths = Lexer(data), [], {}, [], set()
     while True:
         v = lexer.next()
         if lexer.done:
-            return out, lengths
+            return out, ranges, lengths
         if not isinstance(v, Operator):
             held.append(v)
             continue
@@ -543,17 +560,7 @@ def character_map(data: bytes) -> tuple[dict[bytes, str], set[int]]:
         elif v == "endbfchar":
             out |= {a: _utf16(b) for a, b in zip(held[::2], held[1::2]) if isinstance(a, bytes) and isinstance(b, bytes)}
         elif v == "endbfrange":
-            for a, b, to in zip(held[::3], held[1::3], held[2::3]):
-                low, high = int.from_bytes(a, "big"), min(int.from_bytes(b, "big"), int.from_bytes(a, "big") + 0xFFFF)
-                for i in range(high - low + 1):
-                    code = (low + i).to_bytes(len(a), "big")
-                    if isinstance(to, list):
-                        if i < len(to) and isinstance(to[i], bytes):
-                            out[code] = _utf16(to[i])
-                    elif len(to) > 1:
-                        out[code] = _utf16(to[:-2] + ((int.from_bytes(to[-2:], "big") + i) & 0xFFFF).to_bytes(2, "big"))
-                    else:
-                        out[code] = chr(int.from_bytes(to, "big") + i)
+            ranges += [Range(len(a), int.from_bytes(a, "big"), int.from_bytes(b, "big"), to) for a, b, to in zip(held[::3], held[1::3], held[2::3]) if isinstance(to, (bytes, list))]
         held = []
 
 
@@ -592,11 +599,12 @@ class Font:
             first = number(spec.get("FirstChar"), 0)
             self.widths = {first + i: of(x) * scale for i, x in enumerate(of(spec.get("Widths")) or [])}
             self.missing = number(about.get("MissingWidth"), 0) * scale if self.widths else 0.6 if "courier" in self.name.lower() else 0.5
-        self.map: dict[bytes, str] = {}
+        self.map: dict[bytes, str | None] = {}  # with what was found in the ranges
+        self.ranges: list[Range] = []
         lengths: set[int] = set()
         to = of(spec.get("ToUnicode"))
         if isinstance(to, Stream):
-            self.map, lengths = character_map(pdf.decoded(to))
+            self.map, self.ranges, lengths = character_map(pdf.decoded(to))
         self.bytes = (sorted(lengths - {0}) or [2]) if self.wide else [1]
         self.letters = [] if self.wide else self._letters(pdf, spec)
 
@@ -625,15 +633,22 @@ class Font:
         """Text, width, and whether word spacing applies, of each code."""
         at = 0
         while at < len(data):
-            n = next((k for k in self.bytes if data[at : at + k] in self.map), self.bytes[-1]) if len(self.bytes) > 1 else self.bytes[0]
+            n = next((k for k in self.bytes if self._mapped(data[at : at + k]) is not None), self.bytes[-1]) if len(self.bytes) > 1 else self.bytes[0]
             code = data[at : at + n]
             at += n
             number = int.from_bytes(code, "big")
-            text = self.map.get(code)
+            text = self._mapped(code)
             if text is None:
                 text = self.letters[number] if not self.wide else UNKNOWN
             yield text, self.widths.get(number, self.missing), n == 1 and number == 32
 
+    def _mapped(self, code: bytes) -> str | None:
+        if code not in self.map:
+            number = int.from_bytes(code, "big")
+            held = next((r for r in self.ranges if r.length == len(code) and r.low <= number <= r.high), None)
+            self.map[code] = held.text(number) if held else None
+        return self.map[code]
+
 
 def times(a: tuple, b: tuple) -> tuple:
     """The matrix that does a, then b."""
@@ -664,12 +679,17 @@ def letters(pdf: Pdf, content: bytes, resources: dict, base: tuple, inside: tupl
         font, size = state["font"], state["size"]
         if font is None or not isinstance(data, bytes):
             return
+        whole = times(tm, state["ctm"])
+        m = times((size * state["h"], 0, 0, size, 0, state["rise"]), whole)
+        x, y, gone, high = m[4], m[5], 0.0, (m[2] ** 2 + m[3] ** 2) ** 0.5
+        left, right = sorted((font.low * m[2], font.high * m[2]))
+        top, bottom = sorted((font.low * m[3], font.high * m[3]))
         for text, width, spaced in font.read(data):
-            m = times((size * state["h"], 0, 0, size, 0, state["rise"]), times(tm, state["ctm"]))
-            corners = [(x * m[0] + y * m[2] + m[4], x * m[1] + y * m[3] + m[5]) for x in (0, width) for y in (font.low, font.high)]
-            xs, ys = [p[0] for p in corners], [p[1] for p in corners]
-            yield Letter(text, (min(xs), min(ys), max(xs), max(ys)), (m[4], m[5]), (width * m[0] + m[4], width * m[1] + m[5]), font, (m[2] ** 2 + m[3] ** 2) ** 0.5)
-            tm = times((1, 0, 0, 1, (width * size + state["c"] + state["w"] * spaced) * state["h"], 0), tm)
+            dx, dy = width * m[0], width * m[1]
+            yield Letter(text, (x + left + min(dx, 0), y + top + min(dy, 0), x + right + max(dx, 0), y + bottom + max(dy, 0)), (x, y), (x + dx, y + dy), font, high)
+            gone += (width * size + state["c"] + state["w"] * spaced) * state["h"]
+            x, y = m[4] + gone * whole[0], m[5] + gone * whole[1]
+        tm = times((1, 0, 0, 1, gone, 0), tm)
 
     while True:
         v = lexer.next()

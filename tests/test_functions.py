@@ -5,6 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from pagewright import models
 from pagewright.functions import chunking as C
 from pagewright.functions import geometry as G
 from pagewright.functions import text as T
@@ -96,3 +97,14 @@ def test_boxes(spark):
     assert one(spark, G.half_even(F.lit(2.5))) == 2.0
     assert [one(spark, c) for c in G.rescale_int(G.literal(-2.7, 1, 2, 3), (F.lit(1.0), F.lit(1.0)), (F.lit(1.0), F.lit(1.0)))][0] == -2
     assert [one(spark, c) for c in G.polygon_box(F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in ((5.0, 9.0), (1.0, 9.0), (1.0, 2.0), (5.0, 2.0))]))] == [1.0, 2.0, 5.0, 9.0]
+
+
+def test_fix_encoding(spark):
+    good = ["café", "naïve — “quoted” €5", "日本語", "plain", "", None, "Ä Ö Ü ß", "a\nhéé\nb"]
+    wrong = [g and g.encode().decode("latin-1") for g in good] + ["naÃ¯ve â€” â‚¬5", "cafÃ© and é", "cafÃ©\né"]
+    want = good + ["naïve — €5", "cafÃ© and é", "café\né"]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(wrong, good + [None] * 3))], "i int, a string, b string")
+    rows = df.select("i", T.fix_encoding(F.col("a")).alias("a"), T.fix_encoding(F.col("b")).alias("b")).orderBy("i").collect()
+    assert [r.a for r in rows] == want
+    assert [r.b for r in rows][: len(good)] == good
+    assert models.run("fix_encoding", df.select(F.col("a").alias("text"))).count() == len(wrong)

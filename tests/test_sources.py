@@ -37,6 +37,15 @@ def test_word(spark, tmp_path):
     assert got[4] == ("table_csv", "| h1 | h2 | h3 |\n| --- | --- | --- |\n| wide |  | x y |")
 
 
+def test_pictures_outside_of_the_file(spark, tmp_path):
+    kind = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    rels = f'<Relationship Id="r1" Type="{kind}/hyperlink" Target="https://x.example" TargetMode="External"/><Relationship Id="r2" Type="{kind}/image" Target="https://x.example/a.png" TargetMode="External"/>'
+    body = '<w:p><w:r><w:drawing><a:blip r:link="r2"/></w:drawing></w:r></w:p>'
+    write(tmp_path / "a.docx", {"word/document.xml": f"<w:document {W}><w:body>{body}</w:body></w:document>", "word/_rels/document.xml.rels": f"<Relationships {REL}>{rels}</Relationships>"})
+    got = office.read_word(spark, str(tmp_path)).collect()
+    assert [(r.chunk_type, r.content, r.image_name, r.image_content) for r in got] == [("image", "![image_1](https://x.example/a.png)", "image_1", None)]
+
+
 def test_excel(spark, tmp_path):
     s = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
     cell = lambda ref, v: f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>'
