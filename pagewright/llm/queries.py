@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontam, html_density, matroska, neardup, quality, sharding, suffix_dedup, toxicity, warc
+from . import bpe, collocations, common, decontam, html_density, matroska, neardup, packing, quality, sharding, sort_means, suffix_dedup, toxicity, warc
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -69,11 +69,61 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(docs.select("doc_id", "text"), net), toxicity.THRESHOLD)
 
 
+def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got, _, _ = sort_means.cluster(common.table(spark, sf_dir, "embeddings"))
+    return got.drop("v")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(common.table(spark, sf_dir, "documents"), TOKENIZER))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_bpe, op3_html_text, op4_minhash, op5_quality, op6_suffix_array, op7_matroska, op8_decontamination, op9_sharding, op10_toxicity)}
+    return {f.__name__: f for f in (op1_warc, op2_bpe, op3_html_text, op4_minhash, op5_quality, op6_suffix_array, op7_matroska, op8_decontamination, op9_sharding, op10_toxicity, op11_sort_means, op12_packing, op13_collocations)}
+
+
+def _sort_means_sql(rounds: int = 5) -> str:
+    """One step for each round; components are lists, and all numbers are integers."""
+    square = "cast(list_sum(list_transform(range(1, 65), lambda j: (v[j] - w[j]) * (v[j] - w[j]))) as bigint)"
+    steps = ["""
+with e as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+v as materialized (select row_number() over (order by vec_id, v) id, vec_id, v from e),
+c0 as materialized (select row_number() over (order by h, v) - 1 c, v w from (select v, sha256('2:' || coalesce(cast(vec_id as varchar), 'null')) h from v order by h, v limit 40))"""]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} as materialized (select id, min_by(c, d * 64 + c) c, min(d) d from (select id, c, {square} d from v, c{i}) group by id)")
+        if i < rounds:
+            steps.append(f"m{i} as (select c, list(s order by j) w from (select c, j, sum(v[j]) // count(*) - case when sum(v[j]) % count(*) < 0 then 1 else 0 end s from v join a{i} using (id), range(1, 65) t(j) group by c, j) group by c)")
+            steps.append(f"c{i + 1} as materialized (select c, coalesce(m{i}.w, c{i}.w) w from c{i} left join m{i} using (c))")
+    last = f"""
+select vec_id, cast(c as integer) as cluster, d distance, cast(sum(d) over (partition by c) as bigint) cluster_inertia, cast(sum(d) over () as bigint) inertia, sha256(array_to_string(w, ',')) centroid_sha256
+from v join a{rounds} using (id) join c{rounds} using (c)"""
+    return ",\n".join(steps) + last
 
 
 ORACLE: dict[str, str] = {
+    "op11_sort_means": _sort_means_sql(),
+    "op13_collocations": r"""
+with d as (select coalesce(lang, 'und') lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) t from d),
+w as (select lang, regexp_extract_all(t, '[^\x20\x09]+') w from p),
+g as materialized (select lang, k, array_to_string(w[i:i + k - 1], ' ') phrase, count(*) a
+  from (select lang, w, k, unnest(range(1, len(w) - k + 2)) i from w, range(1, 6) t(k) where len(w) >= k) group by all),
+s as (select lang, sum(a) n from g where k = 1 group by lang),
+f as materialized (select * from g where a >= 100),
+c as (select lang, phrase, a, string_split(phrase, ' ') w, k, unnest(range(1, k)) cut from f where k >= 2),
+q as (select c.lang, c.phrase, c.a, cut, x.a l, y.a r, s.n, cast(1000 as hugeint) * c.a * s.n // (cast(x.a as hugeint) * y.a) score
+  from c join f x on x.lang = c.lang and x.phrase = array_to_string(w[1:cut], ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(w[cut + 1:], ' ') join s on s.lang = c.lang),
+b as (select * from q qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+o as (select lang, k, a, unnest(range(2, k)) m, string_split(phrase, ' ') w from f where k >= 3),
+i as (select distinct lang, array_to_string(w[j:j + m - 1], ' ') phrase, a from (select *, unnest(range(1, k - m + 2)) j from o)),
+z as (select * from b where not exists (select 1 from i where i.lang = b.lang and i.phrase = b.phrase and 100 * i.a >= 100 * b.a))
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, cast(n as bigint) n, cast(score as bigint) score
+from z qualify rank <= 2000""",
     "op1_warc": """
 with p as (select page_id, coalesce(html, '') h from pages),
 d as (select page_id, cast(octet_length(encode(h)) as bigint) payload_bytes, sha1(h) payload_digest from p),
