@@ -213,7 +213,7 @@ def test_tokens_of_long_texts(monkeypatch):
     text = "One two;three " + "x" * 100 + " End\ttail. " + "y" * 40
     got = [w for part in collocations.tokens(text) for w in part]
     assert got == [b"\xff", b"one", b"two", b"\xff", b"three", b"x" * 100, b"end", b"tail", b"\xff", b"y" * 40]
-    assert len(list(collocations.tokens(text))) > 4
+    assert len(list(collocations.tokens(text))) == 4
 
 
 def test_a_phrase_is_owned_once():
