@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import sentences
 from . import text as T
 
 # English stop words of the common list.
@@ -137,8 +138,14 @@ def top_keywords(segments: DataFrame, keys: list[str], text: str = "text", k: in
 CHUNKERS: dict[str, Callable[..., Column]] = {"regex": regex_chunks, "sentence": sentence_chunks, "fixed": fixed_chunks, "sliding": sliding_chunks, "topic": topic_chunks}
 
 
+#: Chunkers that work on whole tables: functions of a table, `key`, `text` and options, that give key, pos, chunk.
+TABLE_CHUNKERS: dict[str, Callable[..., DataFrame]] = {"learned_sentence": sentences.sentences}
+
+
 def chunk(docs: DataFrame, strategy: str, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """key, pos, chunk by a chunker's name. Register another with `CHUNKERS[name] = function`."""
+    """key, pos, chunk by a chunker's name. Register another with `CHUNKERS[name] = function`, or in `TABLE_CHUNKERS`."""
+    if strategy in TABLE_CHUNKERS:
+        return TABLE_CHUNKERS[strategy](docs, key=key, text=text, **options)
     if strategy not in CHUNKERS:
-        raise ValueError(f"no chunker is called {strategy!r}; there are {sorted(CHUNKERS)}")
+        raise ValueError(f"no chunker is called {strategy!r}; there are {sorted([*CHUNKERS, *TABLE_CHUNKERS])}")
     return docs.select(key, F.posexplode(CHUNKERS[strategy](F.col(text), **options)).alias("pos", "chunk"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import chunking as C
+from ..functions import sentences as S
 from ..functions import text as T
 from ..session import table
 from .registry import query
@@ -74,6 +75,77 @@ def chunk_sentence(spark, sf_dir):
     return C.chunk(_docs(spark, sf_dir), "sentence").select("doc_id", F.col("pos").cast("long").alias("pos"), "chunk")
 
 
+def _sql_sentences() -> str:
+    """Common steps of the queries of learnt sentences, up to `inside`: the pairs at which no sentence ends."""
+    core = lambda x: rf"regexp_replace({x}, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}.]+$', '', 'g')"
+    bare = lambda x: rf"lower(regexp_replace({core(x)}, '\.+$', ''))"
+    kind_of = lambda x: f"regexp_replace({x}, '[{S.SPACE}]+$', '')"
+    quote = S.ENDS.replace("'", "''")
+    closers = r"""["'')\]}»”’›]+$"""
+
+    def type_(x):
+        return rf"case when regexp_matches({bare(x)}, '^[\p{{N}}][\p{{N}}.,:/-]*$') then '{S.NUMBER}' else {bare(x)} end"
+
+    def kind(x):
+        closed = f"regexp_replace({kind_of(x)}, '{closers}', '')"
+        return rf"case when not regexp_matches({kind_of(x)}, '{quote}') then null when regexp_matches({closed}, '(\.\.|…)$') then '..' when ends_with({closed}, '.') then '.' else '!' end"
+
+    def case(x):
+        first = f"substring({core(x)}, 1, 1)"
+        return rf"case when regexp_matches({first}, '\p{{Lu}}|\p{{Lt}}') then 'u' when regexp_matches({first}, '\p{{Ll}}') then 'l' else '' end"
+
+    def some(k, m, p):
+        return f"(case when {k} > 0 then {k} * ln({p}) else 0 end + case when {m} > {k} then ({m} - {k}) * ln(1 - {p}) else 0 end)"
+
+    def ratio(a, b, ab, n):
+        p2 = f"(case when {n} > {a} then ({b} - {ab}) / ({n} - {a}) else 0 end)"
+        return f"-2 * ({some(ab, a, f'({b} / {n})')} + {some(f'({b} - {ab})', f'({n} - {a})', f'({b} / {n})')} - {some(ab, a, f'({ab} / {a})')} - {some(f'({b} - {ab})', f'({n} - {a})', p2)})"
+
+    special = rf"(kind = '.' and (abbreviation or regexp_matches(\"type\", '^\p{{L}}$') or \"type\" = '{S.NUMBER}'))".replace('\\"', '"')
+    letters = "cast(length(replace(\"type\", '.', '')) as double)"
+    return rf"""
+with p as (select doc_id, row_number() over () r, regexp_extract_all(coalesce(text, ''), '[^{S.SPACE}]+[{S.SPACE}]*') p from documents),
+x as (select doc_id, r, unnest(range(1, len(p) + 1)) i, unnest(p) x from p),
+y as (select *, {kind("x")} k, {core("x")} c, {type_("x")} "type", {case("x")} own from x),
+z as materialized (select *, lead("type") over w as next, lead(own) over w as "case", i > 1 and lag(k) over w is null inside, lead(x) over w is null final from y window w as (partition by r order by i)),
+counted as materialized (select "type", count_if(regexp_matches(c, '(^|[^.])\.$')) n_period, count_if(not regexp_matches(c, '(^|[^.])\.$')) n_plain, count_if(own = 'l') n_lower, count_if(own = 'u' and inside) n_upper
+  from z where "type" <> '' group by "type"),
+whole as (select cast(sum(n_period) as double) a, cast(sum(n_period + n_plain) as double) t from counted),
+abbr as materialized (select "type", n_period, n_plain from counted, whole where n_period >= 2 and regexp_matches("type", '^[\p{{L}}][\p{{L}}.''-]*$') and length("type") > 1 and a < t and
+  2 * ((n_period * ln(0.99) + n_plain * ln(0.01)) - (n_period * ln(a / t) + n_plain * ln(1 - a / t))) * exp(-{letters}) * (length("type") - {letters} + 1) * pow({letters}, -n_plain) >= {S.ABBREVIATION}),
+spots as materialized (select "type", k kind, next, "case", "type" in (select "type" from abbr) abbreviation, cast(count(*) as double) n from z where k is not null and not final group by all),
+sure as (select next, n from spots where not {special} and next <> ''),
+breaks as (select sum(n) b from sure),
+starters as materialized (select next from (select next, sum(n) ab, any_value(cast(n_period + n_plain as double)) o from sure join counted on counted."type" = next group by next), breaks, whole
+  where {ratio("b", "o", "ab", "t")} >= {S.STARTER} and ab * t > b * o),
+held as (select spots."type", next, sum(n) ab, any_value(cast(c.n_period as double)) ot, any_value(cast(d.n_period + d.n_plain as double)) o from spots join counted c on c."type" = spots."type" join counted d on d."type" = next
+  where {special.replace('"type"', 'spots."type"')} and next <> '' group by all),
+pairs as materialized (select "type", next from (select *, greatest(ot, ab) u, greatest(o, ab) v from held), whole where {ratio("u", "v", "ab", "t")} >= {S.PAIR} and ab > 1 and ab * t > ot * o and next not in (select next from starters)),
+common as materialized (select "type" from counted where n_lower > 0 and n_lower >= 9 * n_upper),
+flags as (select *, next in (select next from starters) starter, next in (select "type" from common) common, ("type", next) in (select ("type", next) from pairs) pair from spots),
+inside as materialized (select "type", kind, next, "case" from flags where case when kind = '..' then "case" = 'l' when not {special} then false
+  when "type" = '{S.NUMBER}' then pair or "case" = 'l' else pair or "case" <> 'u' or not (common or (starter and abbreviation)) end)
+"""
+
+
+@query(_sql_sentences() + 'select "type", n_period, n_plain from abbr')
+def sentence_abbreviations(spark, sf_dir):
+    return S.learn(_docs(spark, sf_dir)).abbreviations
+
+
+@query(
+    _sql_sentences()
+    + f""", s as (select z.doc_id, z.r, z.i, z.x, z.k is not null and not z.final and inside."type" is null as ends from z left join inside on inside."type" = z."type" and inside.kind = z.k and inside.next = z.next and inside."case" = z."case"),
+g as (select *, coalesce(sum(cast(ends as int)) over (partition by r order by i rows between unbounded preceding and 1 preceding), 0) g from s),
+u as (select doc_id, r, g, regexp_replace(string_agg(x, '' order by i), '[{S.SPACE}]+$', '') t from g group by all),
+d as (select doc_id, r, t, min(g) g from u group by all)
+select doc_id, cast(row_number() over (partition by r order by g) - 1 as bigint) pos, t chunk from d"""
+)
+def chunk_learned_sentence(spark, sf_dir):
+    return C.chunk(_docs(spark, sf_dir), "learned_sentence").select("doc_id", F.col("pos").cast("long").alias("pos"), "chunk")
+
+
+
 def _sql_runs(size, step):
     return f"""with w as (select doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') w from documents),
 i as (select doc_id, w, unnest(range(0, len(w), {step})) k from w)
