@@ -301,3 +301,19 @@ def stream_ingest(spark, sf_dir):
     q = ingest.write(stream, ingest.by_batch(f"{out}/rows"), f"{out}/state")
     q.awaitTermination()
     return spark.read.parquet(f"{out}/rows").select("doc_id", F.col("pos").cast("long").alias("pos"), "chunk")
+
+
+@query("""select conv_id doc_id, string_agg(coalesce(text, ''), chr(10) order by turn) as text, cast(count(*) as integer) n_pages, cast(count(*) as integer) n_seen, 'whole' status
+from (select conv_id, turn, any_value(text) as text from conversations group by all) group by conv_id""")
+def stream_assemble(spark, sf_dir):
+    """Conversations whose turns arrive as pages in files in no order, put together by keyed state."""
+    from ..streaming import assemble, ingest
+
+    out = scratch(spark, "assemble")
+    turns = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("pnum")).agg(F.any_value("text").alias("text"))
+    n = turns.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n_pages"))
+    pages = turns.join(n, "doc_id").withColumn("event_time", F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("doc_id", "pnum"), F.lit(300))))
+    pages.repartition(6, F.xxhash64("pnum", "doc_id")).write.parquet(f"{out}/pages")
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 2).parquet(f"{out}/pages")
+    ingest.write(assemble.assemble(stream), ingest.by_batch(f"{out}/rows"), f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").drop("batch")

@@ -1,4 +1,4 @@
-"""Files as they arrive, and chunk counts over event time."""
+"""Files and tables as they arrive, and what writes streams. Keyed state is in `assemble`."""
 
 from __future__ import annotations
 
