@@ -17,7 +17,9 @@ gives no rows; other columns are left out.
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -33,74 +35,106 @@ from . import common
 
 #: Pieces that a task packs together, some MB of numbers.
 GROUP = 1 << 16
-#: Chunks of text that a worker remembers in each of two generations, and the longest that is remembered.
-MEMORY, LONGEST = 150_000, 200
+#: Words and chunks of text that a worker remembers in each of two generations, and the longest that are remembered.
+MEMORY, LONGEST = 400_000, 60
 _UNIT = re.compile("[\x1c-\x1f]")
 _CHUNK = regex.compile(r"[^\p{White_Space}]+")
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, each distinct chunk between white space encoded once.
+    """Ids of whole texts as the tokenizers library gives them, for tokenizers that lower-case, drop white space, and
+    merge within words only, as the one here does.
 
-    This holds for tokenizers that never merge across white space and drop it. New chunks of many texts are encoded in
-    one call, with the text of a special token between them; chunks that hold such a text are encoded by themselves."""
+    Every chunk between white space is looked up; a new one is cut into words, and new words are encoded by the library's
+    model, many in one call. What holds the text of a special token goes through the whole library by itself."""
 
     def __init__(self, spec: bytes) -> None:
+        plain = json.loads(spec)
+        model = plain["model"]
+        split, byte_level = plain["pre_tokenizer"]["pretokenizers"]
+        kinds = [x["type"] for x in plain["normalizer"]["normalizers"]], split["type"], byte_level["type"], model.get("end_of_word_suffix")
+        if kinds != (["NFC", "Replace", "Lowercase"], "Split", "ByteLevel", "</w>"):
+            raise ValueError("only tokenizers of words with an end mark are read here")
         self.library = Tokenizer.from_buffer(spec)
         self.library.no_truncation()
         self.library.no_padding()
-        self.specials = {x.content: i for i, x in self.library.get_added_tokens_decoder().items()}
-        self.mark = max(self.specials, key=self.specials.__getitem__)
-        self.new: dict[str, bytes] = {}
+        self.specials = [x["content"] for x in plain["added_tokens"]]
+        # the model alone: words arrive in the byte-level alphabet, parted by spaces
+        self.model = Tokenizer.from_str(json.dumps(plain | {"normalizer": None, "post_processor": None, "truncation": None, "padding": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        free = iter(range(256, 512))
+        self.letters = {b: b if b in shown else next(free) for b in range(256)} | {10: 10}
+        self.word = regex.compile(split["pattern"]["Regex"])
+        self.last = np.zeros(max(model["vocab"].values()) + 1, bool)  # ids that end a word
+        self.last[[i for t, i in model["vocab"].items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}  # ids of chunks, words among them: the newer generation
         self.old: dict[str, bytes] = {}
 
     @staticmethod
-    def chunks(text: str | None) -> list[str]:
+    def split(text: str | None) -> list[str]:
+        """The chunks of a text, in small letters."""
         if not text:
             return []
+        if not text.isascii():
+            # letters are lower-cased one by one, so a sigma that ends a word is the usual one
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        text = text.lower()
         return _CHUNK.findall(text) if _UNIT.search(text) else text.split()
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """The ids of chunks as little-endian bytes."""
-        got = {}
-        plain = []
+    def learn(self, chunks: list[str]) -> None:
+        """The ids of new chunks, as little-endian bytes, and of the words that they are made of."""
+        known, old, whole = self.known, self.old, self.word.findall
+        words: set[str] = set()
+        made: list[tuple[str, list[str]]] = []
         for c in chunks:
-            if any(s in c for s in self.specials):
-                got[c] = self._ids(c).tobytes()
+            core = c.rstrip(".,;:!?")
+            if core.isalpha() and (core.isascii() or max(core) < "ɐ"):  # the usual cases, without the pattern
+                if core is c:
+                    words.add(c)
+                    continue
+                parts = [core, c[len(core) :]]
+            else:
+                parts = whole(c)
+            words.update(parts)
+            made.append((c, parts))
+        new = []
+        for w in words - known.keys():
+            if (ids := old.get(w)) is None:
+                new.append(w)
             else:
-                plain.append(c)
-        if plain:
-            ids = self._ids(self.mark.join(plain))
-            ends = [*(np.flatnonzero(ids == self.specials[self.mark]) * 4).tolist(), len(ids) * 4]
-            raw, at = ids.tobytes(), 0
-            for c, end in zip(plain, ends, strict=True):
-                got[c] = raw[at:end]
-                at = end + 4
-        return got
+                known[w] = ids
+        if new:
+            # a line end isn't in the alphabet and no word has one
+            shown = "\n".join(new).encode("utf-8").decode("latin-1").translate(self.letters)
+            ids = np.array(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            raw = ids.tobytes()
+            known.update(zip(new, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        for c, parts in made:
+            known[c] = b"".join([known[w] for w in parts])
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of every text, as little-endian 32-bit numbers."""
-        split = [self.chunks(t) for t in texts]
-        here: dict[str, bytes] = {}
-        unknown: set[str] = set()
-        for chunks in split:
-            for c in set(chunks):
-                ids = self.new.get(c)
-                if ids is None:
-                    ids = self.old.get(c)
-                    if ids is None:
-                        unknown.add(c)
-                        continue
-                here[c] = ids
-        here |= self.learn(unknown)
-        if len(self.new) >= MEMORY:
-            self.new, self.old = {}, self.new
-        self.new |= {c: ids for c, ids in here.items() if len(c) <= LONGEST}
-        for chunks in split:
-            yield b"".join([here[c] for c in chunks])
+        special = {i for i, t in enumerate(texts) if t and any(x in t for x in self.specials)}
+        split = [[] if i in special else self.split(t) for i, t in enumerate(texts)]
+        if len(self.known) >= MEMORY:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        new = []
+        for c in set().union(*split) - known.keys():
+            if (ids := old.get(c)) is None:
+                new.append(c)
+            else:
+                known[c] = ids
+        self.learn(new)
+        ids_of = known.__getitem__
+        for i, chunks in enumerate(split):
+            if i in special:
+                yield np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                yield b"".join(map(ids_of, chunks))
+        for c in [c for c in new if len(c) > LONGEST]:
+            known.pop(c, None)
 
 
 _LOADED: dict[int, Encoder] = {}
