@@ -4,7 +4,8 @@ A phrase belongs to the rarest of its words, its pivot. Around every occurrence
 that pivot can reach are a fragment: up to `longest - 1` words to each side, ended by a border of a piece, by a word that
 can't be frequent, and by any word that is rarer than the pivot. (To the left it also ends at the pivot itself, so that
 a phrase in which the pivot occurs twice is counted from the first.) Equal fragments are counted where they arise and
-routed to their pivot; there all phrases that hold the pivot's place are counted, and only the frequent ones leave.
+routed to their pivot; there all phrases that hold the pivot's place are counted, and only the frequent ones leave. Pivots with
+few occurrences share a group.
 
 How rare a word is comes from a table of fixed size: counts of words added up in `SLOTS` slots by hash. A slot's count is
 never below a word's, so that nothing frequent is lost, and any fixed order of words gives the same result; only how
@@ -22,6 +23,7 @@ rows without an id, count as often as they occur; other columns are left out.
 from __future__ import annotations
 
 import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,8 @@ from . import common
 SLOTS = 1 << 20
 #: Occurrences of a pivot that one group takes.
 SHARE = 1 << 17
+#: Bytes of a group's lines that are counted at once.
+MOST = 1 << 26
 #: Entries that a task counts before it hands them on, and words that a worker looks up at once.
 ENTRIES, WINDOW = 300_000, 200_000
 #: Bytes of a text that are split at once, if there is white space or a border to split at.
@@ -77,14 +81,13 @@ def word_counts(docs: DataFrame, lang: str = "lang", text: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.only("collocations")
-        counts: dict[str, dict[bytes, int]] = {}
+        counts: dict[str, Counter[bytes]] = {}
         for b in batches:
             for lang_, texts in _by_lang(b):
-                here = counts.setdefault(lang_, {})
+                here = counts.setdefault(lang_, Counter())
                 for t in texts:
                     for part in tokens(t):
-                        for w in part:
-                            here[w] = here.get(w, 0) + 1
+                        here.update(part)
                     if len(here) > ENTRIES:
                         here.pop(_BORDER, None)
                         yield rows({(lang_, w): n for w, n in here.items()})
@@ -155,27 +158,35 @@ def windows(texts: list[str | None], side: int, size: int) -> Iterator[tuple[lis
 
 
 def fragments(docs: DataFrame, table: np.ndarray, longest: int = 5, lang: str = "lang", text: str = "text") -> DataFrame:
-    """(lang, pivot, part, words, n): fragments and how often they occur. `pivot` is a hash of it, `part` its group if it
-    has several (0 is the only one if not), `words` begins with the pivot's place."""
+    """(lang, pivot, part, lines): fragments and how often they occur. A pivot with more than `SHARE` occurrences is named
+    by its hash and has several parts, by a hash of the fragment; the others share groups of about as many occurrences,
+    which have negative numbers and one part, 0. A line is the pivot's place in a fragment, its words, and a count; a task
+    gives the lines of a group together, so that rows are few."""
     sent = common.ship(docs.sparkSession).sparkContext.broadcast(table)  # SLOTS numbers
-
-    def rows(lang_: str, counts: dict[tuple[int, int, bytes], int]) -> pa.RecordBatch:
-        pivot, part, words = [], [], []
-        for r, left, raw in counts:
-            groups = 1 + (r >> 32) // SHARE
-            pivot.append(r & 0xFFFFFFFF)
-            part.append(1 + zlib.crc32(raw) % groups if groups > 1 else 0)
-            words.append(b"%d %s" % (left, raw))
-        columns = [pa.array([lang_] * len(pivot), pa.string()), pa.array(pivot, pa.int64()), pa.array(part, pa.int32()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(counts.values(), pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "pivot", "part", "words", "n"])
+    places = [b"%d" % k for k in range(longest)]
+    shared = 1 + int(table.sum()) // SHARE
+
+    def rows(lang_: str, counts: dict[int, dict[bytes, int]]) -> pa.RecordBatch:
+        groups: dict[tuple[int, int], list[bytes]] = defaultdict(list)
+        for r, some in counts.items():
+            parts, h = 1 + (r >> 32) // SHARE, r & 0xFFFFFFFF
+            if parts == 1:
+                groups[-1 - h % shared, 0] += [b"%s %d" % x for x in some.items()]
+            else:
+                for raw, n in some.items():
+                    groups[h, 1 + zlib.crc32(raw) % parts].append(b"%s %d" % (raw, n))
+        pivots = list(groups)
+        columns = [pa.array([lang_] * len(groups), pa.string()), pa.array([g[0] for g in pivots], pa.int64()), pa.array([g[1] for g in pivots], pa.int32()), pa.array(map(b"\n".join, groups.values()), pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "pivot", "part", "lines"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.only("collocations")
         rarities: dict[str, Rarity] = {}
-        counts: dict[str, dict[tuple[int, int, bytes], int]] = {}
+        counts: dict[str, dict[int, dict[bytes, int]]] = {}
+        size = 0
         for b in batches:
             for lang_, texts in _by_lang(b):
-                here = counts.setdefault(lang_, {})
+                here = counts.setdefault(lang_, defaultdict(dict))
                 for held, start, end in windows(texts, longest - 1, WINDOW):
                     known = rarities.get(lang_)
                     if known is None or len(known) > ENTRIES:
@@ -183,55 +194,92 @@ def fragments(docs: DataFrame, table: np.ndarray, longest: int = 5, lang: str =
                     rarity = np.fromiter(map(known.__getitem__, held), np.int64, len(held))
                     left, right = reach(rarity, longest)
                     at = start + np.flatnonzero(left[start:end] >= 0)
-                    for r, i, x, y in zip(rarity[at].tolist(), at.tolist(), left[at].tolist(), right[at].tolist()):
-                        key = (r, x, b" ".join(held[i - x : i + y + 1]))
-                        here[key] = here.get(key, 0) + 1
-                    if len(here) > ENTRIES:
-                        yield rows(lang_, here)
-                        here.clear()
-            if sum(map(len, counts.values())) > 2 * ENTRIES:
-                yield from (rows(x, here) for x, here in counts.items() if here)
-                counts.clear()
-        yield from (rows(x, here) for x, here in counts.items() if here)
-
-    return docs.select(lang, text).mapInArrow(run, "lang string, pivot long, part int, words string, n long")
+                    x = left[at]
+                    for r, i, j, k in zip(rarity[at].tolist(), (at - x).tolist(), (at + right[at] + 1).tolist(), x.tolist()):
+                        raw = b" ".join([places[k], *held[i:j]])
+                        some = here[r]
+                        some[raw] = some.get(raw, 0) + 1
+                    size += len(at)
+                    if size > 4 * ENTRIES:  # occurrences; entries are fewer
+                        yield from (rows(x, some) for x, some in counts.items() if some)
+                        for some in counts.values():
+                            some.clear()
+                        size = 0
+        yield from (rows(x, some) for x, some in counts.items() if some)
+
+    return docs.select(lang, text).mapInArrow(run, "lang string, pivot long, part int, lines binary")
 
 
 def mine(routed: DataFrame, least: int, longest: int = 5) -> DataFrame:
     """(lang, phrase, n) of the phrases of two words or more that their pivots own, from fragments routed to their pivot:
-    counts of at least `least` for pivots with one group; partial counts for the others."""
+    counts of at least `least` from groups that hold all of their pivots; partial counts from the others."""
     groups = routed.repartition("lang", "pivot", "part").sortWithinPartitions("lang", "pivot", "part")
 
-    def rows(lang: str, counts: dict[str, int], whole: bool) -> pa.RecordBatch:
-        kept = {p: n for p, n in counts.items() if n >= least} if whole else counts
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(kept), pa.string()), pa.array(kept.keys(), pa.string()), pa.array(kept.values(), pa.int64())], ["lang", "phrase", "n"])
+    def batch(found: list[tuple[str, bytes, int]]) -> pa.RecordBatch:
+        columns = zip(*found)
+        return pa.RecordBatch.from_arrays([pa.array(next(columns), pa.string()), pa.array(next(columns), pa.binary()).cast(pa.string()), pa.array(next(columns), pa.int64())], ["lang", "phrase", "n"])
+
+    def count(group: list[bytes], whole: bool) -> dict[bytes, int]:
+        """Phrases of a group. What lies beyond a neighbour counts only if the pair of pivot and neighbour is frequent,
+        which is known where the group holds all of its pivots' fragments."""
+        pairs: dict[bytes, int] = {}
+        if whole:
+            for lines in group:
+                for line in lines.split(b"\n"):
+                    left, *w, n = line.split(b" ")
+                    at, n = int(left), int(n)
+                    if at:
+                        pair = b" ".join(w[at - 1 : at + 1])
+                        pairs[pair] = pairs.get(pair, 0) + n
+                    if at + 1 < len(w):
+                        pair = b" ".join(w[at : at + 2])
+                        pairs[pair] = pairs.get(pair, 0) + n
+            pairs = {x: n for x, n in pairs.items() if n >= least}
+            if not pairs:
+                return {}
+        counts: dict[bytes, int] = {}
+        for lines in group:
+            for line in lines.split(b"\n"):
+                left, *w, n = line.split(b" ")
+                at, size, n = int(left), len(w), int(n)
+                first, end = max(0, at - longest + 1), size
+                if whole:
+                    if at and b" ".join(w[at - 1 : at + 1]) not in pairs:
+                        first = at
+                    if at + 1 < size and b" ".join(w[at : at + 2]) not in pairs:
+                        end = at + 1
+                for i in range(first, at + 1):
+                    for j in range(max(at + 1, i + 2), min(end, i + longest) + 1):
+                        phrase = b" ".join(w[i:j])
+                        counts[phrase] = counts.get(phrase, 0) + n
+        return counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.only("collocations")
-        group, counts, whole = None, {}, True
-        waiting: list[pa.RecordBatch] = []
+        key, group, size, whole = None, [], 0, True
+        found: list[tuple[str, bytes, int]] = []
+
+        def close() -> None:
+            found.extend((key[0], p, n) for p, n in count(group, whole).items() if n >= least or not whole)
+
         for b in batches:
-            for lang, pivot, part, words, n in zip(*(c.to_pylist() for c in b.columns)):
-                if (lang, pivot, part) != group:
-                    if counts and (got := rows(group[0], counts, whole)).num_rows:
-                        waiting.append(got)
-                    group, counts, whole = (lang, pivot, part), {}, part == 0
-                left, *w = words.split(" ")
-                at, size = int(left), len(w)
-                for i in range(max(0, at - longest + 1), at + 1):
-                    for j in range(max(at + 1, i + 2), min(size, i + longest) + 1):
-                        phrase = " ".join(w[i:j])
-                        counts[phrase] = counts.get(phrase, 0) + n
-                if len(counts) > 4 * ENTRIES:  # more than a pivot's share can have, but by equal hashes
-                    yield rows(group[0], counts, False)
-                    counts, whole = {}, False
-            if sum(x.num_rows for x in waiting) > 10_000:
-                yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
-                waiting = []
-        if counts:
-            waiting.append(rows(group[0], counts, whole))
-        if waiting:
-            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+            for *new, lines in zip(*(c.to_pylist() for c in b.columns)):
+                # a group has a pivot's share at most, unless hashes of pivots are equal: then it is counted in parts
+                if new != key or size > MOST:
+                    if group:
+                        whole = whole and new != key
+                        close()
+                    whole = new[2] == 0 if new != key else False
+                    key, group, size = new, [], 0
+                group.append(lines)
+                size += len(lines)
+                if len(found) > 10_000:
+                    yield batch(found)
+                    found.clear()
+        if group:
+            close()
+        if found:
+            yield batch(found)
 
     return groups.mapInArrow(run, "lang string, phrase string, n long")
 
