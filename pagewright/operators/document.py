@@ -163,30 +163,71 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * (len(a) - s.bit_count()) / (len(a) + len(b))
 
 
+def _edits(length: Column, similar: float) -> Column:
+    """How many letters may be put in or left out between a title of this length and a similar one that isn't shorter."""
+    longer = F.floor(length * F.lit((200.0 - similar) / similar) + 1e-9)
+    return F.floor((length + longer) * F.lit(1.0 - similar / 100.0) + 1e-9).cast("int")
+
+
+def _pairs_by_length(titles: DataFrame, similar: float) -> DataFrame:
+    """The same by classes of lengths: similar texts are in the same class or in neighbouring ones."""
+    apart = max((200.0 - similar) / similar, 1.0) * 1.000001
+    kind = F.floor(F.log(F.greatest(F.length("t"), F.lit(1)).cast("double")) / F.log(F.lit(apart)))
+    a = titles.select(*DOC, "t", F.explode(F.array(kind - 1, kind, kind + 1)).alias("kind"))
+    b = titles.select(*DOC, F.col("t").alias("u"), kind.alias("kind"))
+    nt, nu = F.length("t"), F.length("u")
+    order = (nt < nu) | ((nt == nu) & (F.col("t") < F.col("u")))
+    return a.join(b, [*DOC, "kind"]).filter(order & (2 * nt * 100 >= similar * (nt + nu))).select(*DOC, "t", "u")
+
+
+def similar_pairs(titles: DataFrame, similar: float = 90.0) -> DataFrame:
+    """doc_id, t, u: pairs of different titles of a document that may be similar, the shorter one first, each once.
+
+    A title is cut into one segment more than letters may differ, so that a similar one holds a segment unchanged. With
+    at most k letters put in or left out before the k-th segment, and the rest of them behind it, only few places are
+    right for it. Segments are an index, which all substrings of their lengths in longer titles look up. Below 70 %
+    segments could be empty, and titles of similar lengths all meet."""
+    if similar < 70:
+        return _pairs_by_length(titles, similar)
+    apart = F.lit((200.0 - similar) / similar + 1e-9)
+    d = titles.select(*DOC, "t", F.char_length("t").alias("n")).filter("n > 0")
+    m = _edits(F.col("n"), similar) + 1
+    q = F.floor(F.col("n") / m).cast("int")
+    short = m - (F.col("n") - q * m)  # so many segments have q letters, the others one more
+    index = d.select(*DOC, "t", F.col("n").alias("nt"), (m - 1).alias("edits"), F.explode(F.sequence(F.lit(0), m - 1)).alias("i"), q.alias("q"), short.alias("short"))
+    start = F.col("i") * F.col("q") + F.greatest(F.col("i") - F.col("short"), F.lit(0))
+    length = F.col("q") + (F.col("i") >= F.col("short")).cast("int")
+    index = index.select(*DOC, "t", "nt", "edits", "i", start.alias("start"), F.substring("t", start + 1, length).alias("segment"))
+    # the lengths that segments of titles have which this one may be similar to
+    lengths = F.transform(F.sequence(F.greatest(F.ceil(F.col("n") / apart).cast("int"), F.lit(1)), F.col("n")), lambda x: F.floor(x / (_edits(x, similar) + 1)).cast("int"))
+    every = F.array_distinct(F.concat(lengths, F.transform(lengths, lambda x: x + 1)))
+    probe = d.select(*DOC, F.col("t").alias("u"), F.col("n").alias("nu"), F.explode(every).alias("size")).filter(F.col("size") <= F.col("nu"))
+    probe = probe.select(*DOC, "u", "nu", "size", F.explode(F.sequence(F.lit(1), F.col("nu") - F.col("size") + 1)).alias("at"))
+    probe = probe.select(*DOC, "u", "nu", (F.col("at") - 1).alias("at"), F.substring("u", F.col("at"), F.col("size")).alias("segment"))
+    moved, more = F.col("at") - F.col("start"), F.col("nu") - F.col("nt")
+    fits = (F.abs(moved) <= F.col("i")) & (F.abs(moved - more) <= F.col("edits") - F.col("i"))
+    order = (F.col("nt") < F.col("nu")) | ((F.col("nt") == F.col("nu")) & (F.col("t") < F.col("u")))
+    return index.join(probe, [*DOC, "segment"]).filter(order & fits & (F.col("nu") <= F.col("nt") * apart)).select(*DOC, "t", "u").distinct()
+
+
 def common_titles(blocks: DataFrame, similar: float = 90.0, overlap: float = 0.05, exact: bool = False) -> DataFrame:
     """doc_id, index of headings that at least three others, and a share of all, resemble.
 
     Equal headings are one with a count first, so that a heading that stands on every page makes no pairs; different ones
-    meet within a document and a class of lengths that lets them be similar (`exact`: equal ones only)."""
+    meet if they share a segment at a fitting place (`exact`: equal ones only)."""
     t = blocks.filter(F.col("block_type").isin(*T.HEADING_TYPES)).select(*DOC, "index", title_key(F.col("text")).alias("t"))
     n = t.groupBy(*DOC).agg(F.count(F.lit(1)).alias("titles"))
     c = t.groupBy(*DOC, "t").agg(F.count(F.lit(1)).alias("c"))
     if exact:
         total = c.select(*DOC, "t", (F.col("c") - 1).alias("others"))
     else:
-        # Similar texts are at most this factor apart in length, so that they are in the same class or in neighbouring ones.
-        apart = max((200.0 - similar) / similar, 1.0) * 1.000001
-        kind = F.floor(F.log(F.greatest(F.length("t"), F.lit(1)).cast("double")) / F.log(F.lit(apart)))
-        a = c.withColumn("kind", F.explode(F.array(kind - 1, kind, kind + 1))).alias("a")
-        b = c.withColumn("kind", kind).alias("b")
-        la, lb = F.length("a.t"), F.length("b.t")
-        near = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.t") != F.col("b.t")) & (2 * F.least(la, lb) * 100 >= similar * (la + lb)))
 
         def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
             return pd.Series([indel_ratio(p, q) for p, q in zip(x, y)], dtype="float64")
 
-        near = near.select("a.doc_id", F.col("a.t").alias("t"), F.col("b.t").alias("u"), F.col("b.c").alias("c")).withColumn("ratio", F.pandas_udf(ratio, "double")("t", "u"))
-        more = near.filter(F.col("ratio") >= similar).groupBy(*DOC, "t").agg(F.sum("c").alias("more"))
+        near = similar_pairs(c, similar).filter(F.pandas_udf(ratio, "double")("t", "u") >= similar)
+        both = near.select(*DOC, "t", "u").unionByName(near.select(*DOC, F.col("u").alias("t"), F.col("t").alias("u")))
+        more = both.join(c.select(*DOC, F.col("t").alias("u"), "c"), [*DOC, "u"]).groupBy(*DOC, "t").agg(F.sum("c").alias("more"))
         total = c.join(more, [*DOC, "t"], "left").select(*DOC, "t", (F.col("c") - 1 + F.coalesce("more", F.lit(0))).alias("others"))
     bad = total.join(n, DOC).filter(F.col("others") >= F.greatest(F.lit(3.0), F.col("titles") * overlap))
     return t.join(bad, [*DOC, "t"], "left_semi").select(*DOC, "index")
