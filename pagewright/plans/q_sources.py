@@ -18,6 +18,7 @@ from ..session import scratch, table
 from ..sinks import document_json
 from ..sources import binary, office, pdf
 from ..sources import csv as csv_source
+from ..sources import csv_ranges
 from . import pipelines, stage
 from . import synthetic as S
 from .q_document import _CHUNKS, _CONV, _conversation_blocks
@@ -317,3 +318,14 @@ def stream_assemble(spark, sf_dir):
     stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 2).parquet(f"{out}/pages")
     ingest.write(assemble.assemble(stream), ingest.by_batch(f"{out}/rows"), f"{out}/state").awaitTermination()
     return spark.read.parquet(f"{out}/rows").drop("batch")
+
+
+@query("""select 'conv_id: ' || conv_id || ';turn: ' || turn || ';role: ' || coalesce(role, 'nan') || ';text: ' || regexp_replace(said, '^\\s+|\\s+$', '', 'g') as content
+from (select conv_id, turn, role, '"' || coalesce(text, '') || '"' || chr(10) || 'end, of turn' said from conversations)""")
+def src_csv_ranges(spark, sf_dir):
+    """Conversations as CSV files with quotes and line ends in cells, read by byte ranges."""
+    out = scratch(spark, "csv-files")
+    said = F.concat(F.lit('"'), F.coalesce("text", F.lit("")), F.lit('"\nend, of turn'))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", said.alias("text"))
+    turns.coalesce(4).write.option("header", True).option("escape", '"').csv(out)
+    return csv_ranges.read(spark, out).select("content")

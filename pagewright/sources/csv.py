@@ -1,7 +1,8 @@
 """CSV files as chunks, a chunk per row.
 
 `read` is the fast way: Spark splits large files and keeps short rows, padded. Rows that are too wide go, as they do in
-`read_exact`, which takes each file as a whole with its encoding detected, and quotes and line ends inside of cells."""
+`read_exact`, which takes each file as a whole with its encoding detected, and quotes and line ends inside of cells.
+`csv_ranges.read` gives the rows of `read_exact` for files of any size, by byte ranges."""
 
 from __future__ import annotations
 
@@ -60,7 +61,8 @@ def exact_chunks(files: DataFrame, encoding: str | None = None, source_column: s
                         raise ValueError(f"there is no column {source_column!r}")
                     content = [";".join(f"{str(c).strip()}: {str(v).strip()}" for c, v in row.items()) for _, row in df.iterrows()]
                     named = [str(v) for v in df[source_column]] if source_column else [""] * len(df)
-                    yield pd.DataFrame({"doc_id": doc, "index": range(len(df)), "chunk_type": "text", "content": content, "source": named})
+                    if content:  # a header alone has no rows
+                        yield pd.DataFrame({"doc_id": doc, "index": range(len(df)), "chunk_type": "text", "content": content, "source": named})
                 except (ValueError, pd.errors.ParserError) as e:
                     yield pd.DataFrame({"doc_id": [doc], "index": [0], "chunk_type": ["error"], "content": [str(e)], "source": [source]})
 
