@@ -1,10 +1,10 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree. Elements that can't be content by their name or role (menus, page headers, footers, sidebars,
-notices, adverts, forms, scripts, styles) are cut. What only a class or id calls one of these, or reader comments, is
-cut too unless it holds the page: at least `HOLDS` of the text outside of links, which a wrapper does and an advert
+notices, adverts, fields of forms, scripts, styles) are cut. Forms and dialogs, and what only a class or id calls one of
+these, or reader comments, are cut too unless they hold the page: at least `HOLDS` of the text outside of links, which a wrapper does and an advert
 doesn't (see `settle`). Every node left gets its composite density: characters per tag, adjusted by the characters and
-tags of links in it. Densities of children are summed; the node with the largest sum below the body holds the main text.
+tags of links in it. A heading in a page's header comes back if the page's title says that it is the page's. Densities of children are summed; the node with the largest sum below the body holds the main text.
 The smallest density on the path from that node to the body is the threshold: outside of the chosen node, a subtree is
 content only if its root reaches the threshold, has text of its own kind (paragraphs, headings, lists, tables, quotes,
 code) and isn't mostly links. In the article or main element that the chosen node lies in, other subtrees are content
@@ -33,15 +33,18 @@ from . import common
 # A quoted value follows an equals sign; other quotes are plain. Nothing is tried twice, so that broken markup stays linear.
 _TAG = re.compile(r"<(?:!--(.*?)(?:--!?>|\Z)|([!?])[^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_TITLE = re.compile(r"<title[^>]*>([^<]*)", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 # Names of elements, by what they do to a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template noframes".split())
-CUT = frozenset("head script style noscript template iframe object embed svg canvas nav footer aside form button select option textarea input label fieldset dialog menu title audio video map noframes".split())
+CUT = frozenset("head script style noscript template iframe object embed svg canvas nav footer aside button select option textarea input label menu title audio video map noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table caption tbody td tfoot th thead tr ul".split())
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog menu menubar toolbar".split())
+#: Elements and roles that are cut unless they hold the page: some frameworks put every page into one form.
+FORMS = frozenset("form fieldset dialog".split())
 #: Words of a class or id that say what an element is for.
 PARTS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adbox banner promo promoted promotion sponsor sponsored sponsors nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer foot masthead topbar header "
@@ -51,6 +54,8 @@ PARTS = frozenset(
 COMMENTS = frozenset("comment comments disqus replies respond".split())
 #: Share of the text outside of links that an element has to hold, for its class or id not to count.
 HOLDS = 0.8
+#: Characters that a form without an article, a main element and a first heading has to have to hold a page.
+FORM_TEXT = 140
 #: These keep their content whatever their class says.
 KEPT = frozenset("html body main article".split())
 #: A start tag closes an open element of these names, up to the nearest of the fences.
@@ -83,13 +88,15 @@ def _unwanted(name: str, attributes: str, inside: bool) -> tuple[bool, str]:
     """Whether an element can't be content, and the word of its class or id that speaks against it."""
     if name in CUT or name == "header" and not inside:
         return True, ""
+    suspect = "form" if name in FORMS else ""
     if not attributes or name in KEPT:
-        return False, ""
-    suspect = ""
+        return False, suspect
     for k, a, b, c in _ATTRIBUTE.findall(attributes):
         k, value = k.lower(), a or b or c
         if k == "role" and value.lower() in ROLES or k == "hidden" or k == "aria-hidden" and value.lower() == "true":
             return True, ""
+        if k == "role" and value.lower() in FORMS:
+            suspect = suspect or "form"
         if k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True, ""
         if k in ("class", "id"):
@@ -104,7 +111,7 @@ def _unwanted(name: str, attributes: str, inside: bool) -> tuple[bool, str]:
                     found = words[0]
                 else:
                     continue
-                if not suspect or found in COMMENTS:
+                if not suspect or suspect == "form" or found in COMMENTS:
                     suspect = found
     return False, suspect
 
@@ -170,7 +177,7 @@ def tree(page: str) -> Node:
 
 
 def settle(root: Node) -> None:
-    """Cuts the elements whose class or id speaks against them, but for those that hold the page.
+    """Cuts forms, dialogs, and the elements whose class or id speaks against them, but for those that hold the page.
 
     An element holds the page if it has `HOLDS` of the text outside of links, and an article, main element or first
     heading if the page has one; or if it has all of these and, without an article or main element, half of the text.
@@ -204,7 +211,8 @@ def settle(root: Node) -> None:
         for x in outer:
             here, name = plain[id(x)], named[id(x)]
             holds = here >= HOLDS * whole and (name or not names) or names and name == names and (strong[id(x)] or 2 * here >= whole)
-            if here and (here == whole or holds and x.suspect not in COMMENTS):
+            small = x.suspect == "form" and not name and here < FORM_TEXT
+            if here and not small and (here == whole or holds and x.suspect not in COMMENTS):
                 top = x
                 x.suspect = ""
             else:
@@ -326,6 +334,56 @@ def blocks(root: Node) -> list[str]:
     return out
 
 
+def title_back(root: Node, page: str) -> None:
+    """Takes a page's heading out of a header that was cut, if there is no other and the page's title begins with it, or
+    is made of it and other parts: a site's name or slogan isn't that."""
+    kept, cut, stack = [], [], [root]
+    while stack:
+        n = stack.pop()
+        if n.name == "h1" and not any(isinstance(x, Node) and x.name == "a" for x in n.parts):
+            (cut if n.cut else kept).append(n)
+        stack.extend(x for x in n.parts if isinstance(x, Node))
+    if kept or len(cut) != 1 or not (m := _TITLE.search(page)):
+        return
+    plain = lambda x: " ".join(entities.unescape(x).split()).lower()
+    words, title = plain(_text(cut[0])), plain(m.group(1))
+    if not words or not (title.startswith(words) or words in map(str.strip, re.split(r"[|–—·»:]| - ", title))):
+        return
+    chain, n = [cut[0]], cut[0].parent
+    while n is not None and n.cut:
+        chain.append(n)
+        n = n.parent
+    if chain[-1].name != "header":
+        return
+    for n in [*chain, *_below(cut[0])]:
+        n.cut = False
+    for inner, outer in zip(chain, chain[1:]):
+        outer.parts = [inner]  # nothing else of the header comes back
+    cut[0].main = True
+
+
+def _below(top: Node) -> list[Node]:
+    out, stack = [], [top]
+    while stack:
+        for x in stack.pop().parts:
+            if isinstance(x, Node):
+                out.append(x)
+                stack.append(x)
+    return out
+
+
+def _text(top: Node) -> str:
+    """All text of an element, in order."""
+    out, stack = [], [top]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            out.append(x)
+        else:
+            stack.extend(reversed(x.parts))
+    return "".join(out)
+
+
 def extract(page: str | None) -> str:
     """The main text of one page."""
     if not page:
@@ -333,6 +391,7 @@ def extract(page: str | None) -> str:
     root = tree(page)
     settle(root)
     choose(root)
+    title_back(root, page)
     return "\n".join(blocks(root))
 
 
