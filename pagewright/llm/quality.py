@@ -6,12 +6,14 @@ from document labels alone, weighs the passages; a logistic unit scores the weig
 
 Defined results: null, empty and wordless texts are a bag of one passage of zeros; without labelled rows of both
 classes every score is the share of label 1 (0.5 without any); repeated rows get equal scores; scores depend on the
-text alone, all of its passages included.
+text alone, all of its passages included. Long texts are described in parts of whole passages, so that memory is bounded
+whatever their length (a single word of any length is one passage, which isn't cut).
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ PASSAGE = 64
 ENCODED, ATTENTION, ENDINGS = 24, 12, 48
 EPOCHS, BATCH = 30, 64
 THRESHOLD = 0.3
+#: Bytes that are described at once; each takes some 90 bytes of memory.
+MOST = 1 << 19
 # Kinds of bytes: 0 other ASCII control, 1 white space, 2 line end, 3 upper, 4 lower, 5 digit, 6 non-ASCII, then
 # punctuation marks one by one.
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -36,15 +40,40 @@ _WORD = re.compile(rb"[^ \t\n\r\f\v]+")
 FEATURES = _KINDS + 8 + ENDINGS
 
 
-def describe(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of all passages of some texts, and the text that each passage belongs to. Nothing loops over words."""
-    data = np.frombuffer(b"".join([(t or "").encode("utf-8", "surrogatepass") + b"\n" for t in texts]), np.uint8)
+def ended(text: str | None) -> bytes:
+    """A text's bytes, with white space at the end."""
+    return (text or "").encode("utf-8", "surrogatepass") + b"\n"
+
+
+def pieces(raw: bytes, most: int) -> Iterator[bytes]:
+    """Parts of a text of about `most` bytes, cut where a passage begins, so that they have the text's own passages. What
+    has less than a passage of words in so many bytes stays together."""
+    at = 0
+    while len(raw) - at > most:
+        size, cut = most, len(raw)
+        while at + size < len(raw):
+            kinds = _KIND[np.frombuffer(raw, np.uint8, size, at)]
+            begin = np.flatnonzero(np.diff(((kinds != 1) & (kinds != 2)).astype(np.int8), prepend=0) == 1)
+            if (whole := (len(begin) - 1) // PASSAGE * PASSAGE) > 0:
+                cut = at + int(begin[whole])
+                break
+            size *= 2
+        yield raw[at:cut]
+        at = cut
+    if at < len(raw):
+        yield raw[at:]
+
+
+def describe(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all passages of some texts, which end in white space, and the text that each passage belongs to. Nothing
+    loops over words."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
     kinds = _KIND[data]
     solid = (kinds != 1) & (kinds != 2)
     edge = np.diff(solid.astype(np.int8), prepend=0)
     begin = np.flatnonzero(edge == 1)
     end = np.flatnonzero(edge == -1)
-    text_end = np.cumsum([len((t or "").encode("utf-8", "surrogatepass")) + 1 for t in texts])
+    text_end = np.cumsum([len(t) for t in texts])
     owner = np.searchsorted(text_end, begin, side="right")  # text of each word
     n_words = np.bincount(owner, minlength=len(texts))
     first = np.concatenate([[0], np.cumsum(n_words)])
@@ -92,6 +121,7 @@ def describe(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     bucket = ((a * np.uint64(65599) + b * np.uint64(257) + c + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(ENDINGS)
     ends = np.bincount(part * ENDINGS + bucket.astype(np.int64), minlength=part0[-1] * ENDINGS).reshape(-1, ENDINGS)
     out[:, o + 8 :] = np.sqrt(ends / words[:, None])
+    out[part0[:-1][n_words == 0]] = 0  # texts without words, whatever stands beside them
     return out, bag
 
 
@@ -117,17 +147,66 @@ class Model:
         z = np.add.reduceat(w[:, None] * h, first, axis=0)
         return z @ p["o"] + p["b"], h, t, g, w, z
 
+    def gradients(self, x: np.ndarray, bag: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the weighted mean of the bags' log loss."""
+        n = len(y)
+        logit, h, t, g, w, z = self.forward(x, bag, n)
+        p = self.p
+        d = ((sigmoid(logit) - y) * weight / n).astype(p["o"].dtype)
+        dz = d[:, None] * p["o"]
+        dw = (dz[bag] * h).sum(axis=1)
+        first = np.searchsorted(bag, np.arange(n))
+        da = w * (dw - np.add.reduceat(w * dw, first)[bag])
+        dt, dg = da[:, None] * p["s"] * g * (1 - t * t), da[:, None] * p["s"] * t * g * (1 - g)
+        dh = w[:, None] * dz[bag] + dt @ p["v"].T + dg @ p["u"].T
+        dpre = dh * (1 - h * h)
+        xs = ((x - self.mean) / self.scale).clip(-8, 8)
+        return {"o": z.T @ d, "b": np.array([d.sum()], p["b"].dtype), "s": (t * g).T @ da, "v": h.T @ dt, "u": h.T @ dg, "w": xs.T @ dpre, "c": dpre.sum(axis=0)}
+
     def logits(self, texts: list[str | None]) -> np.ndarray:
-        x, bag = describe(texts)
+        x, bag = describe([ended(t) for t in texts])
         return self.forward(x, bag, len(texts))[0]
 
+    def long_logit(self, raw: bytes) -> float:
+        """The same for one text of any length, part by part: attention needs the largest weight so far, and sums."""
+        top, total, z = -np.inf, 0.0, np.zeros(ENCODED)
+        p = self.p
+        for part in pieces(raw, MOST):
+            x, _ = describe([part])
+            h = np.tanh(((x - self.mean) / self.scale).clip(-8, 8) @ p["w"] + p["c"])
+            a = (np.tanh(h @ p["v"]) * sigmoid(h @ p["u"])) @ p["s"]
+            most = max(top, float(a.max()))
+            e, old = np.exp(a - most), float(np.exp(top - most))
+            total, z, top = total * old + float(e.sum()), z * old + e @ h, most
+        return float((z / total) @ p["o"] + p["b"][0])
+
     def scores(self, texts: list[str | None]) -> list[float]:
+        """Of at most 50 texts and `MOST` bytes at once; longer texts one by one, in parts."""
         if self.constant is not None:
             return [self.constant] * len(texts)
-        out: list[float] = []
-        for a in range(0, len(texts), 50):
-            out += sigmoid(self.logits(texts[a : a + 50]).astype(np.float64) + self.shift).tolist()
-        return out
+        logits: list[float] = []
+        some: list[str | None] = []
+        size = 0
+
+        def close() -> None:
+            if some:
+                logits.extend(self.logits(some).tolist())
+                some.clear()
+
+        for t in texts:
+            n = len(raw := ended(t))
+            if some and (len(some) == 50 or size + n > MOST):
+                close()
+            if not some:
+                size = 0
+            if n > MOST:
+                close()
+                logits.append(self.long_logit(raw))
+            else:
+                some.append(t)
+                size += n
+        close()
+        return sigmoid(np.array(logits, np.float64) + self.shift).tolist()
 
 
 def train(rows: list[tuple[str, int]], seed: int = 11) -> Model:
@@ -138,7 +217,7 @@ def train(rows: list[tuple[str, int]], seed: int = 11) -> Model:
     if len(set(y.tolist())) < 2:
         m.constant = float(y.mean()) if len(y) else 0.5
         return m
-    bags = [describe([t])[0] for t, _ in rows]
+    bags = [describe([ended(t)])[0] for t, _ in rows]
     every = np.concatenate(bags)
     m.mean, m.scale = every.mean(axis=0), every.std(axis=0) + 0.02
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) * len(y)
@@ -149,18 +228,8 @@ def train(rows: list[tuple[str, int]], seed: int = 11) -> Model:
             some = perm[at : at + BATCH]
             x = np.concatenate([bags[i] for i in some])
             bag = np.repeat(np.arange(len(some)), [len(bags[i]) for i in some])
-            logit, h, t, g, w, z = m.forward(x, bag, len(some))
-            p = m.p
-            d = ((sigmoid(logit) - y[some]) * weight[some] / len(some)).astype(np.float32)
-            dz = d[:, None] * p["o"]
-            dw = (dz[bag] * h).sum(axis=1)
-            first = np.searchsorted(bag, np.arange(len(some)))
-            da = w * (dw - np.add.reduceat(w * dw, first)[bag])
-            dt, dg = da[:, None] * p["s"] * g * (1 - t * t), da[:, None] * p["s"] * t * g * (1 - g)
-            dh = w[:, None] * dz[bag] + dt @ p["v"].T + dg @ p["u"].T
-            dpre = dh * (1 - h * h)
-            xs = ((x - m.mean) / m.scale).clip(-8, 8)
-            grads = {"o": z.T @ d, "b": np.array([d.sum()], np.float32), "s": (t * g).T @ da, "v": h.T @ dt, "u": h.T @ dg, "w": xs.T @ dpre + 1e-4 * p["w"], "c": dpre.sum(axis=0)}
+            grads = m.gradients(x, bag, y[some], weight[some])
+            grads["w"] += 1e-4 * m.p["w"]
             adam.step(grads, 0.005 if epoch < EPOCHS * 2 // 3 else 0.0015)
     return m
 
