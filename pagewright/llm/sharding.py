@@ -4,6 +4,10 @@ Each record hashes into one of a fixed number of virtual slots. Bytes are summed
 says to which shard each slot belongs. The table has versions: rebalancing edits it and writes the next version,
 and records move only if their slot's entry changed. All of it is DataFrame operations.
 
+A record's slot comes from its key. A slot with many records and more than its share of the bytes, as a key that occurs
+often makes it, is split: its records go to slots by key, size and checksum, and copies that are equal in all of these
+to consecutive slots. Equal records are counted first, so that no key, however often it occurs, fills a slot or a task.
+
 Defined results: a null text has no bytes (size 1, checksum 0 of the empty string); a null id hashes like the word
 "null"; repeated rows are separate records with positions of their own; an empty table gives no rows.
 """
@@ -18,6 +22,10 @@ from . import common
 
 #: Virtual slots; fixed for the life of a dataset. The slot table has as many rows, whatever the input.
 VIRTUAL_SLOTS = 4096
+#: Copies of one record that a task makes.
+BLOCK = 1 << 16
+#: A slot is split if it has more records than these, and more bytes than a shard's divided by `PARTS`.
+RECORDS, PARTS = 64, 256
 
 
 def virtual_slot(key: Column, slots: int = VIRTUAL_SLOTS) -> Column:
@@ -77,14 +85,40 @@ def read_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return every.filter(F.col("version") == at)
 
 
+def copies(groups: DataFrame, slots: int = VIRTUAL_SLOTS) -> DataFrame:
+    """Rows with their slot (vslot) from rows with a count `n`, a slot `h`, and whether the slot is split: then copy j is in
+    slot (h + j) modulo the slots. Counts of more than `BLOCK` are cut first and dealt out."""
+
+    def spread(df: DataFrame, first: Column, count: Column) -> DataFrame:
+        df = df.withColumn("j", F.explode(F.sequence(first, first + count - 1)))
+        at = F.when(F.col("split"), F.pmod(F.col("h") + F.col("j"), F.lit(slots))).otherwise(F.col("h"))
+        return df.withColumn("vslot", at.cast("int")).drop("j", "n", "h", "split")
+
+    few = spread(groups.filter(F.col("n") <= BLOCK), F.lit(0).cast("long"), F.col("n"))
+    many = groups.filter(F.col("n") > BLOCK).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {BLOCK}"))))
+    many = many.repartition(F.xxhash64("h", "block"))
+    begin = F.col("block") * BLOCK
+    return few.unionByName(spread(many, begin, F.least(F.lit(BLOCK).cast("long"), F.col("n") - begin)).drop("block"))
+
+
 def shard(docs: DataFrame, shards: int = 8, slots: int = VIRTUAL_SLOTS, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """Put all records into shards of nearly equal bytes.
 
     Returns key, size, text_crc32, vslot, shard, slot (position within the shard, gapless from 0) and map_version."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
-    records = docs.select(F.col(key), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), virtual_slot(F.col(key), slots).alias("vslot"))
     path = path or common.scratch(spark, "slot-map")
+    rows = docs.select(F.col(key), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
+    groups = rows.groupBy(key, "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    groups.withColumn("h", virtual_slot(F.col(key), slots).cast("long")).write.mode("errorifexists").parquet(f"{path}-records")
+    groups = spark.read.parquet(f"{path}-records")
+    loads = groups.groupBy("h").agg(F.sum("n").alias("records"), F.sum(F.col("n") * F.col("size")).alias("bytes"))
+    # a row for each slot at most
+    share = loads.withColumn("all", F.sum("bytes").over(W.partitionBy(F.lit(0))))
+    hot = share.filter((F.col("records") > RECORDS) & (F.col("bytes") * (shards * PARTS) > F.col("all"))).select("h", F.lit(True).alias("split"))
+    groups = groups.join(F.broadcast(hot), "h", "left").withColumn("split", F.coalesce("split", F.lit(False)))
+    name = F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("null")), "size", "text_crc32")
+    records = copies(groups.withColumn("h", F.when(F.col("split"), virtual_slot(name, slots).cast("long")).otherwise(F.col("h"))), slots)
     totals = slot_totals(records, slots)
     totals.write.mode("errorifexists").parquet(f"{path}-totals")  # both the map and the offsets come from it
     totals = spark.read.parquet(f"{path}-totals")
