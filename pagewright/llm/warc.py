@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Bytes that the headers of a record, or of HTTP in it, may have.
+HEADERS = 1 << 20
 #: An archive file is closed beyond this size, and a task goes on with another.
 ROLL_BYTES = 256 << 20
 CHUNK = 1 << 16
@@ -91,7 +93,22 @@ def _number(urn: str | None) -> int | None:
 
 
 def read_records(stream, payloads: bool = False) -> Iterator[dict]:
-    """The records of an archive, in order, each checked against its headers."""
+    """The records of an archive, in order, each checked against its headers. Whatever is wrong with an archive is a
+    `WarcError`; the records before it have been given by then."""
+    records = _records(stream, payloads)
+    while True:
+        try:
+            record = next(records)
+        except StopIteration:
+            return
+        except WarcError:
+            raise
+        except (zlib.error, KeyError, ValueError, EOFError, OverflowError) as e:
+            raise WarcError(f"{type(e).__name__}: {e}") from e
+        yield record
+
+
+def _records(stream, payloads: bool) -> Iterator[dict]:
     members = Members(stream)
     while members.more():
         begin = members.at
@@ -102,12 +119,16 @@ def read_records(stream, payloads: bool = False) -> Iterator[dict]:
             if piece is None:
                 raise WarcError("a record without end of headers")
             head += piece
+            if len(head) > HEADERS and b"\r\n\r\n" not in head[: HEADERS + 4]:
+                raise WarcError("headers that are too long")
         head, _, rest = head.partition(b"\r\n\r\n")
         version, *lines = head.decode("utf-8").split("\r\n")
         if not version.startswith("WARC/"):
             raise WarcError(f"not a record: {version[:40]!r}")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         left = int(headers["content-length"])
+        if left < 0:
+            raise WarcError("a length below zero")
         block, body, before, kept, size, tail = hashlib.sha1(), hashlib.sha1(), b"", [], 0, b""
         inside = not headers.get("content-type", "").startswith("application/http")  # else the payload follows the HTTP headers
         while True:
@@ -119,6 +140,8 @@ def read_records(stream, payloads: bool = False) -> Iterator[dict]:
                 before += mine
                 if b"\r\n\r\n" in before:
                     inside, mine = True, before.partition(b"\r\n\r\n")[2]
+                elif len(before) > HEADERS:
+                    raise WarcError("HTTP headers that are too long")
                 else:
                     mine = b""
             body.update(mine)
@@ -169,7 +192,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
                 if out is None:
                     store.create_dir(root, recursive=True)
                     path, n, size = f"pages-{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = store.open_output_stream(f"{root}/.{path}")
+                    out = store.open_output_stream(f"{root}/.{path}", compression=None)  # the records are compressed, one by one
                 n += 1
                 size += out.write(page_record(k, u, data, r, v))
                 if size >= ROLL_BYTES:
@@ -180,14 +203,16 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
 
     manifest = f"{folder.rstrip('/')}/manifest"
     planned.mapInArrow(run, "path string, n_records long, n_bytes long").write.parquet(manifest)
+    common.discard(spark, where)
     return spark.read.parquet(manifest)
 
 
-FIELDS = "record_id string, key long, record_type string, target_uri string, payload_bytes long, payload_digest string, refers_to long, offset long, length long, payload binary"
+FIELDS = "record_id string, key long, record_type string, target_uri string, payload_bytes long, payload_digest string, refers_to long, offset long, length long, payload binary, error string"
 
 
 def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
-    """All records of the archives that the folder's list names: one task per archive, in its order."""
+    """All records of the archives that the folder's list names: one task per archive, in its order. A damaged archive
+    gives the records before the damage, and one row of type `error` that names the archive and what is wrong."""
     common.ship(spark)
     listed = spark.read.parquet(f"{folder.rstrip('/')}/manifest").select("path")
     names = [x.split()[0] for x in FIELDS.split(", ")]
@@ -198,9 +223,17 @@ def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
         store, root = pafs.FileSystem.from_uri(folder)
         for b in batches:
             for path in b.column(0).to_pylist():
-                with store.open_input_stream(f"{root}/{path}") as stream:
+                with store.open_input_stream(f"{root}/{path}", compression=None) as stream:
                     part, held = [], 0
-                    for r in read_records(stream, payloads):
+                    records = read_records(stream, payloads)
+                    while True:
+                        try:
+                            r = next(records, None)
+                        except WarcError as e:
+                            part.append({"record_type": "error", "target_uri": path, "error": str(e)})
+                            r = None
+                        if r is None:
+                            break
                         part.append(r)
                         held += len(r["payload"] or b"")
                         if len(part) >= 5000 or held >= 16 << 20:
