@@ -44,8 +44,18 @@ CONTRACTS = {
     "fix_encoding": Contract("text string", "text string", "an encoding repair library"),
 }
 _PLUGGED: dict[str, Callable[..., DataFrame]] = {}
-#: Stages that this library has a reader for, used unless another is plugged in: module and function.
-BUILT = {"pdf_text": ("pagewright.sources.pdf", "text"), "pdf_outline": ("pagewright.sources.pdf", "outline"), "fix_encoding": ("pagewright.functions.text", "encoding_fixed")}
+#: Stages that this library has something for, used unless another is plugged in: module and function. Layout and order
+#: come from the places of text (doc_id, pnum, x0, y0, x1, y1) instead of images, and know no kinds of regions but text.
+BUILT = {
+    "layout_detection": ("pagewright.operators.columns", "layout"),
+    "reading_order": ("pagewright.operators.columns", "order"),
+    "pdf_text": ("pagewright.sources.pdf", "text"),
+    "pdf_outline": ("pagewright.sources.pdf", "outline"),
+    "fix_encoding": ("pagewright.functions.text", "encoding_fixed"),
+}
+
+#: Columns without which what is built in can't do a stage.
+FROM = {name: {"doc_id", "pnum", "x0", "y0", "x1", "y1"} for name in ("layout_detection", "reading_order")}
 
 
 def plug(name: str, run: Callable[..., DataFrame]) -> None:
@@ -64,7 +74,7 @@ def run(name: str, *inputs: DataFrame, **options) -> DataFrame:
     contract = CONTRACTS[name]
     if name in _PLUGGED:
         stage = _PLUGGED[name]
-    elif name in BUILT:
+    elif name in BUILT and FROM.get(name, set()) <= {c for df in inputs for c in df.columns}:
         stage = getattr(importlib.import_module(BUILT[name][0]), BUILT[name][1])
     else:
         raise NotAvailable(f"{name} needs {contract.needs}, which isn't here; see models.plug")

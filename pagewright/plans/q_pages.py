@@ -374,3 +374,39 @@ def equation_batches(spark, sf_dir):
     limits = P.batch_limits(eq, ["doc_id"], ["pnum", "box_idx"])
     guess = F.when(F.col("box_idx") % 2 == 0, F.rpad("source", 640, "x")).otherwise(F.col("source"))
     return limits.select(*KEY, "box_idx", "max_length", P.unless_run_on(guess, F.col("max_length")).alias("latex"))
+
+
+def _sql_columns(depth: int) -> str:
+    """Runs of 100 words as blocks of one to three columns, below a heading on every other page, cut at empty bands."""
+    steps = ["""
+with w as (select doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') w from documents),
+i as (select doc_id, unnest(range(0, (len(w) + 99) // 100)) i from w),
+p as (select doc_id, i, i // 12 pnum, i % 12 k, 1 + doc_id % 3 c, (doc_id + i // 12) % 2 h from i),
+b as (select doc_id, pnum, i, case when h = 1 and k = 0 then 50.0 else 50.0 + (k - h) // (12 // c) * (520.0 / c) end x0, case when h = 1 and k = 0 then 40.0 else 80.0 + (k - h) % (12 // c) * 50.0 end y0,
+  case when h = 1 and k = 0 then 570.0 else 50.0 + (k - h) // (12 // c) * (520.0 / c) + 520.0 / c - 20 end x1, case when h = 1 and k = 0 then 60.0 else 80.0 + (k - h) % (12 // c) * 50.0 + 45 end y1 from p),
+r0 as (select *, cast([] as int[]) region from b)"""]
+    for n in range(depth):
+        for axis, source in (("x", f"r{n}"), ("y", f"x{n}")):
+            along = f"partition by doc_id, pnum, region order by {axis}0, {axis}1, i"
+            steps.append(f"{axis}g{n} as (select *, coalesce({axis}0 - max({axis}1) over ({along} rows between unbounded preceding and 1 preceding), 0) g{axis} from {source})")
+            rest = ", gy" if axis == "y" else ""
+            steps.append(f"{axis}{n} as (select * replace (max(g{axis}) over (partition by doc_id, pnum, region) as g{axis}), sum(case when g{axis} >= 8 then 1 else 0 end) over ({along}) n{axis} from {axis}g{n})" if not rest else f"y{n} as (select * replace (max(gy) over (partition by doc_id, pnum, region) as gy), sum(case when gy >= 8 then 1 else 0 end) over ({along}) ny from yg{n})")
+        steps.append(f"r{n + 1} as (select doc_id, pnum, i, x0, y0, x1, y1, list_append(region, cast(case when gx >= 8 and (gx > gy or gy < 8) then nx else ny end as int)) region from y{n})")
+    return ",\n".join(steps) + f"""
+select doc_id, pnum, i block_no, cast(row_number() over (partition by doc_id, pnum order by region, round(y0 / 1.25), x0, i) - 1 as int) place from r{depth}"""
+
+
+@query(_sql_columns(3))
+def column_order(spark, sf_dir):
+    """Blocks of pages with columns, in reading order without a model."""
+    from ..functions import text as T
+    from ..operators import columns
+    from ..session import table
+
+    w = F.size(T.words(F.col("text")))
+    i = table(spark, sf_dir, "documents").select("doc_id", w.alias("n")).filter("n > 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.expr("(n + 99) div 100 - 1").cast("int"))).alias("i"))
+    p = i.selectExpr("doc_id", "i", "i div 12 as pnum", "i % 12 as k", "1 + doc_id % 3 as c", "(doc_id + i div 12) % 2 as h")
+    head = "h = 1 and k = 0"
+    x0, y0 = "50 + (k - h) div (12 div c) * (520D / c)", "80 + (k - h) % (12 div c) * 50D"
+    b = p.selectExpr("doc_id", "pnum", "i as block_no", f"case when {head} then 50D else {x0} end as x0", f"case when {head} then 40D else {y0} end as y0", f"case when {head} then 570D else {x0} + 520D / c - 20 end as x1", f"case when {head} then 60D else {y0} + 45 end as y1")
+    return columns.reading_order(b, depth=3).select("doc_id", F.col("pnum").cast("long").alias("pnum"), F.col("block_no").cast("long").alias("block_no"), "place")
