@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .. import sinks
+from .. import sinks, store
 from ..operators import document as D
 from ..operators import page as P
 from ..session import scratch, table
@@ -329,3 +329,17 @@ def src_csv_ranges(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", said.alias("text"))
     turns.coalesce(4).write.option("header", True).option("escape", '"').csv(out)
     return csv_ranges.read(spark, out).select("content")
+
+
+@query("""select doc_id, case when doc_id % 5 = 0 then upper(coalesce(text, '')) else text end as text, cast(case when doc_id % 5 = 0 then 2 else 1 end as integer) as version
+from documents where (doc_id % 3 <> 0 or doc_id % 5 = 0) and (doc_id % 7 <> 0 or doc_id % 5 = 0)""")
+def store_versions(spark, sf_dir):
+    """Documents put, replaced and deleted in a store with versions; one batch comes twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = store.Store(spark, scratch(spark, "documents-store"))
+    first = docs.filter("doc_id % 3 <> 0").withColumn("version", F.lit(1))
+    kept.write("first", first)
+    replaced = docs.filter("doc_id % 5 = 0").select("doc_id", F.upper(F.coalesce("text", F.lit(""))).alias("text"), F.lit(2).alias("version"))
+    kept.write("second", replaced, docs.filter("doc_id % 7 = 0"))
+    kept.write("first", first)
+    return kept.read()
