@@ -331,7 +331,7 @@ def src_csv_ranges(spark, sf_dir):
     return csv_ranges.read(spark, out).select("content")
 
 
-@query("""select doc_id, case when doc_id % 5 = 0 then upper(coalesce(text, '')) else text end as text, cast(case when doc_id % 5 = 0 then 2 else 1 end as integer) as version
+@query("""select doc_id, case when doc_id % 5 = 0 then 'again: ' || coalesce(text, '') else text end as text, cast(case when doc_id % 5 = 0 then 2 else 1 end as integer) as version
 from documents where (doc_id % 3 <> 0 or doc_id % 5 = 0) and (doc_id % 7 <> 0 or doc_id % 5 = 0)""")
 def store_versions(spark, sf_dir):
     """Documents put, replaced and deleted in a store with versions; one batch comes twice."""
@@ -339,7 +339,7 @@ def store_versions(spark, sf_dir):
     kept = store.Store(spark, scratch(spark, "documents-store"))
     first = docs.filter("doc_id % 3 <> 0").withColumn("version", F.lit(1))
     kept.write("first", first)
-    replaced = docs.filter("doc_id % 5 = 0").select("doc_id", F.upper(F.coalesce("text", F.lit(""))).alias("text"), F.lit(2).alias("version"))
+    replaced = docs.filter("doc_id % 5 = 0").select("doc_id", F.concat(F.lit("again: "), F.coalesce("text", F.lit(""))).alias("text"), F.lit(2).alias("version"))
     kept.write("second", replaced, docs.filter("doc_id % 7 = 0"))
     kept.write("first", first)
     return kept.read()
