@@ -1,4 +1,5 @@
-"""Chunkers: text column to array of chunks. All but topic segmentation are column expressions."""
+"""Chunkers: text column to array of chunks. All but topic segmentation are column expressions; `chunk` takes topic segments
+from `topics`, which spreads long texts over tasks, and `tile` is the same idea for one text at a time."""
 
 from __future__ import annotations
 
@@ -13,6 +14,7 @@ from pyspark.sql import Window as W
 
 from . import sentences
 from . import text as T
+from . import topics
 
 # English stop words of the common list.
 STOP_WORDS = (
@@ -139,7 +141,7 @@ CHUNKERS: dict[str, Callable[..., Column]] = {"regex": regex_chunks, "sentence":
 
 
 #: Chunkers that work on whole tables: functions of a table, `key`, `text` and options, that give key, pos, chunk.
-TABLE_CHUNKERS: dict[str, Callable[..., DataFrame]] = {"learned_sentence": sentences.sentences}
+TABLE_CHUNKERS: dict[str, Callable[..., DataFrame]] = {"learned_sentence": sentences.sentences, "topic": topics.segments}
 
 
 def chunk(docs: DataFrame, strategy: str, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

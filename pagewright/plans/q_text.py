@@ -162,14 +162,52 @@ def chunk_sliding(spark, sf_dir):
     return C.chunk(_docs(spark, sf_dir), "sliding").select("doc_id", F.col("pos").cast("long").alias("pos"), "chunk")
 
 
-@query()
+def _sql_topics(width: int = 20, around: int = 10) -> str:
+    by = "partition by r order by g"
+    return rf"""
+with d as (select doc_id, row_number() over () r, coalesce(text, '') as text from documents where regexp_replace(coalesce(text, ''), '[\s\x{{a0}}]+', '', 'g') <> ''),
+x as (select *, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+[^\p{{L}}\p{{N}}_]*') x from d),
+e as (select r, (len(x) + {width - 1}) // {width} nb, unnest(range(0, len(x))) i, unnest(x) piece from x where (len(x) + {width - 1}) // {width} >= 3),
+c as (select r, nb, i // {width} p, lower(regexp_extract(piece, '[\p{{L}}\p{{N}}_]+')) w, case when contains(piece, chr(10)) then i + 1 end ends from e),
+n as materialized (select r, nb, p, w, count(*) n from c where w not in ({", ".join("'" + w.replace("'", "''") + "'" for w in C.STOP_WORDS)}) group by all),
+gaps as (select r, nb, unnest(range(1, nb)) g from (select distinct r, nb from e)),
+k as (select *, least({around}, g, nb - g) k from gaps),
+h as (select k.r, g, w, sum(case when p < g then n else 0 end) a, sum(case when p >= g then n else 0 end) b from k join n on n.r = k.r and p >= g - k and p < g + k group by all),
+v as (select r, g, sum(a * b) ab, sum(a * a) aa, sum(b * b) bb from h group by all),
+s0 as (select k.r, k.g, case when sqrt(cast(aa as double) * cast(bb as double)) > 0 then cast(ab as double) / sqrt(cast(aa as double) * cast(bb as double)) else 0 end s from k left join v on v.r = k.r and v.g = k.g),
+s1 as (select r, g, (coalesce(lag(s) over ({by}), s) + s + coalesce(lead(s) over ({by}), s)) / 3 s from s0),
+s2 as (select *, case when coalesce(lag(s) over ({by}) < s, true) then s end l, case when coalesce(lead(s) over ({by}) < s, true) then s end rr from s1),
+s3 as (select r, g, last_value(l ignore nulls) over ({by} rows between unbounded preceding and current row) + first_value(rr ignore nulls) over ({by} rows between current row and unbounded following) - 2 * s depth from s2),
+s4 as (select *, greatest(avg(depth) over (partition by r) - stddev_pop(depth) over (partition by r) / 2, 0) cut, coalesce(max(depth) over ({by} rows between 3 preceding and 1 preceding), -1) b, coalesce(max(depth) over ({by} rows between 1 following and 3 following), -1) a from s3),
+f as (select r, g from s4 where depth > cut and depth > b and depth >= a),
+l as (select r, p g, min(ends) first, max(ends) last from c group by all),
+m as (select r, g, max(last) over ({by} rows between unbounded preceding and 1 preceding) b, min(first) over ({by} rows between current row and unbounded following) a from l),
+cuts as (select r, list_sort(list(distinct cut)) cuts from (select f.r, coalesce(case when b is null then a when a is null or f.g * {width} - b <= a - f.g * {width} then b else a end, f.g * {width}) cut from f join m on m.r = f.r and m.g = f.g) group by r),
+t as (select doc_id, x.r, text, x, list_concat([0], list_filter(coalesce(cuts, []), lambda c: c > 0 and c < len(x)), [len(x)]) ends from x left join cuts on cuts.r = x.r),
+u as (select *, unnest(range(1, len(ends))) q from t),
+z as (select doc_id, r, q - 1 pos, text, ends[q] b, ends[q + 1] e, len(x) n, array_to_string(x[ends[q] + 1:ends[q + 1]], '') own, x[ends[q]] before, x[ends[q + 1]] final from u)
+select doc_id, pos, case when pos = 0 then regexp_extract(text, '^[^\p{{L}}\p{{N}}_]*') when contains(before, chr(10)) then regexp_extract(before, '[^\n]*$') else '' end
+  || substring(own, 1, length(own) - case when e < n and contains(final, chr(10)) then length(regexp_extract(final, '[^\n]*$')) else 0 end) chunk from z
+"""
+
+
+@query(_sql_topics())
 def chunk_topic(spark, sf_dir):
-    return C.chunk(_docs(spark, sf_dir), "topic")
+    return C.chunk(_docs(spark, sf_dir), "topic").select("doc_id", F.col("pos").cast("long").alias("pos"), "chunk")
 
 
-@query()
+@query(
+    rf"""
+with segments as ({_sql_topics()}),
+t as (select doc_id, pos, regexp_extract_all(chunk, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]') w from segments),
+u as (select doc_id, pos, unnest(range(0, len(w))) i, unnest(w) token from t),
+k as (select doc_id, pos, lower(token) keyword, count(*) n, min(i) f from u
+  where token not in ({", ".join("'" + w.replace("'", "''") + "'" for w in C.STOP_WORDS)}) and not contains('{C.PUNCTUATION.replace("'", "''")}', token) group by all),
+r as (select *, row_number() over (partition by doc_id, pos order by n desc, f) "rank" from k)
+select doc_id, pos, keyword, n, cast("rank" as int) "rank" from r where "rank" <= 3"""
+)
 def chunk_topic_keywords(spark, sf_dir):
-    return C.top_keywords(C.chunk(_docs(spark, sf_dir), "topic"), ["doc_id", "pos"], "chunk")
+    return C.top_keywords(C.chunk(_docs(spark, sf_dir), "topic").withColumn("pos", F.col("pos").cast("long")), ["doc_id", "pos"], "chunk")
 
 
 @query(
