@@ -216,9 +216,60 @@ def fix_encoding(c: Column, rounds: int = 2) -> Column:
     return F.when(c.rlike(r"[\xc2-\xf4]"), F.array_join(F.transform(F.split(c, "\n", -1), times), "\n")).otherwise(c)
 
 
+#: Code pages that UTF-8 is often read by, the likeliest first.
+CODE_PAGES = ("cp1252", "latin_1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "koi8_r")
+
+
+def code_page(name: str) -> tuple[str, str]:
+    """Letters of the upper half of a code page, and the bytes that they are (as Latin-1). Bytes that the page lacks stand
+    for themselves."""
+    letters = {b: bytes([b]).decode(name, "replace") for b in range(0x80, 0x100)}
+    return "".join(chr(b) if x == "\ufffd" else x for b, x in letters.items()), "".join(map(chr, letters))
+
+
+def _sequences(letters: str) -> str:
+    """A pattern for what one letter of UTF-8 beyond ASCII looks like in a code page."""
+    shown = lambda a, b: "[" + "".join(f"\\x{{{ord(x):x}}}" for x in letters[a - 0x80 : b - 0x80]) + "]"
+    more = shown(0x80, 0xC0)
+    return f"{shown(0xC2, 0xE0)}{more}|{shown(0xE0, 0xF0)}{more}{more}|{shown(0xF0, 0xF5)}{more}{more}{more}"
+
+
+def fix_mixed_encoding(c: Column, pages: tuple[str, ...] = CODE_PAGES, rounds: int = 2) -> Column:
+    """UTF-8 that was read by a wrong code page in parts of a text only, word by word, up to so many times over.
+
+    A word (what stands between ASCII white space) is mended by a page if all of its letters beyond ASCII come in groups
+    that are valid UTF-8 in that page; one right letter leaves the word as it is, and other words are no matter. A word of letters alone may well be right in the
+    rarer pages, so that these need a letter beyond ASCII that is a sign. If several
+    pages fit, the result with the fewest odd characters is taken (others than letters, marks, digits, punctuation and
+    money), then the likelier page. Null stays null."""
+    known = [(*code_page(p), _sequences(code_page(p)[0]), p in ("cp1252", "latin_1")) for p in pages]
+    if not known:
+        return c
+
+    def mend(word: Column) -> Column:
+        options = []
+        strange = word.rlike(r"[^\x00-\x7f\p{L}\p{M}\p{Nd}]")
+        for k, (letters, as_bytes, pattern, western) in enumerate(known):
+            fits = (strange | F.lit(western)) & word.rlike(pattern) & F.regexp_replace(word, pattern, "").rlike(r"^[\x00-\x7f]*$")
+            back = F.when(fits, F.encode(F.translate(word, letters, as_bytes), "ISO-8859-1")).cast("string")
+            odd = F.length(F.regexp_replace(back, r"[\p{L}\p{M}\p{N}\p{P}\p{Sc}\x20-\x7e]", ""))
+            options.append(F.when(F.is_valid_utf8(back), F.struct(odd.alias("odd"), F.lit(k).alias("page"), back.alias("text"))))
+        return F.coalesce(F.array_min(F.array(*options))["text"], word)
+
+    def once(word: Column) -> Column:
+        # most words have no two letters beyond ASCII beside each other
+        out = word
+        for _ in range(rounds):
+            out = F.transform(F.array(out), lambda x: F.when(x.rlike(r"[^\x00-\x7f]{2}"), mend(x)).otherwise(x))[0]
+        return out
+
+    words = F.regexp_extract_all(c, F.lit(r"[^ \t\r\n\x0B\f]+|[ \t\r\n\x0B\f]+"), F.lit(0))
+    return F.when(c.rlike(r"[^\x00-\x7f]{2}"), F.array_join(F.transform(words, once), "")).otherwise(c)
+
+
 def encoding_fixed(texts: DataFrame) -> DataFrame:
-    """The stage `fix_encoding`: the column text, mended."""
-    return texts.withColumn("text", fix_encoding(F.col("text")))
+    """The stage `fix_encoding`: the column text, mended by lines and then by words."""
+    return texts.withColumn("text", fix_mixed_encoding(fix_encoding(F.col("text"))))
 
 
 def fix_text(c: Column) -> Column:

@@ -402,3 +402,14 @@ def fix_encoding(spark, sf_dir):
     d = _docs(spark, sf_dir)
     mixed = F.concat("text", F.lit("é"))
     return d.select("doc_id", T.fix_encoding(misread(F.col("text"))).alias("once"), T.fix_encoding(misread(misread(F.col("text")))).alias("twice"), T.fix_encoding(F.col("text")).alias("kept"), T.fix_encoding(mixed).alias("mixed"))
+
+
+@query("""select doc_id, cast(p as integer) page, 'é right ' || regexp_replace(text, '[\\x{e0}-\\x{ff}]', 'ô', 'g') || ' über ñ' as text
+from (select doc_id, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7f\\x{c0}-\\x{ff}]', '', 'g') as text from documents), (select unnest([0, 1, 2, 3]) p)""")
+def fix_mixed_encoding(spark, sf_dir):
+    """Texts that were read by four code pages, between words that are right; mended word by word."""
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7f\xc0-\xff]", ""), r"[\xe0-\xff]", "ô")
+    latin = F.decode(plain.cast("binary"), "ISO-8859-1")
+    misread = [F.translate(latin, as_bytes, letters) for letters, as_bytes in map(T.code_page, ("latin_1", "mac_roman", "cp437", "cp850"))]
+    d = _docs(spark, sf_dir).select("doc_id", F.explode(F.array(*[F.struct(F.lit(i).alias("page"), t.alias("t")) for i, t in enumerate(misread)])).alias("m"))
+    return d.select("doc_id", "m.page", T.fix_mixed_encoding(F.concat(F.lit("é right "), "m.t", F.lit(" über ñ"))).alias("text"))
