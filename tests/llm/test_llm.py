@@ -720,7 +720,7 @@ def test_pipeline(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_oracle(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = queries.queries()[name](spark, SF)
     columns = sorted(got.columns)
