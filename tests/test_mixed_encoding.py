@@ -46,3 +46,15 @@ def test_right_letters_are_left_alone(spark):
 def test_stage_mends_lines_and_words(spark):
     d = spark.createDataFrame([(1, "é wrÃ©ng", 5)], "doc_id long, text string, n int")
     assert [tuple(r) for r in T.encoding_fixed(d).collect()] == [(1, "é wréng", 5)]
+
+
+def test_letters_that_a_page_lacks_are_no_bytes(spark):
+    # in mac_roman, Ð is no letter and would stand for a byte; a line separator isn't lost with a mended word
+    word = "Ð∞"
+    assert run(spark, [word], pages=("mac_roman",)) == [word]
+    assert run(spark, ["Ã©\u2028"]) == ["Ã©\u2028"]
+
+
+def test_only_odd_words_are_taken_out(spark):
+    long = "x" * 20000
+    assert run(spark, [f"Ã© {long} Ã¨\t{long}\nÃ©", f"{long}Ã© a", "  Ã©  "]) == [f"é {long} è\t{long}\né", f"{long}é a", "  é  "]
