@@ -114,3 +114,11 @@ def test_a_long_text_is_spread(spark):
     assert scores.count() == n - 1
     plan = topics.segments(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "NestedLoop" not in plan
+
+
+def test_counts_never_move(spark):
+    """Texts move, once to be counted and once to be cut; counts of words stay where their text is."""
+    docs = spark.createDataFrame([(1, topical(5, [60] * 4, True)), (None, "a b c")], "doc_id long, text string")
+    plan = topics.segments(docs)._jdf.queryExecution().executedPlan().toString()
+    moves = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert moves and not any(f"{c}#" in x.split("hashpartitioning(")[1] for x in moves for c in ("tile", "p", "w", "g", "n_blocks")), moves
