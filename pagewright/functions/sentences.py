@@ -52,6 +52,12 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[^{SPACE}]+[{SPACE}]*"), F.lit(0))
 
 
+def _parts(text: Column) -> Column:
+    """A text in parts of whole pieces: each ends at the first piece that may end a sentence, the last one with the text."""
+    end = r"""[.!?…。！？]["')\]}»”’›]*"""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?s)(?=[^{SPACE}])(?:.*?{end}(?:[{SPACE}]+|\z)|.+)"), F.lit(0))
+
+
 def _core(piece: Column) -> Column:
     """A word without marks around it; periods at its end stay."""
     return F.regexp_replace(piece, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$", "")
@@ -82,43 +88,39 @@ def _case(piece: Column) -> Column:
 
 def words(docs: DataFrame, text: str = "text") -> DataFrame:
     """(type, n_period, n_plain, n_lower, n_upper_inside) of every word with a letter or digit, over all texts."""
-    p = docs.select(pieces(F.col(text)).alias("p"))
-    each = p.select(F.explode(F.transform("p", lambda x, i: F.struct(x.alias("x"), F.when(i > 0, F.get("p", i - 1)).alias("before")))).alias("e")).select("e.*")
+    # equal words are one with counts before any of them is looked at; what isn't first behind a possible end stands inside
+    part = docs.select(F.explode(_parts(F.col(text))).alias("part"))
+    each = part.select(F.posexplode(F.regexp_extract_all("part", F.lit(f"[^{SPACE}]+"), F.lit(0))).alias("i", "x"))
+    some = each.groupBy("x", (F.col("i") > 0).alias("inside")).agg(F.count(F.lit(1)).alias("n"))
     # a comma behind an abbreviation's period doesn't make it another word
     period = _core(F.col("x")).rlike(r"(^|[^.])\.$")
-    inside = F.col("before").isNotNull() & _kind(F.col("before")).isNull()
-    rows = each.select(word_type(F.col("x")).alias("type"), period.alias("period"), _case(F.col("x")).alias("case"), inside.alias("inside")).filter(F.col("type") != "")
+    rows = some.select(word_type(F.col("x")).alias("type"), period.alias("period"), _case(F.col("x")).alias("case"), "inside", "n").filter(F.col("type") != "")
+    of = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     return rows.groupBy("type").agg(
-        F.count_if("period").alias("n_period"),
-        F.count_if(~F.col("period")).alias("n_plain"),
-        F.count_if(F.col("case") == "l").alias("n_lower"),
-        F.count_if((F.col("case") == "u") & F.col("inside")).alias("n_upper_inside"),
+        of(F.col("period")).alias("n_period"),
+        of(~F.col("period")).alias("n_plain"),
+        of(F.col("case") == "l").alias("n_lower"),
+        of((F.col("case") == "u") & F.col("inside")).alias("n_upper_inside"),
     )
 
 
 def segments(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """The columns of `key`, pos, segment, and what stands at its end: type, kind, next, case. A segment ends where a
-    sentence may, or with the text (kind null)."""
-    p = docs.select(*key, pieces(F.col(text)).alias("p")).filter(F.size("p") > 0)
-    last = F.size("p") - 1
-    ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | _kind(F.get("p", i)).isNotNull())
-    p = p.withColumn("ends", ends)
-
-    def cut(end: Column, k: Column) -> Column:
-        start = F.when(k == 0, F.lit(0)).otherwise(F.get("ends", k - 1) + 1)
-        return F.struct(F.array_join(F.slice("p", start + 1, end - start + 1), "").alias("segment"), F.get("p", end).alias("x"), F.get("p", end + 1).alias("y"))
-
-    e = p.select(*key, F.posexplode(F.transform("ends", cut)).alias("pos", "e")).select(*key, "pos", "e.*")
-    after = F.col("y").isNotNull()
-    return e.select(*key, "pos", "segment", word_type(F.col("x")).alias("type"), F.when(after, _kind(F.col("x"))).alias("kind"), F.when(after, word_type(F.col("y"))).alias("next"), F.when(after, _case(F.col("y"))).alias("case"))
+    """The columns of `key`, pos, segment, and what stands at its end: x, the last word, and y, the one behind it. A segment
+    ends where a sentence may, or with the text (y null)."""
+    p = docs.select(*key, _parts(F.col(text)).alias("p"))
+    both = F.transform("p", lambda s, i: F.struct(s.alias("segment"), F.get("p", i + 1).alias("then")))
+    e = p.select(*key, F.posexplode(both).alias("pos", "e")).select(*key, "pos", "e.*")
+    last = F.regexp_extract("segment", rf"(?<![^{SPACE}])[^{SPACE}]+(?=[{SPACE}]*\z)", 0)
+    return e.select(*key, "pos", "segment", last.alias("x"), F.when(F.col("then").isNotNull(), F.regexp_extract("then", f"^[^{SPACE}]+", 0)).alias("y"))
 
 
-PAIR_KEYS = ["type", "kind", "next", "case"]
+PAIR_KEYS = ["x", "y"]
 
 
 def ends(found: DataFrame) -> DataFrame:
-    """(type, kind, next, case, n) of all possible ends in texts."""
-    return found.filter(F.col("kind").isNotNull()).groupBy(*PAIR_KEYS).agg(F.count(F.lit(1)).alias("n"))
+    """(x, y, type, kind, next, case, n) of all possible ends in texts; equal words are one before they are looked at."""
+    n = found.filter(F.col("y").isNotNull()).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("x", "y", word_type(F.col("x")).alias("type"), _kind(F.col("x")).alias("kind"), word_type(F.col("y")).alias("next"), _case(F.col("y")).alias("case"), "n")
 
 
 def abbreviation_score(n_period: Column, n_plain: Column, periods: Column, total: Column, word: Column) -> Column:
@@ -197,7 +199,7 @@ def learn(docs: DataFrame, text: str = "text", least: int = 2) -> Model:
 
 
 def inside(found: DataFrame, model: Model) -> DataFrame:
-    """The rows of `ends` (type, kind, next, case) at which no sentence ends."""
+    """The pairs x, y of `ends` at which no sentence ends."""
 
     def flag(df: DataFrame, keys: list[str], name: str) -> DataFrame:
         return df.select(*keys, F.lit(True).alias(name))

@@ -99,3 +99,13 @@ def test_no_pieces_are_lost(spark, corpus, model):
 def test_no_nested_loops(corpus, model):
     plan = sentences.sentences(corpus, model)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_counts_of_words_at_odd_ends(spark):
+    """Equal words are counted together by where they stand; `...`, closing marks and marks inside of words."""
+    docs = spark.createDataFrame([("  No. Yes! a.b c... Der d. “Der.” Der",), ("...",), (None,), ("x?!y Der",)], "text string")
+    got = {r.type: (r.n_period, r.n_plain, r.n_lower, r.n_upper_inside) for r in sentences.words(docs).collect()}
+    assert got["der"] == (1, 3, 0, 1)
+    assert got["a.b"] == (0, 1, 1, 0) and got["no"] == (1, 0, 0, 0) and got["c"] == (0, 1, 1, 0)
+    ends = {(r.x, r.y): r.kind for r in sentences.ends(sentences.segments(docs, [])).collect()}
+    assert ends == {("No.", "Yes!"): ".", ("Yes!", "a.b"): "!", ("c...", "Der"): "..", ("d.", "“Der.”"): ".", ("“Der.”", "Der"): "."}
