@@ -57,6 +57,6 @@ def dump_documents(texts: DataFrame, blocks: DataFrame, tables: DataFrame | None
 
 
 def dump(tables: dict[str, DataFrame], path: str, max_pages: int = 10) -> None:
-    """Stage tables as JSON, the first pages of each document."""
+    """Stage tables as packed JSON, the first pages of each document."""
     for name, df in tables.items():
-        (df.filter(F.col("pnum") < max_pages) if "pnum" in df.columns else df).write.mode("overwrite").json(f"{path}/{name}")
+        (df.filter(F.col("pnum") < max_pages) if "pnum" in df.columns else df).write.mode("overwrite").option("compression", "gzip").json(f"{path}/{name}")
