@@ -17,6 +17,7 @@ gives no rows; other columns are left out.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
 import unicodedata
@@ -37,16 +38,24 @@ from . import common
 GROUP = 1 << 16
 #: Words and chunks of text that a worker remembers in each of two generations, and the longest that are remembered.
 MEMORY, LONGEST = 400_000, 60
+#: Numbers of ids that a worker remembers for the words of Latin-1 texts.
+MOST_IDS = 8_000_000
 _UNIT = re.compile("[\x1c-\x1f]")
 _CHUNK = regex.compile(r"[^\p{White_Space}]+")
+# Latin-1, by which letters can be told apart and lower-cased byte by byte; it is its own normal form
+_SPACE, _NUMBER, _LETTER, _MARK = range(4)
+_SMALL = np.array([ord(chr(i).lower()) for i in range(256)], np.uint8)
+_KIND = np.array([_SPACE if _UNIT.match(c) is None and c.isspace() else {"N": _NUMBER, "L": _LETTER}.get(unicodedata.category(c)[0], _MARK) for c in map(chr, range(256))], np.uint8)
+_WORD = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 class Encoder:
     """Ids of whole texts as the tokenizers library gives them, for tokenizers that lower-case, drop white space, and
     merge within words only, as the one here does.
 
-    Every chunk between white space is looked up; a new one is cut into words, and new words are encoded by the library's
-    model, many in one call. What holds the text of a special token goes through the whole library by itself."""
+    Latin-1 texts are cut into words many at a time, and only the different words are looked up. In others every chunk
+    between white space is looked up, and a new one is cut into words. New words are encoded by the library's model, many in
+    one call. What holds the text of a special token goes through the whole library by itself."""
 
     def __init__(self, spec: bytes) -> None:
         plain = json.loads(spec)
@@ -69,6 +78,9 @@ class Encoder:
         self.last[[i for t, i in model["vocab"].items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}  # ids of chunks, words among them: the newer generation
         self.old: dict[str, bytes] = {}
+        self.latin = split["pattern"]["Regex"] == _WORD
+        self.number: dict[bytes, int] = {}  # of words of Latin-1 texts
+        self.flat, self.begin, self.size, self.used = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)  # their ids, where each word's begin, how many, and in how many batches
 
     @staticmethod
     def split(text: str | None) -> list[str]:
@@ -104,17 +116,88 @@ class Encoder:
             else:
                 known[w] = ids
         if new:
-            # a line end isn't in the alphabet and no word has one
-            shown = "\n".join(new).encode("utf-8").decode("latin-1").translate(self.letters)
-            ids = np.array(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
-            ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            ids, ends = self.model_ids("\n".join(new))
+            ends = (ends * 4).tolist()
             raw = ids.tobytes()
             known.update(zip(new, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
         for c, parts in made:
             known[c] = b"".join([known[w] for w in parts])
 
+    def model_ids(self, lines: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one in a line, and the end of each word's. A line end isn't in the alphabet and no word has one."""
+        shown = lines.encode("utf-8").decode("latin-1").translate(self.letters)
+        ids = np.array(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
+        return ids, np.flatnonzero(self.last[ids]) + 1
+
+    def taken(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words by number, one word after the other, and the end of each word's."""
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        at = np.repeat(self.begin[numbers] - ends + size, size)
+        at += np.arange(len(at))
+        return self.flat[at], ends
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of different words; new ones are learnt. When there are too many, those of a single batch are forgotten."""
+        if len(self.number) >= MEMORY * 2 or len(self.flat) >= MOST_IDS:
+            again = [w for w, n in self.number.items() if self.used[n] > 1 and len(w) <= LONGEST]
+            kept = np.array([self.number[w] for w in (again if len(again) < MEMORY else [])], np.int64)
+            flat, ends = self.taken(kept)
+            self.number = dict(zip(again, range(len(kept))))
+            self.flat, self.size = flat, self.size[kept]
+            self.begin, self.used = ends - self.size, np.zeros(len(kept), np.int64)
+        number = self.number
+        new = [w for w in words if w not in number]
+        if new:
+            ids, ends = self.model_ids(b"\n".join(new).decode("latin-1"))
+            begins = np.concatenate([[0], ends[:-1]])
+            number.update(zip(new, range(len(number), len(number) + len(ends)), strict=True))
+            self.begin, self.size = np.concatenate([self.begin, begins + len(self.flat)]), np.concatenate([self.size, ends - begins])
+            self.flat, self.used = np.concatenate([self.flat, ids]), np.concatenate([self.used, np.zeros(len(new), np.int64)])
+        got = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        self.used[got] += 1
+        return got
+
+    def encode_latin(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The same as `encode` for Latin-1 texts without special tokens."""
+        whole = np.frombuffer(b"\n".join([*texts, b"\n\n"]), np.uint8)
+        kind, small = _KIND[whole], _SMALL[whole]
+        begins = kind == _NUMBER
+        begins[0] = True
+        begins[1:] |= kind[1:] != kind[:-1]
+        # 's, 't, 'm, 'd, 're, 've and 'll are words, wherever an apostrophe begins one
+        at = np.flatnonzero(begins & (whole == ord("'")))
+        a, b = small[at + 1], small[at + 2]
+        n = np.isin(a, list(b"stmd")) + 2 * (((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l")))
+        at, n = at[n > 0], n[n > 0]
+        begins[at + 1] = False
+        begins[at + 1 + n] = True
+        full = kind != _SPACE
+        letters = small[full]
+        offsets = np.append(np.flatnonzero(begins[full]), len(letters)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+        ids, ends = self.taken(self.numbers(words.dictionary.to_pylist())[words.indices.to_numpy()])
+        before = np.searchsorted(np.flatnonzero(begins & full), np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        cuts = (np.concatenate([[0], ends])[before] * 4).tolist()
+        raw = ids.tobytes()
+        for i, j in zip(cuts, cuts[1:]):
+            yield raw[i:j]
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of every text, as little-endian 32-bit numbers."""
+        latin: dict[int, bytes] = {}
+        for i, t in enumerate(texts if self.latin else []):
+            if not (t and any(x in t for x in self.specials)):
+                with contextlib.suppress(UnicodeEncodeError):
+                    latin[i] = (t or "").encode("latin-1")
+        some = self.encode_latin(list(latin.values()))
+        others = self.encode_chunks([t for i, t in enumerate(texts) if i not in latin])
+        for i in range(len(texts)):
+            yield next(some if i in latin else others)
+        next(others, None)  # it forgets long chunks at its end
+
+    def encode_chunks(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The same for any texts, by their chunks."""
         special = {i for i, t in enumerate(texts) if t and any(x in t for x in self.specials)}
         split = [[] if i in special else self.split(t) for i, t in enumerate(texts)]
         if len(self.known) >= MEMORY:
@@ -170,7 +253,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1, key:
         for b in batches:
             keys, texts = b.column(0), b.column(1).to_pylist()
             row, rows = [], []
-            for i, j in _batches(texts, 1 << 20):
+            for i, j in _batches(texts, 1 << 22):
                 for k, raw in enumerate(encoder.encode(texts[i:j]), i):
                     raw += last
                     for n, at in enumerate(range(0, len(raw), wide)):
