@@ -36,6 +36,9 @@ MEMORY = 400_000
 PART = 40_000
 #: Windows that are scored at once.
 AT_ONCE = 2048
+#: Below the highest estimate by which a window can still be a text's highest. An estimate that is off by more than a
+#: quarter of it, in a window that was looked at, has all windows of the text scored.
+MARGIN = 0.1
 THRESHOLD = 0.5
 # ASCII but letters and digits becomes a space.
 _SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -201,26 +204,120 @@ class Encoder:
         v *= s
         return v.sum(axis=0) / s.sum(axis=0) + p["b"]
 
+    def _estimator(self) -> tuple:
+        """What `estimate` needs of the parameters: scale, bound and steps of the powers, and matrices for states in (0, 1)."""
+        n, p = HIDDEN, self.p
+        most = max(float(np.abs(p[k]).sum(axis=0).max()) for k in ("hf", "hb")) * 2
+        k = 5
+        while 1.9 * 2**k < 2 * most + 10:
+            k += 1
+        # y - 1 for y = v / 2**k, over the square root of 2; candidates and attention go through tanh(v) = 2 * sigmoid(2 * v) - 1
+        scale = 0.5**0.5 / 2**k
+        by = np.repeat(np.float32([scale, 2 * scale]), [2 * n, n])[:, None]
+        sides = []
+        for side in "fb":
+            u = p[f"h{side}"].T * by
+            sides.append((2 * u, -u.sum(axis=1, keepdims=True)))
+        a = p["a"].T * np.float32(2 * scale)
+        last = np.concatenate([2 * a, 2 * p["o"][None]])
+        one = np.concatenate([-a.sum(axis=1, keepdims=True) - np.float32(0.5**0.5), -p["o"].sum(keepdims=True)[None]])
+        at = lambda m, c, where: np.ascontiguousarray(np.insert(m, where, c.T, axis=1), dtype=np.float32)
+        return by, 1.9 * 2**k - most, k, at(*sides[0], n), at(*sides[1], 0), at(last, one, n)
+
+    def estimate(self, x: np.ndarray, with_: tuple) -> np.ndarray:
+        """About what `slide` gives, in some half of the time. sigmoid(v) is 1 / (1 + q**K), where q, near to exp(-v / K), is a
+        square and a half, so that powers are squares; states h are kept as (h + 1) / 2, which needs sigmoids only."""
+        n, p, one, half = HIDDEN, self.p, np.float32(1), np.float32(0.5)
+        by, most, k, f, b, last = with_
+        size = x.shape[2] - LENGTH + 1
+
+        def sigmoids(v: np.ndarray) -> None:
+            np.multiply(v, v, out=v)
+            np.add(v, half, out=v)
+            for _ in range(k):
+                np.multiply(v, v, out=v)
+            np.add(v, one, out=v)
+            np.divide(one, v, out=v)
+
+        # forward states, ones, backward states
+        states, g = np.empty((LENGTH, 2 * n + 1, size), np.float32), np.empty((3 * n, size), np.float32)
+        states[:, n] = 1
+        zr, new = g[: 2 * n], g[2 * n :]
+        np.clip(x, -most, most, out=x)
+        x *= by
+        x -= np.float32(0.5**0.5)
+        with np.errstate(over="ignore"):
+            for own, m, u, at, order in ((x[0], f, slice(0, n + 1), slice(0, n), range(LENGTH)), (x[1], b, slice(n, 2 * n + 1), slice(n + 1, 2 * n + 1), range(LENGTH - 1, -1, -1))):
+                before = np.full((n + 1, size), half)
+                before[0 if at.start else n] = 1
+                h = before[1:] if at.start else before[:n]
+                # the constant of z and r goes with the inputs
+                for t in order:
+                    now = own[:, t : t + size]
+                    np.matmul(m, before, out=g)
+                    zr += now[: 2 * n]
+                    sigmoids(zr)
+                    new *= zr[n:]
+                    new += now[2 * n :]
+                    sigmoids(new)
+                    out = states[t, at]
+                    np.subtract(h, new, out=out)
+                    out *= zr[:n]
+                    out += new
+                    h, before = out, states[t, u]
+            s, v, e = np.empty((LENGTH, size), np.float32), np.empty((LENGTH, size), np.float32), np.empty((len(last), size), np.float32)
+            by_two = p["s"] * 2
+            for t in range(LENGTH):
+                np.matmul(last, states[t], out=e)
+                v[t] = e[-1]
+                np.clip(e[:-1], -1.3, 1.3, out=e[:-1])
+                sigmoids(e[:-1])
+                np.matmul(by_two, e[:-1], out=s[t])
+        s -= s.max(axis=0)
+        np.exp(s, out=s)
+        v *= s
+        return v.sum(axis=0) / s.sum(axis=0) + p["b"]
+
     def highest(self, gates: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
-        """The highest logit of each text, given as numbers of its words. Full windows slide over all texts together,
-        and those over two texts don't count; texts shorter than a window are run with a mask."""
+        """The highest logit of each text, given as numbers of its words. All full windows are estimated, sliding over all
+        texts together, and those that can be their text's highest are run; texts shorter than a window are run with a mask."""
         best = np.full(len(docs), -np.inf, np.float64)
         full = [i for i, x in enumerate(docs) if len(x) >= LENGTH]
         if full:
             flat = np.concatenate([docs[i] for i in full])
             who = np.repeat(full, [len(docs[i]) for i in full])
             inside = who[: len(flat) - LENGTH + 1] == who[LENGTH - 1 :]
-            step = AT_ONCE - LENGTH + 1  # windows over AT_ONCE places
-            for a in range(0, len(inside), step):
-                ok = inside[a : a + step]
-                if ok.any():
-                    x = gates[:, flat[a : a + len(ok) + LENGTH - 1]]
-                    np.maximum.at(best, who[a : a + len(ok)][ok], self.slide(np.ascontiguousarray(x.transpose(0, 2, 1)))[ok])
+            starts, with_ = np.flatnonzero(inside), self._estimator()
+            about = self._sliding(gates, flat, inside, lambda x: self.estimate(x, with_), 4 * AT_ONCE)[starts]
+            of, unknown = who[starts], ~np.isfinite(about)
+            top, off = np.full(len(docs), -np.inf, np.float32), np.zeros(len(docs), bool)
+            about[unknown], off[of[unknown]] = -np.inf, True
+            np.maximum.at(top, of, about)
+            maybe = np.flatnonzero((about >= top[of] - np.float32(MARGIN)) & ~off[of])
+            for a in range(0, len(maybe), AT_ONCE):
+                some = maybe[a : a + AT_ONCE]
+                got = self.run(gates, flat[starts[some][:, None] + np.arange(LENGTH)], None)
+                np.maximum.at(best, of[some], got)
+                off[of[some][~(np.abs(got - about[some]) <= MARGIN / 4)]] = True
+            if off.any():
+                again = inside & off[who[: len(inside)]]
+                np.maximum.at(best, who[: len(inside)][again], self._sliding(gates, flat, again, self.slide, AT_ONCE)[again])
         if short := [i for i, x in enumerate(docs) if len(x) < LENGTH]:
             idx, valid, doc = _windows([docs[i] for i in short])
             np.maximum.at(best, np.array(short)[doc], self.run(gates, idx, valid))
         return best
 
+    def _sliding(self, gates: np.ndarray, flat: np.ndarray, wanted: np.ndarray, f, at_once: int) -> np.ndarray:
+        """What f gives for windows over `flat`, in parts that have wanted ones."""
+        out = np.full(len(wanted), -np.inf, np.float32)
+        step = at_once - LENGTH + 1  # windows over so many places
+        for a in range(0, len(wanted), step):
+            some = wanted[a : a + step]
+            if some.any():
+                x = gates[:, flat[a : a + len(some) + LENGTH - 1]]
+                out[a : a + len(some)] = f(np.ascontiguousarray(x.transpose(0, 2, 1)))
+        return out
+
     def gradients(self, gates, idx, valid, kept, dlogit) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Of the loss, with respect to the parameters and to the gate inputs of each word."""
         n, p = HIDDEN, self.p

@@ -806,3 +806,37 @@ def test_scores_by_a_slow_scorer(spark):
             vectors.append(np.concatenate([net.p["chars"][flat].sum(axis=0) if len(flat) else np.zeros(toxicity.CHAR_DIM), net.p["words"][own[0]]]))
         best = max(slow_logit(net.p, vectors[a : a + toxicity.LENGTH]) for a in range(max(len(words) - toxicity.LENGTH, 0) + 1))
         assert got[k] == pytest.approx(1 / (1 + math.exp(-(net.slope * best + net.shift))), abs=1e-5), t
+
+
+def some_windows(seed, size):
+    """A network that isn't trained, and gates and numbers of texts of a few lengths."""
+    r = np.random.default_rng(seed)
+    net = toxicity.Encoder(seed)
+    for k in ("xf", "xb", "hf", "hb", "a"):
+        net.p[k] = net.p[k] * np.float32(size)
+    gates = net.project(r.standard_normal((300, toxicity.CHAR_DIM + toxicity.WORD_DIM)).astype(np.float32))
+    return net, gates, [r.integers(0, 300, n) for n in (3, 20, 21, 400, 57)]
+
+
+@pytest.mark.parametrize("size", [1, 3])
+def test_estimates_are_near_and_the_highest_windows_exact(size, monkeypatch):
+    """All windows are estimated without tanh; only those near a text's highest estimate are run, and they are run as ever."""
+    net, gates, docs = some_windows(5, size)
+    x = np.ascontiguousarray(gates[:, docs[3]].transpose(0, 2, 1))
+    want = net.slide(x.copy())
+    assert np.abs(net.estimate(x.copy(), net._estimator()) - want).max() < toxicity.MARGIN / 4
+    ran, run = [], net.run
+    monkeypatch.setattr(net, "run", lambda g, idx, valid: ran.append(len(idx)) or run(g, idx, valid))
+    got = net.highest(gates, docs)
+    assert sum(ran) < 200 and want.max() == pytest.approx(got[3], abs=1e-5)
+    for d, g in zip(docs[1:], got[1:]):
+        every = run(gates, d[np.arange(len(d) - toxicity.LENGTH + 1)[:, None] + np.arange(toxicity.LENGTH)], None)
+        assert g == pytest.approx(every.max(), abs=1e-5)
+
+
+@pytest.mark.parametrize("wrong", [0.5, np.nan])
+def test_wrong_estimates_have_all_windows_scored(wrong, monkeypatch):
+    net, gates, docs = some_windows(6, 1)
+    want = net.highest(gates, docs)
+    monkeypatch.setattr(net, "estimate", lambda x, w, f=net.slide: f(x)[::-1] + np.float32(wrong))
+    assert net.highest(gates, docs) == pytest.approx(want, abs=1e-5)
