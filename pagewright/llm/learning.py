@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,14 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id",
     return [(r["t"], r["y"]) for r in sorted(rows, key=lambda r: r["sample_id"])]
 
 
+def give_back() -> None:
+    """Have the C library return what was freed to the system, where it can: a driver works on long after it has learnt."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError, TypeError):
+        pass
+
+
 def summed(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different numbers in `at`, and for each the sum of its rows of values."""
     order = np.argsort(at, kind="stable")

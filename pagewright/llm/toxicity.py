@@ -357,14 +357,15 @@ class Encoder:
 
 def _windows(numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All windows of documents given as word numbers: numbers, valid places, and the document of each."""
-    idx, valid, doc = [], [], []
-    for i, x in enumerate(numbers):
+    doc = np.repeat(np.arange(len(numbers)), [len(starts_of(len(x))) for x in numbers])
+    idx, valid = np.zeros((len(doc), LENGTH), np.int32), np.zeros((len(doc), LENGTH), bool)
+    k = 0
+    for x in numbers:
         for s in starts_of(len(x)):
             part = x[s : s + LENGTH]
-            idx.append(np.pad(part, (0, LENGTH - len(part))))
-            valid.append(np.arange(LENGTH) < len(part))
-            doc.append(i)
-    return np.array(idx, np.int32), np.array(valid), np.array(doc)
+            idx[k, : len(part)], valid[k, : len(part)] = part, True
+            k += 1
+    return idx, valid, doc
 
 
 def train(rows: list[tuple[str, int]], seed: int = 7) -> Encoder:
@@ -508,7 +509,9 @@ def score(docs: DataFrame, net: Encoder, text: str = "text", out: str = "score")
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", **bounds) -> Encoder:
     """A network learnt from the training rows of the labels (see `learning.sample` for the bound)."""
-    return train(learning.sample(docs, labels, label, **bounds))
+    net = train(learning.sample(docs, labels, label, **bounds))
+    learning.give_back()
+    return net
 
 
 def remove(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import math
 import io
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -840,3 +841,17 @@ def test_wrong_estimates_have_all_windows_scored(wrong, monkeypatch):
     want = net.highest(gates, docs)
     monkeypatch.setattr(net, "estimate", lambda x, w, f=net.slide: f(x)[::-1] + np.float32(wrong))
     assert net.highest(gates, docs) == pytest.approx(want, abs=1e-5)
+
+
+def test_windows_are_made_in_place():
+    """What the driver holds while it learns: the windows once, not an array for each besides."""
+    numbers = [np.arange(n, dtype=np.int32) for n in (0, 5, 20, 21, 45, *[3000] * 100)]
+    tracemalloc.start()
+    try:
+        idx, valid, doc = toxicity._windows(numbers)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 2 * (idx.nbytes + valid.nbytes + doc.nbytes)
+    assert [(a[v].tolist(), d) for a, v, d in zip(idx[:4], valid, doc)] == [([], 0), ([0, 1, 2, 3, 4], 1), (list(range(20)), 2), (list(range(20)), 3)]
+    assert idx[4].tolist() == list(range(1, 21)) and doc[-1] == len(numbers) - 1 and not idx[0].any()
