@@ -86,21 +86,44 @@ def _case(piece: Column) -> Column:
     return F.when(first.rlike(r"\p{Lu}|\p{Lt}"), "u").when(first.rlike(r"\p{Ll}"), "l").otherwise("")
 
 
-def words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(type, n_period, n_plain, n_lower, n_upper_inside) of every word with a letter or digit, over all texts."""
+def _simple(word: Column) -> Column:
+    """Whether a word is of plain letters with one mark behind it at most, as nearly all are; few patterns tell what it is."""
+    return word.rlike("^[A-Za-z]+[.,;:!?]?$")
+
+
+def _type_of(word: Column) -> Column:
+    return F.when(_simple(word), F.lower(F.regexp_extract(word, "^[A-Za-z]+", 0))).otherwise(word_type(word))
+
+
+def _case_of(word: Column) -> Column:
+    return F.when(_simple(word), F.when(word < "a", "u").otherwise("l")).otherwise(_case(word))
+
+
+def _kind_of(word: Column) -> Column:
+    mark = F.right(word, F.lit(1))
+    return F.when(_simple(word), F.when(mark == ".", ".").when(mark.isin("!", "?"), "!")).otherwise(_kind(word))
+
+
+def words(docs: DataFrame, text: str = "text", found: DataFrame | None = None) -> DataFrame:
+    """(type, n_period, n_plain, n_lower, n_upper_inside) of every word with a letter or digit, over all texts. `found` are
+    the texts' `ends`, if they were counted before."""
     # equal words are one with counts before any of them is looked at; what isn't first behind a possible end stands inside
-    part = docs.select(F.explode(_parts(F.col(text))).alias("part"))
-    each = part.select(F.posexplode(F.regexp_extract_all("part", F.lit(f"[^{SPACE}]+"), F.lit(0))).alias("i", "x"))
-    some = each.groupBy("x", (F.col("i") > 0).alias("inside")).agg(F.count(F.lit(1)).alias("n"))
+    every = docs.select(F.explode(F.split(text, f"[{SPACE}]+")).alias("x")).filter("x <> ''").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    found = ends(segments(docs, [], text)) if found is None else found
+    begin = docs.select(F.regexp_extract(text, f"^[{SPACE}]*([^{SPACE}]+)", 1).alias("x")).filter("x <> ''").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    some = every.select("x", "n", F.col("n").alias("inside"))
+    for first in (found.select(F.col("y").alias("x"), "n"), begin):
+        some = some.unionByName(first.select("x", F.lit(0).cast("long").alias("n"), (-F.col("n")).alias("inside")))
     # a comma behind an abbreviation's period doesn't make it another word
-    period = _core(F.col("x")).rlike(r"(^|[^.])\.$")
-    rows = some.select(word_type(F.col("x")).alias("type"), period.alias("period"), _case(F.col("x")).alias("case"), "inside", "n").filter(F.col("type") != "")
-    of = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    x = F.col("x")
+    period = F.when(_simple(x), F.endswith(x, F.lit("."))).otherwise(_core(x).rlike(r"(^|[^.])\.$"))
+    rows = some.select(_type_of(x).alias("type"), period.alias("period"), _case_of(x).alias("case"), "inside", "n").filter(F.col("type") != "")
+    of = lambda c, n="n": F.sum(F.when(c, F.col(n)).otherwise(0))
     return rows.groupBy("type").agg(
         of(F.col("period")).alias("n_period"),
         of(~F.col("period")).alias("n_plain"),
         of(F.col("case") == "l").alias("n_lower"),
-        of((F.col("case") == "u") & F.col("inside")).alias("n_upper_inside"),
+        of(F.col("case") == "u", "inside").alias("n_upper_inside"),
     )
 
 
@@ -108,10 +131,11 @@ def segments(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """The columns of `key`, pos, segment, and what stands at its end: x, the last word, and y, the one behind it. A segment
     ends where a sentence may, or with the text (y null)."""
     p = docs.select(*key, _parts(F.col(text)).alias("p"))
-    both = F.transform("p", lambda s, i: F.struct(s.alias("segment"), F.get("p", i + 1).alias("then")))
+    both = F.transform("p", lambda s, i: F.struct(s.alias("segment"), F.regexp_extract(F.get("p", i + 1), f"^[^{SPACE}]+", 0).alias("y")))
     e = p.select(*key, F.posexplode(both).alias("pos", "e")).select(*key, "pos", "e.*")
-    last = F.regexp_extract("segment", rf"(?<![^{SPACE}])[^{SPACE}]+(?=[{SPACE}]*\z)", 0)
-    return e.select(*key, "pos", "segment", last.alias("x"), F.when(F.col("then").isNotNull(), F.regexp_extract("then", f"^[^{SPACE}]+", 0)).alias("y"))
+    # from the end, so that a long segment isn't tried word by word
+    last = F.regexp_extract("segment", rf"(?s)\A(?:.*[{SPACE}])?([^{SPACE}]+)[{SPACE}]*\z", 1)
+    return e.select(*key, "pos", "segment", last.alias("x"), "y")
 
 
 PAIR_KEYS = ["x", "y"]
@@ -120,7 +144,7 @@ PAIR_KEYS = ["x", "y"]
 def ends(found: DataFrame) -> DataFrame:
     """(x, y, type, kind, next, case, n) of all possible ends in texts; equal words are one before they are looked at."""
     n = found.filter(F.col("y").isNotNull()).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("x", "y", word_type(F.col("x")).alias("type"), _kind(F.col("x")).alias("kind"), word_type(F.col("y")).alias("next"), _case(F.col("y")).alias("case"), "n")
+    return n.select("x", "y", _type_of(F.col("x")).alias("type"), _kind_of(F.col("x")).alias("kind"), _type_of(F.col("y")).alias("next"), _case_of(F.col("y")).alias("case"), "n")
 
 
 def abbreviation_score(n_period: Column, n_plain: Column, periods: Column, total: Column, word: Column) -> Column:
@@ -168,6 +192,13 @@ def _known(found: DataFrame, abbreviations_: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, text: str = "text", least: int = 2) -> Model:
     """Count a corpus's words and possible ends, and keep what they say."""
+    model = _learn(docs, text, least)[0]
+    discard(docs.sparkSession, f"{model.folder}/found")
+    return model
+
+
+def _learn(docs: DataFrame, text: str, least: int = 2) -> tuple[Model, DataFrame]:
+    """The model, and the texts' `ends` below its folder. Texts are read twice: cut into words, and at possible ends."""
     spark = docs.sparkSession
     folder = scratch(spark, "sentences")
 
@@ -175,9 +206,10 @@ def learn(docs: DataFrame, text: str = "text", least: int = 2) -> Model:
         df.write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    counted = store(words(docs, text), "words")
+    found = store(ends(segments(docs, [], text)), "found")
+    counted = store(words(docs, text, found), "words")
     short = store(abbreviations(counted, least), "abbreviations")
-    at_ends = store(_known(ends(segments(docs, [], text)), short), "ends")
+    at_ends = store(_known(found, short), "ends")
     sure = at_ends.filter(~_special(F.col("kind")) & (F.col("next") != ""))
     # Words after sure ends. A word that isn't counted by itself can't be judged, so that joins may be inner.
     n = counted.select(F.col("type").alias("next"), (F.col("n_period") + F.col("n_plain")).cast("double").alias("of_next"))
@@ -195,7 +227,7 @@ def learn(docs: DataFrame, text: str = "text", least: int = 2) -> Model:
     pairs = store(pair.filter(tied).join(starters, "next", "left_anti").select("type", "next"), "pairs")
     common = store(counted.filter((F.col("n_lower") > 0) & (F.col("n_lower") >= 9 * F.col("n_upper_inside"))).select(F.col("type").alias("next")), "common")
     discard(spark, f"{folder}/words", f"{folder}/ends")
-    return Model(short, starters, pairs, common, folder)
+    return Model(short, starters, pairs, common, folder), found
 
 
 def inside(found: DataFrame, model: Model) -> DataFrame:
@@ -218,9 +250,16 @@ def inside(found: DataFrame, model: Model) -> DataFrame:
 def sentences(docs: DataFrame, model: Model | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, pos, chunk: sentences, trimmed, each once in a text, in order of first occurrence. Without a model, one is
     learnt from the texts themselves."""
-    model = model or learn(docs, text)
+    spark = docs.sparkSession
     found = segments(docs.select(key, text, F.monotonically_increasing_id().alias("row")), [key, "row"], text)
-    none = inside(ends(found), model).withColumn("stays", F.lit(True))
+    if model is None:
+        model, counted = _learn(docs, text)
+        inside(counted, model).write.parquet(f"{model.folder}/inside")
+        none = spark.read.parquet(f"{model.folder}/inside")
+        discard(spark, f"{model.folder}/found")
+    else:
+        none = inside(ends(found), model)
+    none = none.withColumn("stays", F.lit(True))
     parts = found.join(none, PAIR_KEYS, "left")
     piece = F.struct("pos", "segment", F.coalesce("stays", F.lit(False)).alias("stays"))
     gathered = parts.groupBy(key, "row").agg(F.sort_array(F.collect_list(piece)).alias("s"))

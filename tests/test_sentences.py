@@ -109,3 +109,17 @@ def test_counts_of_words_at_odd_ends(spark):
     assert got["a.b"] == (0, 1, 1, 0) and got["no"] == (1, 0, 0, 0) and got["c"] == (0, 1, 1, 0)
     ends = {(r.x, r.y): r.kind for r in sentences.ends(sentences.segments(docs, [])).collect()}
     assert ends == {("No.", "Yes!"): ".", ("Yes!", "a.b"): "!", ("c...", "Der"): "..", ("d.", "“Der.”"): ".", ("“Der.”", "Der"): "."}
+
+
+def test_result_cuts_texts_once(spark, data):
+    """What was counted to learn is kept, so that pairs aren't looked for in the texts again."""
+    df = chunking.chunk(spark.read.parquet(f"{data}/documents.parquet"), "learned_sentence")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+
+
+def test_simple_words_are_as_others(spark):
+    words = ["word", "Word.", "end!", "END?", "a,", "B;", "e:", "a.m.", "(x)", "É.", "é", "12.", "x..", "'s", "No.", "Y"]
+    d = spark.createDataFrame([(w,) for w in words], "x string")
+    s = sentences
+    got = d.select("x", s._type_of(F.col("x")), s._case_of(F.col("x")), s._kind_of(F.col("x"))).collect()
+    assert got == d.select("x", s.word_type(F.col("x")), s._case(F.col("x")), s._kind(F.col("x"))).collect()
