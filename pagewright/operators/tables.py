@@ -54,7 +54,9 @@ def dividers(cells: DataFrame, boxes: DataFrame, score: float = 0.5) -> DataFram
         of = good.filter(F.col("label") == label)
         # equal begins keep the order of the cells
         array = F.sort_array(F.collect_list(F.struct(F.col(lead).alias("lead"), "cell_idx", F.struct(*XY, "score").alias("c"))))
-        some[name] = of.groupBy(*TABLE).agg(F.transform(array, lambda x: x["c"]).alias("c")).select(*TABLE, close_gaps(dedupe_cells(F.col("c"), axis), axis).alias(name))
+        kept = of.groupBy(*TABLE).agg(F.transform(array, lambda x: x["c"]).alias("c")).select(*TABLE, dedupe_cells(F.col("c"), axis).alias("c"))
+        # a column of its own, as each cell looks at its neighbours
+        some[name] = kept.select(*TABLE, close_gaps(F.col("c"), axis).alias(name))
     both = some["rows"].join(some["cols"], TABLE).join(boxes.select(*TABLE, F.col("x0").alias("ox"), F.col("y0").alias("oy")), TABLE)
     rows = F.concat(F.transform("rows", lambda c: c["y0"] + F.col("oy")), F.array(F.element_at("rows", -1)["y1"] + F.col("oy")))
     cols = F.concat(F.transform("cols", lambda c: c["x0"] + F.col("ox")), F.array(F.element_at("cols", -1)["x1"] + F.col("ox")))
@@ -72,7 +74,11 @@ def cell_texts(pieces: DataFrame, tables: DataFrame) -> DataFrame:
     """doc_id, pnum, box_idx, rows (array<array<string>>): the texts of pieces (text, box in image units, order columns
     o1..on) whose centres lie in a cell, in order; every cell of the grid is there."""
     order = [c for c in pieces.columns if c.startswith("o_")]
-    hit = pieces.join(tables, PAGE).withColumn("r", slot(F.col("row_dividers"), (F.col("y0") + F.col("y1")) / 2)).withColumn("c", slot(F.col("col_dividers"), (F.col("x0") + F.col("x1")) / 2))
+    # most pieces of a page are in none of its tables, which the outermost dividers tell
+    y, x = (F.col("y0") + F.col("y1")) / 2, (F.col("x0") + F.col("x1")) / 2
+    outer = [f("row_dividers").alias(f"{n}_y") for n, f in (("lo", F.array_min), ("hi", F.array_max))] + [f("col_dividers").alias(f"{n}_x") for n, f in (("lo", F.array_min), ("hi", F.array_max))]
+    within = pieces.join(tables.select("*", *outer), PAGE).filter(y.between(F.col("lo_y"), F.col("hi_y")) & x.between(F.col("lo_x"), F.col("hi_x")))
+    hit = within.withColumn("r", slot(F.col("row_dividers"), y)).withColumn("c", slot(F.col("col_dividers"), x))
     hit = hit.filter("r is not null and c is not null")
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, "text"))), lambda x: x["text"]), "")
     filled = hit.groupBy(*TABLE, "r", "c").agg(text.alias("text")).groupBy(*TABLE).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("r", "c"), "text"))).alias("m"))

@@ -145,3 +145,12 @@ def test_similar_titles_by_all_pairs(spark, similar):
             want.add((d, i))
     got = D.common_titles(spark.createDataFrame(rows, "doc_id long, index int, block_type string, text string"), similar).collect()
     assert {(x.doc_id, x["index"]) for x in got} == want and 0 < len(want) < len(rows)
+
+
+def test_cells_are_scanned_once(spark):
+    """Closing gaps looks at neighbours, which must not repeat the scan for each of them."""
+    cells = spark.createDataFrame([(1, 0, 0, i, x, 0.9, 0.0, 0.0, 9.0, 9.0) for i, x in enumerate(["table row", "table column"])], "doc_id long, pnum int, box_idx int, cell_idx int, label string, score double, x0 double, y0 double, x1 double, y1 double")
+    boxes = spark.createDataFrame([(1, 0, 0, 5.0, 7.0)], "doc_id long, pnum int, box_idx int, x0 double, y0 double")
+    d = TB.dividers(cells, boxes)
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 2
+    assert [tuple(r) for r in d.select("row_dividers", "col_dividers").collect()] == [([7.0, 16.0], [5.0, 14.0])]
